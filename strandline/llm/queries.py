@@ -4,12 +4,14 @@ from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .mixing import op3_mixing
 from .quality import op9_quality_classifier
 from .secrets import op8_secret_scan
+from .toxicity import op6_toxicity
 from .token_counts import op2_token_counts
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_mixing": op3_mixing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_toxicity": op6_toxicity,
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_classifier": op9_quality_classifier,
 }
