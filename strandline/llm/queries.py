@@ -1,5 +1,6 @@
 """The queries of this subpackage, by name, and DuckDB SQL for those that SQL can express."""
 
+from .decontaminate import op4_decontamination
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .mixing import op3_mixing
 from .quality import op9_quality_classifier
@@ -10,6 +11,7 @@ from .token_counts import op2_token_counts
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_mixing": op3_mixing,
+    "op4_decontamination": op4_decontamination,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_toxicity": op6_toxicity,
     "op8_secret_scan": op8_secret_scan,

@@ -29,13 +29,21 @@ from .shared import fold, text_or_empty
 POSITIVES, UNLABELLED, WIDTH = 2_000, 6_000, 8_192
 #: Features are kept as these many bits of their hash while they are chosen.
 BITS = 22
+#: Occurrences in a text that make a second feature of a word.
+OFTEN = 2
+#: Least positives that have a feature, and least standard errors by which they have it more often.
+SUPPORT, STANDS_OUT = 6, 4.0
 
 
 def _bags(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """Distinct features of each text of a chunk: (text index, feature), sorted, and the number of texts."""
     for lo, hi, data, offs in K.chunks(texts):
         h, owner = word_features(data, offs)
-        key = np.unique((owner.astype(np.uint64) << np.uint64(BITS)) | (h >> np.uint64(64 - BITS)))
+        key, count = np.unique((owner.astype(np.uint64) << np.uint64(BITS)) | (h >> np.uint64(64 - BITS)), return_counts=True)
+        low = np.uint64((1 << BITS) - 1)
+        often = key[count >= OFTEN]  # one that comes again and again is a feature of its own
+        often = (often & ~low) | (K.mix((often & low) + np.uint64(1)) >> np.uint64(64 - BITS))
+        key = np.unique(np.concatenate([key, often]))
         yield (key >> np.uint64(BITS)).astype(np.int64), (key & np.uint64((1 << BITS) - 1)).astype(np.int64), hi - lo
 
 
@@ -81,9 +89,9 @@ def choose(pos: np.ndarray, n_pos: int, unl: np.ndarray, n_unl: int, width: int
     b = np.bincount(unl, minlength=1 << BITS) / max(1, n_unl)
     both = (a * n_pos + b * n_unl + 1) / (n_pos + n_unl + 2)
     z = (a - b) / np.sqrt(both * (1 - both) * (1 / max(1, n_pos) + 1 / max(1, n_unl)))
-    z[a * n_pos < 3] = 0
+    z[a * n_pos < SUPPORT] = 0
     kept = np.argsort(-z, kind="stable")[:width]
-    return np.sort(kept[z[kept] > 2.5])
+    return np.sort(kept[z[kept] > STANDS_OUT])
 
 
 def nn_pu(pos: tuple, unl: tuple, features: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.05, penalty: float = 2e-4, seed: int = 5) -> Linear:
