@@ -2,6 +2,7 @@
 
 from .decontaminate import op4_decontamination
 from .exact_dedup import OP5_SQL, op5_exact_dedup
+from .kneser_ney import op1_lm_scoring
 from .mixing import op3_mixing
 from .quality import op9_quality_classifier
 from .secrets import op8_secret_scan
@@ -9,6 +10,7 @@ from .toxicity import op6_toxicity
 from .token_counts import op2_token_counts
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_token_counts": op2_token_counts,
     "op3_mixing": op3_mixing,
     "op4_decontamination": op4_decontamination,
