@@ -4,6 +4,7 @@ from .decontaminate import op4_decontamination
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .kneser_ney import op1_lm_scoring
 from .mixing import op3_mixing
+from .near_dedup import op7_near_dedup
 from .quality import op9_quality_classifier
 from .secrets import op8_secret_scan
 from .toxicity import op6_toxicity
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_toxicity": op6_toxicity,
+    "op7_near_dedup": op7_near_dedup,
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_classifier": op9_quality_classifier,
 }
