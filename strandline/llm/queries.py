@@ -3,6 +3,7 @@
 from .decontaminate import op4_decontamination
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .kneser_ney import op1_lm_scoring
+from .line_dedup import op10_line_dedup
 from .mixing import op3_mixing
 from .near_dedup import op7_near_dedup
 from .quality import op9_quality_classifier
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_near_dedup": op7_near_dedup,
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL = {"op5_exact_dedup": OP5_SQL}
