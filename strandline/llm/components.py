@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import discard, staged
 
 
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
@@ -23,6 +23,7 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     if not state[0]:
         return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     for _ in range(limit):
+        last = e
         both = e.union(e.select("v", "u")).toDF("u", "v")
         least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -31,6 +32,7 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = staged(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
         before, state = state, _state(e)
+        discard(edges.sparkSession, last, least, large, low)
         if state == before:
             return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     raise RuntimeError("components did not settle")

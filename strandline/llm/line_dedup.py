@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from . import near_dedup as N
 from .components import components
-from .shared import staged
+from .shared import discard, staged
 
 _U = np.uint64
 #: Shingle bytes; least bytes of a line; percent of similarity; bands and rows.
@@ -222,9 +222,11 @@ def line_components(docs: DataFrame, rounds: int = N.ROUNDS) -> DataFrame:
         new = staged(verified(pairs, lines), "line_links")
         found = new.count()
         links = new if links is None else links.union(new)
+        discard(docs.sparkSession, pairs)
         if round_ and not found:
             break
         labels = components(links)
+    discard(docs.sparkSession, pool, lines)
     return labels
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -78,12 +78,12 @@ def quotas(sizes: np.ndarray, counts: np.ndarray, budget: int, reach: int = REAC
     return take
 
 
-def targets(sizes: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame:
+def targets(totals: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame:
     """rank, source, source_size, target, for one row per source. All sizes are shared by weight; a target stops at `most` times its
     source's size and the excess goes to the others by weight, which is the level at which the capped shares use up everything."""
     order = W.orderBy(F.col("source").isNull(), "source")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))
-    named = sizes.withColumn("rank", F.row_number().over(order)).withColumn("weight", weight)
+    named = totals.withColumn("rank", F.row_number().over(order)).withColumn("weight", weight)
     ratio = F.col("source_size") * F.lit(float(most)) / F.col("weight")
     full = named.withColumn("ratio", ratio)
     before = W.orderBy("ratio", "rank").rowsBetween(W.unboundedPreceding, -1)
@@ -102,10 +102,14 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], most: float) -> DataFr
     return full.select("rank", "source", "source_size", target.alias("target"))
 
 
+def sizes(column: str) -> Column:
+    """Words of a text."""
+    return F.regexp_count(text_or_empty(column), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: int = 3, seed: int = 17, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
     """doc_id, size, source_size, target and taken of every row of docs. A document is used taken / size times."""
-    size = F.regexp_count(text_or_empty(text_column), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), size.alias("size"))
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), sizes(text_column).alias("size"))
     rows = staged(rows.withColumn("order", F.xxhash64(F.lit(seed), "doc_id")).withColumn("salt", F.pmod("order", F.lit(SALTS)).cast("int")), "sizes")
     cells = staged(rows.groupBy("source", "size", "salt").agg(F.count("*").alias("n")), "size_counts")
     per_source = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
@@ -113,15 +117,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: int
     goal = goal.withColumn("repeats", F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("long"))
     goal = goal.withColumn("budget", F.when(F.col("repeats") >= most, 0).otherwise(F.round(F.col("target") - F.col("repeats") * F.col("source_size"))).cast("long"))
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    sizes = cells.groupBy("source", "size").agg(F.sum("n").alias("n"))
-    sizes = sizes.join(goal, same(sizes, goal)).select("rank", "budget", "size", "n")
+    lengths = cells.groupBy("source", "size").agg(F.sum("n").alias("n"))
+    lengths = lengths.join(goal, same(lengths, goal)).select("rank", "budget", "size", "n")
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("size", kind="stable")
         take = quotas(group["size"].to_numpy(np.int64), group["n"].to_numpy(np.int64), int(group["budget"].iloc[0]))
         return pd.DataFrame({"rank": group["rank"], "size": group["size"], "quota": take})
 
-    quota = sizes.groupBy("rank").applyInPandas(fit, "rank int, size long, quota long")
+    quota = lengths.groupBy("rank").applyInPandas(fit, "rank int, size long, quota long")
     parts = cells.join(goal, same(cells, goal)).select("rank", "size", "salt", "n").join(quota, ["rank", "size"])
     before = F.sum("n").over(W.partitionBy("rank", "size").orderBy("salt").rowsBetween(W.unboundedPreceding, -1))
     parts = parts.select("rank", "size", "salt", (F.col("quota") - F.coalesce(before, F.lit(0))).alias("quota"))

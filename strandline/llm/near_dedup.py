@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import blobs as B
 from . import kernel as K
 from .components import components
-from .shared import parts, staged, text_or_empty
+from .shared import discard, parts, staged, text_or_empty
 
 _U = np.uint64
 #: Bands and rows of each: a pair at 0.75 shares a band with probability 0.999995.
@@ -253,11 +253,13 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR, id_column: str = "d
         fresh = staged(verified(alive, texts, similar).distinct(), "links")
         found = fresh.count()
         links = fresh if links is None else links.union(fresh)
+        discard(docs.sparkSession, pairs, alive)
         if round_ and not found:
             break
         labels = components(links)
     if labels is None:
         labels = components(links)
+    discard(docs.sparkSession, texts, classes)
     named = groups.join(labels, "id", "left").select(*on, F.coalesce("component", "id").alias("component_id"))
     out = rows.drop("sig").join(staged(named, "class_components"), on, "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))

@@ -146,11 +146,27 @@ def scored(stats: DataFrame, model: Model) -> DataFrame:
     return stats.mapInArrow(run, f"doc_id {kind}, score double")
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row of docs. Learns labels.quality of rows outside fold 0."""
+def train(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Model]:
+    """Statistics of every row of docs, and a model of labels.quality of the rows outside fold 0."""
     stats = staged(measured(docs), "statistics")
     y = labels.where(F.col("quality").isNotNull() & (fold() != 0)).select("doc_id", F.col("quality").cast("double").alias("y"))
-    model = fit(staged(stats.join(y, "doc_id").select("x", "y"), "training"))
+    return stats, fit(staged(stats.join(y, "doc_id").select("x", "y"), "training"))
+
+
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """Rows of docs with a score of at least the threshold, all columns as they are. Texts are judged where they lie: no shuffle."""
+    model = train(docs, labels)[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(model.score(statistics(b.column("text"))) >= threshold) if b.num_rows else pa.array([], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row of docs. Learns labels.quality of rows outside fold 0."""
+    stats, model = train(docs, labels)
     return scored(stats, model).select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

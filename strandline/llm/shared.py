@@ -32,6 +32,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *staged_tables: DataFrame | None) -> None:
+    """Deletes the files of staged tables that no plan reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = f"{shared_root(spark)}/strandline/"
+    for df in staged_tables:
+        for f in {x.rpartition("/")[0] for x in df.inputFiles()} if df is not None else ():
+            path = jvm.org.apache.hadoop.fs.Path(f)
+            if path.toUri().getPath().startswith(jvm.org.apache.hadoop.fs.Path(root).toUri().getPath()):
+                path.getFileSystem(conf).delete(path, True)
+
+
 def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
