@@ -52,13 +52,11 @@ def statistics(texts: pa.Array) -> np.ndarray:
         n = np.diff(bounds)
         words = np.maximum(n, 1)
         x[:, 0], x[:, 1] = np.log1p(size), np.log1p(n)
-        x[:, 2] = _per(~K._SPACES[data], offs) / words
+        x[:, 2] = _per(K.not_space(data), offs) / words
         for i in range(len(CLASSES)):
             x[:, 3 + i] = _per(table[i][data], offs) / some
         x[:, 10] = _per(data >= 128, offs) / some
-        gaps = np.zeros(256, bool)
-        gaps[10] = True
-        ls, le, lo_ = K.spans(data, offs, gaps)
+        ls, le, lo_ = K.runs(data != 10, offs)
         line_bounds = np.searchsorted(lo_, np.arange(hi - lo + 1))
         lines = np.maximum(np.diff(line_bounds), 1)
         x[:, 11] = np.log1p(size / lines)

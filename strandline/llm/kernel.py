@@ -13,12 +13,6 @@ import numpy as np
 import pyarrow as pa
 
 _U = np.uint64
-_SPACES = np.zeros(256, bool)
-_SPACES[[0x20, *range(0x09, 0x0E)]] = True
-_MARKS = np.ones(256, bool)
-_MARKS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 32
 _KEEP = np.array([0] + [(1 << (8 * k)) - 1 for k in range(1, 8)] + [0xFFFFFFFFFFFFFFFF], dtype=_U)
 _STEP = _U(0x9E3779B97F4A7C15)
 
@@ -50,31 +44,42 @@ def chunks(texts: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, int, np.
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
-    return _LOWER[data]
+    """A-Z folded; other bytes stay."""
+    return data | ((data - np.uint8(65) < 26).view(np.uint8) << np.uint8(5))
 
 
-def spans(data: np.ndarray, offs: np.ndarray, gaps: np.ndarray = _SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and text index of each maximal run of bytes outside `gaps`; runs never cross texts."""
-    if not len(data):
+def not_space(data: np.ndarray) -> np.ndarray:
+    return (data - np.uint8(9) > 4) & (data != 32)
+
+
+def letters(data: np.ndarray) -> np.ndarray:
+    """Letters, digits and bytes beyond ASCII."""
+    return (data - np.uint8(48) < 10) | ((data | np.uint8(32)) - np.uint8(97) < 26) | (data > 127)
+
+
+def runs(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and text index of each maximal run of true; runs never cross texts."""
+    n = len(inside)
+    if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = ~gaps[data]
-    first = np.zeros(len(data) + 1, bool)
-    first[offs] = True
     starts = inside.copy()
-    starts[1:] &= ~inside[:-1] | first[1:-1]
+    starts[1:] &= ~inside[:-1]
     ends = inside.copy()
-    ends[:-1] &= ~inside[1:] | first[1:-1]
+    ends[:-1] &= ~inside[1:]
+    edge = offs[(offs > 0) & (offs < n)]
+    starts[edge] = inside[edge]
+    ends[edge - 1] = inside[edge - 1]
     starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    return starts, ends, np.searchsorted(offs, starts, "right") - 1
+    return starts, ends, np.repeat(np.arange(len(offs) - 1), np.diff(np.searchsorted(starts, offs)))
 
 
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return spans(data, offs)
+    return runs(not_space(data), offs)
 
 
 def plain_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """As words, but ASCII punctuation separates too."""
-    return spans(data, offs, _MARKS)
+    return runs(letters(data), offs)
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:

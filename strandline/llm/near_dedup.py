@@ -6,9 +6,9 @@ batch by batch of their signatures, and a pair is dropped as soon as the posteri
 threshold is below MISS. What survives is verified on the full shingle sets, and verified links are joined to components.
 
 No group is expanded into all its pairs. In a band's bucket every member is compared with one leader. Links found make components, and only
-buckets that still hold several components go on: where a bucket is small, all its pairs across components are compared; in
-a large one another leader is taken in each round, until a round over all bands brings no link. Within a task a bucket is reduced to
-its leader and a few members before the shuffle.
+buckets that still hold several components go on: in the second round, all pairs across components of small buckets are compared,
+by a bit of each signature value first; in large ones another leader is taken in each round, until a round over all bands brings no
+link. Within a task a bucket is reduced to its leader and a few members before the shuffle.
 
 Defined cases: null and empty texts (and white space alone) have the empty set, n_shingles 0, and link with nothing. Texts of fewer than k words
 have one shingle, their whole sequence. Rows that share a doc_id are one document for linking. Repeated rows give repeated rows with
@@ -31,12 +31,12 @@ from .components import components
 from .shared import discard, parts, staged, text_or_empty
 
 _U = np.uint64
-#: Bands and rows of each: a pair at 0.75 shares a band with probability 0.999995.
-BANDS, ROWS = 32, 4
+#: Bands and rows of each: a pair at 0.75 shares a band with probability 0.99994, one at 0.2 with 0.01.
+BANDS, ROWS = 36, 5
 #: Similarity of a link, in percent; shingle size; probability below which a candidate is given up; signature values a batch.
 SIMILAR, SHINGLE, MISS, BATCH = 75, 5, 1e-5, 16
-#: Members up to which a bucket's pairs across components are all compared.
-SMALL = 48
+#: Members up to which a bucket's pairs across components are all compared, by bits of their signatures first.
+SMALL = 4096
 #: Rounds with another leader for large buckets, at most; they end before when one brings nothing.
 ROUNDS = 8
 
@@ -50,9 +50,10 @@ def signature(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Least values of len(a) hash functions over the set h, taken a block at a time."""
     x = (h >> _U(32)).astype(np.uint32)
     out = np.full(len(a), 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(x), 1024):
-        v = x[i : i + 1024, None] * a + b
-        np.minimum(out, (v ^ (v >> np.uint32(15))).min(0), out=out)
+    for i in range(0, len(x), 256):
+        v = x[i : i + 256, None] * a
+        v += b
+        np.minimum(out, v.min(0), out=out)
     return out
 
 
@@ -86,67 +87,141 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def _groups(key: np.ndarray) -> Iterator[np.ndarray]:
-    """Indices of each group of two or more equal keys."""
-    order = np.argsort(key, kind="stable")
-    s = key[order]
-    new = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1], [True]])) if len(s) else np.zeros(1, np.int64)
-    size = np.diff(new)
-    for g in np.flatnonzero(size > 1):
+def _groups(key: np.ndarray, labels: np.ndarray) -> Iterator[np.ndarray]:
+    """Indices of each group of equal keys that has more than one label."""
+    order, new, mixed = _grouped(key, labels)
+    for g in np.flatnonzero(mixed):
         yield order[new[g] : new[g + 1]]
 
 
-def _pairs_within(ids: np.ndarray, labels: np.ndarray, rank: np.ndarray, exact: bool, small: int) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of one bucket: all across labels if it is small and `exact`, else each member with the leader."""
-    if exact and len(ids) <= small:
-        i, j = np.triu_indices(len(ids), 1)
-    else:
-        i = np.full(len(ids) - 1, np.argmin(rank))
-        j = np.delete(np.arange(len(ids)), i[0])
-    other = labels[i] != labels[j]
-    return ids[i[other]], ids[j[other]]
+def _grouped(key: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by key, bounds of the groups in it, and which groups have more than one label."""
+    order = np.argsort(key, kind="stable")
+    s, of = key[order], labels[order]
+    new = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1], [True]])) if len(s) else np.zeros(1, np.int64)
+    mixed = np.minimum.reduceat(of, new[:-1]) != np.maximum.reduceat(of, new[:-1]) if len(s) else np.zeros(0, bool)
+    return order, new, mixed
+
+
+def _stars(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the first round: (least id, other id) of each group of equal keys, and which rows stand for their group."""
+    if not len(key):
+        return ids, ids, np.zeros(0, bool)
+    order, new, mixed = _grouped(key, ids)
+    own = ids[order]
+    lead = np.repeat(np.minimum.reduceat(own, new[:-1]), np.diff(new))
+    other = (own != lead) & np.repeat(mixed, np.diff(new))
+    first = np.zeros(len(own), bool)
+    at = np.flatnonzero(own == lead)
+    groups = np.repeat(np.arange(len(new) - 1), np.diff(new))[at]
+    first[order[at[np.concatenate([[True], groups[1:] != groups[:-1]])]]] = True
+    return lead[other], own[other], first
+
+
+def _sketches(sig: np.ndarray) -> np.ndarray:
+    """A bit of each signature value, as 64-bit words."""
+    bits = np.packbits((sig & np.uint32(256)) > 0, axis=1)
+    wide = np.zeros((len(sig), -(-bits.shape[1] // 8) * 8), np.uint8)
+    wide[:, : bits.shape[1]] = bits
+    return wide.view(_U)
+
+
+def least_bits(n: int, threshold: float, miss: float) -> int:
+    """Fewest equal bits of n with which a pair at the threshold goes on: fewer come with a probability below `miss`."""
+    p, below = (1 + threshold) / 2, 0.0
+    for m in range(n + 1):
+        below += comb(n, m) * p**m * (1 - p) ** (n - m)
+        if below >= miss:
+            return m
+    return n
 
 
-def candidates(classes: DataFrame, round_: int, bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
-    """classes: id, label, sig. Pairs (a, b) of different labels that share a band: with the least id in round 0, with one after another
-    pseudo-random leader later; small buckets give all pairs across labels from round 1 on."""
+class _Bucket:
+    """Pairs of one bucket in a later round: in small buckets all pairs across labels (in round 1 only, as they don't change), in large ones each
+    member with a leader of the round. Pairs whose bits differ too much are left out."""
+
+    def __init__(self, round_: int, small: int, values: int, threshold: float, miss: float):
+        self.round, self.small = round_, small
+        self.most = values - least_bits(values, threshold, miss)
+
+    def rank(self, ids: np.ndarray, key: int) -> np.ndarray:
+        return K.mix(ids.view(_U) ^ _U((key + self.round * 0x9E37) & 0xFFFFFFFFFFFFFFFF))
+
+    def pairs(self, ids: np.ndarray, labels: np.ndarray, key: int, bits: np.ndarray, whole: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        if whole and len(ids) <= self.small:
+            if self.round > 1:
+                return ids[:0], ids[:0]
+            return self._all(ids, labels, bits)
+        else:
+            i = np.full(len(ids) - 1, np.argmin(self.rank(ids, key)))
+            j = np.delete(np.arange(len(ids)), i[0])
+        keep = labels[i] != labels[j]
+        i, j = i[keep], j[keep]
+        if len(i):
+            keep = np.bitwise_count(bits[i] ^ bits[j]).sum(1) <= self.most
+            i, j = i[keep], j[keep]
+        return ids[i], ids[j]
+
+    def _all(self, ids: np.ndarray, labels: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs across labels whose bits are near enough, a block of rows at a time."""
+        a, b = [], []
+        for lo in range(0, len(ids), 256):
+            rows = slice(lo, lo + 256)
+            far = labels[rows, None] != labels[None, lo:]
+            i, j = np.nonzero(np.triu(far, 1) if far.any() else far[:0])
+            keep = np.bitwise_count(bits[rows][i] ^ bits[lo:][j]).sum(1) <= self.most
+            a.append(ids[rows][i[keep]])
+            b.append(ids[lo:][j[keep]])
+        return np.concatenate(a), np.concatenate(b)
+
+
+def candidates(classes: DataFrame, round_: int, bands: int = BANDS, rows: int = ROWS, small: int = SMALL, threshold: float = SIMILAR / 100, miss: float = MISS) -> DataFrame:
+    """classes: id, label, sig. Pairs (a, b) of different labels that share a band and go on in this round.
+
+    Round 0 pairs each class with the least id of any of its buckets only; what that leaves open is round 1's, which compares all pairs
+    across the components found, among the classes that share a band with another at all."""
     n = parts(classes.sparkSession)
-    exact = round_ > 0
-
-    def rank(ids: np.ndarray, key: int) -> np.ndarray:
-        return K.mix(ids.view(_U) ^ _U((key + round_ * 0x9E37) & 0xFFFFFFFFFFFFFFFF)) if exact else ids
+    words = -(-bands * rows // 64) if round_ else 0
+    bucket = _Bucket(round_, small, bands * rows, threshold, miss)
 
     def pack(kind: bytes, *columns: np.ndarray) -> bytes:
         order = np.argsort(columns[0], kind="stable")
         return kind + B.pack(*(c[order] for c in columns))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, labels, sigs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+        ids, labels, found, bits = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, bands), _U)], [np.zeros((0, words), _U)]
         for b in batches:
+            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(b.num_rows, bands * rows)
             ids.append(b.column("id").to_numpy())
             labels.append(b.column("label").to_numpy())
-            sigs.append(band_keys(np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(b.num_rows, bands * rows), bands, rows))
-        ids, labels = np.concatenate(ids), np.concatenate(labels)
-        keys = np.concatenate(sigs) if sigs else np.zeros((0, bands), _U)
+            found.append(band_keys(sig, bands, rows))
+            if words:
+                bits.append(_sketches(sig))
+        ids, labels, keys, bits = (np.concatenate(x) for x in (ids, labels, found, bits))
         for band in range(bands):
             key = keys[:, band]
-            send = np.ones(len(key), bool)
             ea, eb = [], []
-            for g in _groups(key):
-                if exact and len(g) <= small:
-                    continue
-                r = rank(ids[g], int(key[g[0]]))
-                x, y = _pairs_within(ids[g], labels[g], r, False, small)
+            if round_:
+                send = np.ones(len(key), bool)
+                for g in _groups(key, labels):
+                    if len(g) <= small:
+                        continue
+                    x, y = bucket.pairs(ids[g], labels[g], int(key[g[0]]), bits[g], whole=False)
+                    ea.append(x)
+                    eb.append(y)
+                    send[g] = False
+                    send[g[np.argsort(bucket.rank(ids[g], int(key[g[0]])), kind="stable")[: small + 1]]] = True
+            else:
+                x, y, send = _stars(key, ids)
                 ea.append(x)
                 eb.append(y)
-                send[g] = False
-                send[g[np.argsort(r, kind="stable")[: small + 1 if exact else 1]]] = True
             at = np.flatnonzero(send)
             for k, part in B.dealt(B.bucket_of(key[at], n), n):
-                yield B.rows([(k, pack(b"k", key[at[part]], ids[at[part]].view(_U), labels[at[part]].view(_U)))])
-            if ea:
+                p = at[part]
+                yield B.rows([(k, pack(b"k", key[p], ids[p].view(_U), labels[p].view(_U), *(bits[p, w] for w in range(words))))])
+            if sum(map(len, ea)):
                 x, y = np.concatenate(ea).view(_U), np.concatenate(eb).view(_U)
-                yield B.rows([((band * 7919 + int(x[0] if len(x) else 0)) % n, pack(b"e", x, y))])
+                yield B.rows([((band * 7919 + int(x[0])) % n, pack(b"e", x, y))])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, a, b = [], [], []
@@ -158,13 +233,18 @@ def candidates(classes: DataFrame, round_: int, bands: int = BANDS, rows: int =
                     a.append(x.view(np.int64))
                     b.append(y.view(np.int64))
                 else:
-                    held.append(B.unpack(raw[1:], 3))
+                    held.append(B.unpack(raw[1:], 3 + words))
         if held:
-            key, ids, labels = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, ids, labels, *bits = (np.concatenate(x) for x in zip(*held, strict=True))
             del held
-            ids, labels = ids.view(np.int64), labels.view(np.int64)
-            for g in _groups(key):
-                x, y = _pairs_within(ids[g], labels[g], rank(ids[g], int(key[g[0]])), exact, small)
+            ids, labels, bits = ids.view(np.int64), labels.view(np.int64), np.stack(bits, 1) if words else None
+            if round_:
+                for g in _groups(key, labels):
+                    x, y = bucket.pairs(ids[g], labels[g], int(key[g[0]]), bits[g])
+                    a.append(x)
+                    b.append(y)
+            else:
+                x, y, _ = _stars(key, ids)
                 a.append(x)
                 b.append(y)
         a, b = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (a, b))
@@ -174,7 +254,10 @@ def candidates(classes: DataFrame, round_: int, bands: int = BANDS, rows: int =
             yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], names=["a", "b"])
 
     dealt = classes.select("id", "label", "sig").mapInArrow(deal, B.BLOB_ROWS)
-    return dealt.repartitionById(n, F.col("bucket")).mapInArrow(join, "a long, b long").distinct()
+    found = dealt.repartitionById(n, F.col("bucket")).mapInArrow(join, "a long, b long")
+    if round_:
+        return found.distinct()
+    return found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
 
 
 def least_matches(n: int, threshold: float, miss: float) -> int:
@@ -245,6 +328,8 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR, id_column: str = "d
             labelled = classes.join(labels, "id", "left").select("id", "sig", F.coalesce("component", "id").alias("label"))
         pairs = candidates(labelled, round_)
         pairs = staged(pairs, "candidates")
+        if round_ and pairs.isEmpty():
+            break
         if texts is None:
             pool = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
             whole = docs.select(F.col(id_column).cast("long").alias("id"), text_or_empty(text_column).alias("text"))
