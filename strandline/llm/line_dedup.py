@@ -29,36 +29,39 @@ from .components import components
 from .shared import discard, staged
 
 _U = np.uint64
-#: Shingle bytes; least bytes of a line; percent of similarity; bands and rows.
-SHINGLE, SHORT, SIMILAR, BANDS, ROWS = 8, 20, 75, 16, 4
+#: Shingle bytes; least bytes of a line; percent of similarity; bands and rows: a pair at 75 % shares a band with probability 0.9995.
+SHINGLE, SHORT, SIMILAR, BANDS, ROWS = 8, 20, 75, 20, 4
 BINS = BANDS * ROWS
 #: Bits of the filter of candidate lines: its size is fixed, and a full filter only passes more.
 FILTER_BITS = 25
-_NEWLINE = np.zeros(256, bool)
-_NEWLINE[10] = True
 _EMPTY = np.uint32(0xFFFFFFFF)
 
 
-def normal_lines(data: np.ndarray, offs: np.ndarray, short: int = SHORT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Normalised bytes, starts and ends of the lines long enough, their text index and their number among the text's lines."""
+def normal_lines(data: np.ndarray, offs: np.ndarray, short: int = SHORT) -> tuple[np.ndarray, ...]:
+    """Normalised bytes; starts, ends, text index, number among the text's lines and hash of the lines long enough."""
     none = np.zeros(0, np.int64)
+    text = K.lowered(data)
     starts, ends, owner = K.words(data, offs)
     if not len(starts):
-        return data[:0], none, none, none, none
-    breaks = np.concatenate([[0], np.cumsum(_NEWLINE[data], dtype=np.int64)])
-    number = breaks[starts] - breaks[offs[owner]]
+        return text[:0], none, none, none, none, none
+    breaks = np.flatnonzero(data == 10)
+    line = np.repeat(np.arange(len(breaks) + 1), np.diff(np.searchsorted(starts, breaks, "right"), prepend=0, append=len(starts)))
     first = np.ones(len(starts), bool)
-    first[1:] = (owner[1:] != owner[:-1]) | (number[1:] != number[:-1])
-    keep = ~K._SPACES[data]
-    gap = starts[~first] - 1
+    first[1:] = (owner[1:] != owner[:-1]) | (line[1:] != line[:-1])
+    keep = K.not_space(data)
+    gap = starts[~first] - 1  # one space before each word but a line's first
     keep[gap] = True
-    text = K.lowered(data)
     text[gap] = 32
-    place = np.concatenate([[0], np.cumsum(keep, dtype=np.int64)])
+    size = ends - starts
+    begin = np.cumsum(size + ~first) - size
     at = np.flatnonzero(first)
-    ls, le = place[starts[at]], place[ends[np.append(at[1:], len(starts)) - 1]]
+    nth = np.arange(len(starts)) - np.repeat(at, np.diff(np.append(at, len(starts))))
+    h = np.add.reduceat(K.mix(K.hashes(text, starts, ends) + nth.astype(_U) * K._STEP), at)
+    ls, last = begin[at], np.append(at[1:], len(starts)) - 1
+    le = begin[last] + size[last]
     good = le - ls >= short
-    return text[keep], ls[good], le[good], owner[at][good], number[at][good]
+    number = line[at] - np.searchsorted(breaks, offs[owner[at]])
+    return text[keep], ls[good], le[good], owner[at][good], number[good], K.mix(h[good]).view(np.int64)
 
 
 def _windows(text: np.ndarray) -> np.ndarray:
@@ -72,14 +75,25 @@ def _donors(seed: int = 29) -> np.ndarray:
 
 
 def signatures(text: np.ndarray, ls: np.ndarray, le: np.ndarray) -> np.ndarray:
-    """(lines, BINS) least shingle hash of each bin; an empty bin takes the value of the first filled one in its own random order."""
-    n = np.maximum(le - ls - SHINGLE + 1, 1)
-    line = np.repeat(np.arange(len(ls)), n)
-    pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(ls, n)
-    h = K.mix(_windows(text)[pos])
-    out = np.full(len(ls) * BINS, _EMPTY, np.uint32)
-    np.minimum.at(out, line * BINS + (h >> _U(58)).astype(np.int64), ((h >> _U(26)) & _U(0xFFFFFFFE)).astype(np.uint32))
-    out = out.reshape(-1, BINS)
+    """(lines, BINS) least shingle hash of each bin, for lines in order; an empty bin takes the value of the first filled one in its own
+    random order."""
+    n = len(ls)
+    if not n:
+        return np.zeros((0, BINS), np.uint32)
+    h = _windows(text)[ls[0] : le[-1]] * _U(0xD6E8FEB86659FD93)
+    h ^= h >> _U(32)
+    h *= _U(0x9E3779B97F4A7C15)
+    # each position's row; those too near a line's end, and between lines, go to a row beyond the last
+    size = np.empty((n, 2), np.int64)
+    size[:, 0] = np.maximum(le - ls - SHINGLE + 1, 1)
+    size[:, 1] = np.append(ls[1:], le[-1]) - ls - size[:, 0]
+    row = np.full((n, 2), n, np.int64)
+    row[:, 0] = np.arange(n)
+    where = np.repeat(row.ravel() * BINS, size.ravel())
+    where += (((h >> _U(32)) * _U(BINS)) >> _U(32)).view(np.int64)
+    out = np.full((n + 1) * BINS, _EMPTY, np.uint32)
+    np.minimum.at(out, where, h.astype(np.uint32) & np.uint32(0xFFFFFFFE))
+    out = out.reshape(-1, BINS)[:n].copy()
     row, bin_ = np.nonzero(out == _EMPTY)
     source, donors = out.copy(), _donors()
     for t in range(BINS):
@@ -95,8 +109,8 @@ def signatures(text: np.ndarray, ls: np.ndarray, le: np.ndarray) -> np.ndarray:
 def _lines(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """First row of a chunk, normalised bytes, starts, ends, row, line number and hash of its lines."""
     for lo, _, data, offs in K.chunks(column, 2 << 20):
-        text, ls, le, owner, number = normal_lines(data, offs)
-        yield lo, text, ls, le, owner + lo, number, K.hashes(text, ls, le).view(np.int64)
+        text, ls, le, owner, number, h = normal_lines(data, offs)
+        yield lo, text, ls, le, owner + lo, number, h
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -117,12 +131,13 @@ def _distinct(batches: Iterator[pa.RecordBatch], wanted=None) -> Iterator[tuple[
     seen = np.zeros(0, np.int64)
     for b in batches:
         for _, text, ls, le, _, _, h in _lines(b.column("text")):
-            h, at = np.unique(h, return_index=True)
-            new = ~np.isin(h, seen)
-            seen = np.union1d(seen, h)
             if wanted is not None:
-                new &= wanted(h)
-            yield text, ls[at[new]], le[at[new]], h[new]
+                at = np.flatnonzero(wanted(h))
+                ls, le, h = ls[at], le[at], h[at]
+            own, at = np.unique(h, return_index=True)
+            at = np.sort(at[~np.isin(own, seen)])
+            seen = np.union1d(seen, own)
+            yield text, ls[at], le[at], h[at]
 
 
 def signed_lines(docs: DataFrame) -> DataFrame:
@@ -187,21 +202,33 @@ def candidate_lines(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return found.select("id", "text").mapInArrow(sign, "id long, text binary, sig binary")
 
 
-def _shingles(line: bytes) -> np.ndarray:
-    return np.unique(_windows(np.frombuffer(line, np.uint8))[: max(1, len(line) - SHINGLE + 1)])
+def _set(windows: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    s = np.sort(windows)
+    new = np.ones(len(s), bool)
+    np.not_equal(s[1:], s[:-1], out=new[1:])
+    return s[new]
+
+
+def _sets(column: pa.Array) -> list[np.ndarray]:
+    texts = column.to_pylist()
+    end = np.cumsum([len(x) for x in texts]).tolist()
+    all_ = _windows(np.frombuffer(b"".join(texts), np.uint8))
+    return [_set(all_[e - len(x) : max(e - len(x) + 1, e - SHINGLE + 1)]) for x, e in zip(texts, end, strict=True)]
 
 
 def verified(pairs: DataFrame, lines: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """Pairs whose exact Jaccard similarity of shingles reaches `similar` percent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good = np.zeros(b.num_rows, bool)
-            for i, (x, y) in enumerate(zip(b.column("ta").to_pylist(), b.column("tb").to_pylist(), strict=True)):
-                p, q = _shingles(x), _shingles(y)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                good[i] = 100 * both >= similar * (len(p) + len(q) - both)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(good))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2048):
+                b = batch.slice(lo, 2048)
+                good = np.zeros(b.num_rows, bool)
+                for i, (p, q) in enumerate(zip(_sets(b.column("ta")), _sets(b.column("tb")), strict=True)):
+                    both = np.count_nonzero(p[np.minimum(np.searchsorted(p, q), len(p) - 1)] == q)
+                    good[i] = 100 * both >= similar * (len(p) + len(q) - both)
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(good))
 
     left = lines.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     right = lines.select(F.col("id").alias("b"), F.col("text").alias("tb"))
@@ -210,19 +237,21 @@ def verified(pairs: DataFrame, lines: DataFrame, similar: int = SIMILAR) -> Data
 
 def line_components(docs: DataFrame, rounds: int = N.ROUNDS) -> DataFrame:
     """id (line hash) and component of lines that have a near copy."""
-    shape = {"bands": BANDS, "rows": ROWS}
+    shape = {"bands": BANDS, "rows": ROWS, "miss": 0.0}  # bins of short lines depend on each other: their bits rule nothing out
     pairs = staged(N.candidates(signed_lines(docs), 0, **shape), "line_pairs")
     pool = staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "line_pool")
     lines = staged(candidate_lines(docs, pool), "line_texts")
     links = labels = None
     for round_ in range(rounds):
         if round_:
+            discard(docs.sparkSession, pairs)
             named = lines.join(labels, "id", "left").select("id", "sig", F.coalesce("component", "id").alias("label"))
             pairs = staged(N.candidates(named, round_, **shape), "line_pairs")
+            if pairs.isEmpty():
+                break
         new = staged(verified(pairs, lines), "line_links")
         found = new.count()
         links = new if links is None else links.union(new)
-        discard(docs.sparkSession, pairs)
         if round_ and not found:
             break
         labels = components(links)
@@ -266,11 +295,10 @@ def _without(both: DataFrame, docs: DataFrame, text_column: str) -> DataFrame:
             column = b.column(text_column)
             texts, n, dropped = [], [], []
             for text, gone in zip(column.to_pylist(), b.column("_gone").to_pylist(), strict=True):
-                lines = (text or "").split("\n")
-                n.append(len(lines) if text else 0)
+                n.append(text.count("\n") + 1 if text else 0)
                 dropped.append(len(gone or ()))
                 if gone:
-                    away = set(gone)
+                    lines, away = text.split("\n"), set(gone)
                     text = "\n".join(x for i, x in enumerate(lines) if i not in away)
                 texts.append(text)
             columns = [pa.array(texts, column.type) if c == text_column else b.column(c) for c in names]
