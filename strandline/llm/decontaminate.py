@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import staged, text_or_empty
+from .shared import bounded_batches, staged, text_or_empty
 
 SEED_WORDS, TILE, COVER = 5, 3, 0.6
 #: Bytes of benchmark text up to which it travels to the workers.
@@ -136,6 +136,7 @@ def doc_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _small(benchmark: DataFrame, limit: int) -> Items | None:
     """The benchmark's items, if their checked size is below the limit."""
+    bounded_batches(benchmark.sparkSession)
     size = benchmark.agg(F.sum(F.octet_length(text_or_empty()) + 64)).first()[0] or 0
     if size > limit:
         return None

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import blobs as B
 from . import kernel as K
-from .shared import fold, fresh, parts, text_or_empty
+from .shared import bounded_batches, fold, fresh, parts, text_or_empty
 
 _U = np.uint64
 #: Hash of the end token; numbers of the begin context and of words never seen.
@@ -198,6 +198,7 @@ def fit(texts: DataFrame) -> Model:
     """texts: the column `text`, without nulls."""
     spark = texts.sparkSession
     root = fresh(spark, "kneser_ney")
+    bounded_batches(spark)
     n = max(parts(spark), texts.rdd.getNumPartitions())
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

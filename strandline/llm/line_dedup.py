@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from . import near_dedup as N
 from .components import components
-from .shared import discard, staged
+from .shared import bounded_batches, discard, staged
 
 _U = np.uint64
 #: Shingle bytes; least bytes of a line; percent of similarity; bands and rows: a pair at 75 % shares a band with probability 0.9995.
@@ -261,6 +261,7 @@ def line_components(docs: DataFrame, rounds: int = N.ROUNDS) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs with the dropped lines taken out of the text, and n_lines and n_dropped; same rows, other columns as they are."""
+    bounded_batches(docs.sparkSession)
     keyed = docs.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("digest"), F.coalesce(text_column, F.lit("")).alias("text"))
     occ = staged(occurrences(keyed), "occurrences")
     labels = line_components(keyed)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import blobs as B
 from . import kernel as K
 from .components import components
-from .shared import discard, parts, staged, text_or_empty
+from .shared import bounded_batches, discard, parts, staged, text_or_empty
 
 _U = np.uint64
 #: Bands and rows of each: a pair at 0.75 shares a band with probability 0.99994, one at 0.2 with 0.01.
@@ -59,6 +59,7 @@ def signature(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_shingles, d1 and d2 (digest of the set) and signature of every row."""
+    bounded_batches(docs.sparkSession)
     a, b = _multipliers(bands * rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .features import NAMES, statistics
-from .shared import fold, staged, text_or_empty
+from .shared import bounded_batches, fold, staged, text_or_empty
 
 #: Random features; width of the kernel in standardised units; ridge penalty for each row; bins of the calibration.
 FEATURES, WIDTH, RIDGE, BINS = 256, 5.0, 1e-4, 4096
@@ -28,6 +28,7 @@ FEATURES, WIDTH, RIDGE, BINS = 256, 5.0, 1e-4, 4096
 
 def measured(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id and the statistics of each text. Other columns never pass through Python."""
+    bounded_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import text_or_empty
+from .shared import bounded_batches, text_or_empty
 
 #: The base patterns, the length each match must reach and the group it is measured on.
 ASSIGN = re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -121,6 +121,7 @@ SPANS = "doc_id {id}, spans array<struct<start:long,end:long,kind:string>>"
 
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", bits: float = NOVEL_BITS) -> DataFrame:
     """doc_id and all spans (base and novel, by start) of every row. No shuffle: each text is read where it lies."""
+    bounded_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_column]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

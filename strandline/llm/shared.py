@@ -47,6 +47,14 @@ def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Arrow batches between the JVM and Python workers hold `size` bytes at most (or one row), however long texts are; unless the
+    application was started with a bound of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(key):
+        spark.conf.set(key, str(size))
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SPACE, fresh, staged, text_or_empty
+from .shared import SPACE, bounded_batches, fresh, staged, text_or_empty
 
 #: Words that a worker remembers at most.
 MEMO = 400_000
@@ -99,6 +99,7 @@ class TokenCache:
 
     def count(self, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
         """id, n_bytes, n_tokens of every row."""
+        bounded_batches(self.spark)
         text = text_or_empty(text_column)
         same = F.regexp_replace(F.translate(text, SPACE, " " * len(SPACE)), " {2,}", " ") if self.by_word else text
         rows = docs.select(F.col(id_column).alias("doc_id"), text.alias("text"), F.unhex(F.sha2(same, 256)).alias("content"))

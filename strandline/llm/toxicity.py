@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .features import word_features
-from .shared import fold, text_or_empty
+from .shared import bounded_batches, fold, text_or_empty
 
 #: Bounds of the samples that the fit reads, and of the features that it may use.
 POSITIVES, UNLABELLED, WIDTH = 2_000, 6_000, 8_192
@@ -128,6 +128,7 @@ def nn_pu(pos: tuple, unl: tuple, features: np.ndarray, prior: float, rounds: in
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, seed: int = 11) -> Linear:
     """Reads labels and texts of rows outside fold 0 only."""
+    bounded_batches(docs.sparkSession)
     order = F.xxhash64(F.lit(seed), "doc_id")
     train = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 0))
     prior = train.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
