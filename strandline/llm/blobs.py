@@ -51,7 +51,7 @@ def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys in order, and each value summed by key."""
     if not len(keys):
         return (keys, *values)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return (keys[at], *(np.add.reduceat(v[order], at) for v in values))

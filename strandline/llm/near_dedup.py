@@ -6,9 +6,9 @@ batch by batch of their signatures, and a pair is dropped as soon as the posteri
 threshold is below MISS. What survives is verified on the full shingle sets, and verified links are joined to components.
 
 No group is expanded into all its pairs. In a band's bucket every member is compared with one leader. Links found make components, and only
-buckets that still hold several components go on: in the second round, all pairs across components of small buckets are compared,
-by a bit of each signature value first; in large ones another leader is taken in each round, until a round over all bands brings no
-link. Within a task a bucket is reduced to its leader and a few members before the shuffle.
+buckets that still hold several components go on: first with their most central members as leaders; then all pairs across components
+of small buckets are compared, by a bit of each signature value before anything else; in large ones another leader is taken in each
+round, until a round over all bands brings no link. Within a task a bucket is reduced to its leader and a few members before the shuffle.
 
 Defined cases: null and empty texts (and white space alone) have the empty set, n_shingles 0, and link with nothing. Texts of fewer than k words
 have one shingle, their whole sequence. Rows that share a doc_id are one document for linking. Repeated rows give repeated rows with
@@ -38,7 +38,7 @@ SIMILAR, SHINGLE, MISS, BATCH = 75, 5, 1e-5, 16
 #: Members up to which a bucket's pairs across components are all compared, by bits of their signatures first.
 SMALL = 4096
 #: Rounds with another leader for large buckets, at most; they end before when one brings nothing.
-ROUNDS = 8
+ROUNDS = 12
 
 
 def _multipliers(n: int, seed: int = 71) -> tuple[np.ndarray, np.ndarray]:
@@ -88,45 +88,35 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def _groups(key: np.ndarray, labels: np.ndarray) -> Iterator[np.ndarray]:
-    """Indices of each group of equal keys that has more than one label."""
-    order, new, mixed = _grouped(key, labels)
-    for g in np.flatnonzero(mixed):
-        yield order[new[g] : new[g + 1]]
-
-
 def _grouped(key: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by key, bounds of the groups in it, and which groups have more than one label."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     s, of = key[order], labels[order]
     new = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1], [True]])) if len(s) else np.zeros(1, np.int64)
     mixed = np.minimum.reduceat(of, new[:-1]) != np.maximum.reduceat(of, new[:-1]) if len(s) else np.zeros(0, bool)
     return order, new, mixed
 
 
-def _stars(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the first round: (least id, other id) of each group of equal keys, and which rows stand for their group."""
-    if not len(key):
-        return ids, ids, np.zeros(0, bool)
-    order, new, mixed = _grouped(key, ids)
-    own = ids[order]
-    lead = np.repeat(np.minimum.reduceat(own, new[:-1]), np.diff(new))
-    other = (own != lead) & np.repeat(mixed, np.diff(new))
+def _groups(order: np.ndarray, new: np.ndarray, mixed: np.ndarray) -> Iterator[np.ndarray]:
+    """Indices of each group that has more than one label."""
+    for g in np.flatnonzero(mixed):
+        yield order[new[g] : new[g + 1]]
+
+
+def _stars(order: np.ndarray, new: np.ndarray, mixed: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the first round: (least id, other id) of each group, and which places of the order stand for their group."""
+    own, size = ids[order], np.diff(new)
     first = np.zeros(len(own), bool)
+    if not len(own):
+        return own, own, first
+    lead = np.repeat(np.minimum.reduceat(own, new[:-1]), size)
+    other = (own != lead) & np.repeat(mixed, size)
     at = np.flatnonzero(own == lead)
-    groups = np.repeat(np.arange(len(new) - 1), np.diff(new))[at]
-    first[order[at[np.concatenate([[True], groups[1:] != groups[:-1]])]]] = True
+    groups = np.repeat(np.arange(len(size)), size)[at]
+    first[at[np.concatenate([[True], groups[1:] != groups[:-1]])]] = True
     return lead[other], own[other], first
 
 
-def _sketches(sig: np.ndarray) -> np.ndarray:
-    """A bit of each signature value, as 64-bit words."""
-    bits = np.packbits((sig & np.uint32(256)) > 0, axis=1)
-    wide = np.zeros((len(sig), -(-bits.shape[1] // 8) * 8), np.uint8)
-    wide[:, : bits.shape[1]] = bits
-    return wide.view(_U)
-
-
 def least_bits(n: int, threshold: float, miss: float) -> int:
     """Fewest equal bits of n with which a pair at the threshold goes on: fewer come with a probability below `miss`."""
     p, below = (1 + threshold) / 2, 0.0
@@ -137,92 +127,107 @@ def least_bits(n: int, threshold: float, miss: float) -> int:
     return n
 
 
+def bit_sketches(batch: pa.RecordBatch, values: int, threshold: float = SIMILAR / 100, miss: float = MISS) -> tuple[np.ndarray, np.ndarray]:
+    """A bit of each signature value, as 64-bit words, and the bits in which a pair may differ."""
+    sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(batch.num_rows, values)
+    bits = np.packbits((sig & np.uint32(256)) > 0, axis=1)
+    wide = np.zeros((len(sig), -(-values // 64) * 8), np.uint8)
+    wide[:, : bits.shape[1]] = bits
+    return wide.view(_U), np.full(len(sig), values - least_bits(values, threshold, miss), np.int64)
+
+
 class _Bucket:
-    """Pairs of one bucket in a later round: in small buckets all pairs across labels (in round 1 only, as they don't change), in large ones each
-    member with a leader of the round. Pairs whose bits differ too much are left out."""
+    """Pairs across labels of one bucket in a later round. A pair whose sketches differ in more bits than half the sum of their allowances is left
+    out. Round 1: the two most central members with all others. Round 2: all pairs, if the bucket is small; a pair that shares an
+    earlier band has met there. From round 3 on: in large buckets only, a pseudo-random leader with all others."""
 
-    def __init__(self, round_: int, small: int, values: int, threshold: float, miss: float):
+    def __init__(self, round_: int, small: int):
         self.round, self.small = round_, small
-        self.most = values - least_bits(values, threshold, miss)
 
     def rank(self, ids: np.ndarray, key: int) -> np.ndarray:
         return K.mix(ids.view(_U) ^ _U((key + self.round * 0x9E37) & 0xFFFFFFFFFFFFFFFF))
 
-    def pairs(self, ids: np.ndarray, labels: np.ndarray, key: int, bits: np.ndarray, whole: bool = True) -> tuple[np.ndarray, np.ndarray]:
-        if whole and len(ids) <= self.small:
-            if self.round > 1:
-                return ids[:0], ids[:0]
-            return self._all(ids, labels, bits)
+    def star(self, lead: int, labels: np.ndarray, bits: np.ndarray, allow: np.ndarray) -> np.ndarray:
+        """Members that go on with a leader."""
+        near = 2 * np.bitwise_count(bits ^ bits[lead]).sum(1, dtype=np.int64) <= allow + allow[lead]
+        return np.flatnonzero(near & (labels != labels[lead]))
+
+    def pairs(self, ids: np.ndarray, labels: np.ndarray, key: int, bits: np.ndarray, allow: np.ndarray, earlier: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        small = earlier is not None and len(ids) <= self.small
+        if small and self.round == 2:
+            return self.all(ids, labels, bits, allow, earlier)
+        if small and self.round > 2:
+            return ids[:0], ids[:0]
+        if self.round == 1:
+            seen = bits[:: max(1, len(ids) // 48)]
+            far = np.zeros(len(ids), np.int64)
+            for x in seen:
+                far += np.bitwise_count(bits ^ x).sum(1, dtype=np.int64)
+            leads = np.argsort(far, kind="stable")[:2]
         else:
-            i = np.full(len(ids) - 1, np.argmin(self.rank(ids, key)))
-            j = np.delete(np.arange(len(ids)), i[0])
-        keep = labels[i] != labels[j]
-        i, j = i[keep], j[keep]
-        if len(i):
-            keep = np.bitwise_count(bits[i] ^ bits[j]).sum(1) <= self.most
-            i, j = i[keep], j[keep]
-        return ids[i], ids[j]
-
-    def _all(self, ids: np.ndarray, labels: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs across labels whose bits are near enough, a block of rows at a time."""
+            leads = [np.argmin(self.rank(ids, key))]
+        got = [self.star(x, labels, bits, allow) for x in leads]
+        return np.concatenate([np.full(len(g), ids[x]) for x, g in zip(leads, got, strict=True)]), np.concatenate([ids[g] for g in got])
+
+    def all(self, ids: np.ndarray, labels: np.ndarray, bits: np.ndarray, allow: np.ndarray, earlier: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A block of rows at a time."""
         a, b = [], []
         for lo in range(0, len(ids), 256):
             rows = slice(lo, lo + 256)
-            far = labels[rows, None] != labels[None, lo:]
-            i, j = np.nonzero(np.triu(far, 1) if far.any() else far[:0])
-            keep = np.bitwise_count(bits[rows][i] ^ bits[lo:][j]).sum(1) <= self.most
+            i, j = np.nonzero(np.triu(labels[rows, None] != labels[None, lo:], 1))
+            keep = np.flatnonzero(2 * np.bitwise_count(bits[rows][i] ^ bits[lo:][j]).sum(1, dtype=np.int64) <= allow[rows][i] + allow[lo:][j])
+            keep = keep[~(earlier[rows][i[keep]] == earlier[lo:][j[keep]]).any(1)]
             a.append(ids[rows][i[keep]])
             b.append(ids[lo:][j[keep]])
         return np.concatenate(a), np.concatenate(b)
 
 
-def candidates(classes: DataFrame, round_: int, bands: int = BANDS, rows: int = ROWS, small: int = SMALL, threshold: float = SIMILAR / 100, miss: float = MISS) -> DataFrame:
-    """classes: id, label, sig. Pairs (a, b) of different labels that share a band and go on in this round.
+def candidates(classes: DataFrame, round_: int, bands: int = BANDS, rows: int = ROWS, small: int = SMALL, sketches=None, words: int = -(-BANDS * ROWS // 64)) -> DataFrame:
+    """classes: id, label, sig, and what `sketches` reads. Pairs (a, b) of different labels that share a band and go on in this round.
 
-    Round 0 pairs each class with the least id of any of its buckets only; what that leaves open is round 1's, which compares all pairs
-    across the components found, among the classes that share a band with another at all."""
+    Round 0 gives each class that shares a band one pair only, that with the least id; what that leaves open is for the later rounds, among
+    the classes that share a band with another at all. sketches(batch) gives `words` 64-bit words and an allowance for each row."""
     n = parts(classes.sparkSession)
-    words = -(-bands * rows // 64) if round_ else 0
-    bucket = _Bucket(round_, small, bands * rows, threshold, miss)
+    halves = -(-bands // 2)
+    bucket = _Bucket(round_, small)
+    sketches = sketches or (lambda b: bit_sketches(b, bands * rows))
 
-    def pack(kind: bytes, *columns: np.ndarray) -> bytes:
-        order = np.argsort(columns[0], kind="stable")
-        return kind + B.pack(*(c[order] for c in columns))
+    def edges(x: np.ndarray, y: np.ndarray) -> bytes:
+        order = np.argsort(x)
+        return b"e" + B.pack(x[order].view(_U), y[order].view(_U))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, labels, found, bits = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, bands), _U)], [np.zeros((0, words), _U)]
+        got = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, bands), _U), np.zeros((0, words), _U), np.zeros(0, np.int64))]
         for b in batches:
             sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(b.num_rows, bands * rows)
-            ids.append(b.column("id").to_numpy())
-            labels.append(b.column("label").to_numpy())
-            found.append(band_keys(sig, bands, rows))
-            if words:
-                bits.append(_sketches(sig))
-        ids, labels, keys, bits = (np.concatenate(x) for x in (ids, labels, found, bits))
+            got.append((b.column("id").to_numpy(), b.column("label").to_numpy(), band_keys(sig, bands, rows), *(sketches(b) if round_ else got[0][3:])))
+        ids, labels, keys, bits, allow = (np.concatenate(x) for x in zip(*got, strict=True))
+        if round_:  # half of each band's hash goes along: it tells the first band that two classes share
+            short = np.zeros((len(keys), 2 * halves), np.uint32)
+            short[:, :bands] = keys >> _U(32)
+            more = np.hstack([allow[:, None].astype(_U), bits, short.view(_U)])
         for band in range(bands):
-            key = keys[:, band]
-            ea, eb = [], []
+            key = np.ascontiguousarray(keys[:, band])
+            order, new, mixed = _grouped(key, labels)
             if round_:
-                send = np.ones(len(key), bool)
-                for g in _groups(key, labels):
-                    if len(g) <= small:
-                        continue
-                    x, y = bucket.pairs(ids[g], labels[g], int(key[g[0]]), bits[g], whole=False)
+                ea, eb, send = [], [], np.ones(len(key), bool)
+                for g in np.flatnonzero(mixed & (np.diff(new) > small)):
+                    at = order[new[g] : new[g + 1]]
+                    x, y = bucket.pairs(ids[at], labels[at], int(key[at[0]]), bits[at], allow[at], None)
                     ea.append(x)
                     eb.append(y)
-                    send[g] = False
-                    send[g[np.argsort(bucket.rank(ids[g], int(key[g[0]])), kind="stable")[: small + 1]]] = True
+                    send[new[g] : new[g + 1]] = False
+                    send[new[g] + np.argsort(bucket.rank(ids[at], int(key[at[0]])), kind="stable")[: small + 1]] = True
+                x, y = (np.concatenate([ids[:0], *e]) for e in (ea, eb))
             else:
-                x, y, send = _stars(key, ids)
-                ea.append(x)
-                eb.append(y)
-            at = np.flatnonzero(send)
-            for k, part in B.dealt(B.bucket_of(key[at], n), n):
-                p = at[part]
-                yield B.rows([(k, pack(b"k", key[p], ids[p].view(_U), labels[p].view(_U), *(bits[p, w] for w in range(words))))])
-            if sum(map(len, ea)):
-                x, y = np.concatenate(ea).view(_U), np.concatenate(eb).view(_U)
-                yield B.rows([((band * 7919 + int(x[0])) % n, pack(b"e", x, y))])
+                x, y, send = _stars(order, new, mixed, ids)
+            at = order[send]
+            bounds = np.searchsorted(B.bucket_of(key[at], n), np.arange(n + 1))
+            for k in np.flatnonzero(np.diff(bounds)).tolist():
+                p = at[bounds[k] : bounds[k + 1]]
+                yield B.rows([(k, b"k" + B.pack(key[p], ids[p].view(_U), labels[p].view(_U), *((np.full(len(p), band, _U), *more[p].T) if round_ else ())))])
+            if len(x):
+                yield B.rows([((band * 7919 + int(x[0])) % n, edges(x, y))])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, a, b = [], [], []
@@ -234,18 +239,20 @@ def candidates(classes: DataFrame, round_: int, bands: int = BANDS, rows: int =
                     a.append(x.view(np.int64))
                     b.append(y.view(np.int64))
                 else:
-                    held.append(B.unpack(raw[1:], 3 + words))
+                    held.append(B.unpack(raw[1:], 5 + words + halves if round_ else 3))
         if held:
-            key, ids, labels, *bits = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, ids, labels, *more = (np.concatenate(x) for x in zip(*held, strict=True))
             del held
-            ids, labels, bits = ids.view(np.int64), labels.view(np.int64), np.stack(bits, 1) if words else None
+            ids, labels = ids.view(np.int64), labels.view(np.int64)
+            order, new, mixed = _grouped(key, labels)
             if round_:
-                for g in _groups(key, labels):
-                    x, y = bucket.pairs(ids[g], labels[g], int(key[g[0]]), bits[g])
+                band, allow, bits, short = more[0], more[1].view(np.int64), np.stack(more[2 : 2 + words], 1), np.stack(more[2 + words :], 1).view(np.uint32)
+                for g in _groups(order, new, mixed):
+                    x, y = bucket.pairs(ids[g], labels[g], int(key[g[0]]), bits[g], allow[g], short[g, : int(band[g[0]])])
                     a.append(x)
                     b.append(y)
             else:
-                x, y, _ = _stars(key, ids)
+                x, y, _ = _stars(order, new, mixed, ids)
                 a.append(x)
                 b.append(y)
         a, b = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (a, b))
@@ -254,11 +261,13 @@ def candidates(classes: DataFrame, round_: int, bands: int = BANDS, rows: int =
             part = keep[i : i + (1 << 17)]
             yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], names=["a", "b"])
 
-    dealt = classes.select("id", "label", "sig").mapInArrow(deal, B.BLOB_ROWS)
+    dealt = classes.mapInArrow(deal, B.BLOB_ROWS)
     found = dealt.repartitionById(n, F.col("bucket")).mapInArrow(join, "a long, b long")
     if round_:
         return found.distinct()
-    return found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    ends = found.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"))
+    ends = ends.groupBy(F.col("p.a").alias("x")).agg(F.min("p.b").alias("y"))
+    return ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def least_matches(n: int, threshold: float, miss: float) -> int:
@@ -321,31 +330,29 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR, id_column: str = "d
     on = ["n_shingles", "d1", "d2"]
     one = full.withColumnRenamed("doc_id", "id").join(groups, [*on, "id"]).dropDuplicates([*on, "id"])
     classes = staged(one.select("id", "n_shingles", "sig"), "class_signatures")
-    texts = links = None
-    labels = None
+    pool = links = labels = None
     for round_ in range(ROUNDS):
-        labelled = classes.withColumn("label", F.col("id"))
-        if labels is not None:
-            labelled = classes.join(labels, "id", "left").select("id", "sig", F.coalesce("component", "id").alias("label"))
-        pairs = candidates(labelled, round_)
-        pairs = staged(pairs, "candidates")
-        if round_ and pairs.isEmpty():
+        if round_:
+            labelled = pool.join(labels, "id", "left").select("id", "sig", F.coalesce("component", "id").alias("label"))
+        else:
+            labelled = classes.withColumn("label", F.col("id"))
+        pairs = staged(candidates(labelled, round_, sketches=lambda b: bit_sketches(b, BANDS * ROWS, similar / 100)), "candidates")
+        if round_ > 1 and pairs.isEmpty():
             break
-        if texts is None:
-            pool = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        if pool is None:  # only classes that share a band with another go on
+            ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
             whole = docs.select(F.col(id_column).cast("long").alias("id"), text_or_empty(text_column).alias("text"))
-            texts = staged(whole.join(pool, "id"), "candidate_texts")
-        alive = staged(survivors(pairs, classes, similar / 100), "survivors")
-        fresh = staged(verified(alive, texts, similar).distinct(), "links")
-        found = fresh.count()
-        links = fresh if links is None else links.union(fresh)
+            pool = staged(whole.join(classes.join(ids, "id").select("id", "sig"), "id"), "candidate_texts")
+            discard(docs.sparkSession, classes)
+        alive = staged(survivors(pairs, pool, similar / 100), "survivors")
+        new = staged(verified(alive, pool, similar).distinct(), "links")
+        found = new.count()
+        links = new if links is None else links.union(new)
         discard(docs.sparkSession, pairs, alive)
-        if round_ and not found:
+        if round_ > 2 and not found:
             break
         labels = components(links)
-    if labels is None:
-        labels = components(links)
-    discard(docs.sparkSession, texts, classes)
+    discard(docs.sparkSession, pool)
     named = groups.join(labels, "id", "left").select(*on, F.coalesce("component", "id").alias("component_id"))
     out = rows.drop("sig").join(staged(named, "class_components"), on, "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
