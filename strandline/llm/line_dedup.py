@@ -32,6 +32,9 @@ _U = np.uint64
 #: Shingle bytes; least bytes of a line; percent of similarity; bands and rows: a pair at 75 % shares a band with probability 0.9995.
 SHINGLE, SHORT, SIMILAR, BANDS, ROWS = 8, 20, 75, 20, 4
 BINS = BANDS * ROWS
+#: Bits of a candidate line's parity sketch.
+PARITY_LOG = 8
+PARITY = 1 << PARITY_LOG
 #: Bits of the filter of candidate lines: its size is fixed, and a full filter only passes more.
 FILTER_BITS = 25
 _EMPTY = np.uint32(0xFFFFFFFF)
@@ -196,10 +199,28 @@ def candidate_lines(docs: DataFrame, ids: DataFrame) -> DataFrame:
             size = np.array([len(x.as_buffer()) for x in b.column("text")], np.int64)
             text = np.frombuffer(b"".join(b.column("text").to_pylist()), np.uint8)
             end = np.cumsum(size)
-            s = signatures(text, end - size, end) if len(size) else np.zeros((0, BINS), np.uint32)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text"), pa.array([x.tobytes() for x in s], pa.binary())], names=["id", "text", "sig"])
+            s = signatures(text, end - size, end)
+            bits, n = parities(_sets(b.column("text")))
+            columns = [b.column("id"), b.column("text"), pa.array([x.tobytes() for x in s], pa.binary()), pa.array([x.tobytes() for x in bits], pa.binary()), pa.array(n)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "text", "sig", "parity", "n"])
 
-    return found.select("id", "text").mapInArrow(sign, "id long, text binary, sig binary")
+    return found.select("id", "text").mapInArrow(sign, "id long, text binary, sig binary, parity binary, n long")
+
+
+def parities(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each set PARITY bits, each the parity of the elements that hash to it, and its size. Two sets differ in as many elements at least as
+    their parities differ in bits."""
+    out = np.zeros((len(sets), PARITY), np.uint8)
+    for i, s in enumerate(sets):
+        out[i] = np.bincount((K.mix(s) >> _U(64 - PARITY_LOG)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(out, axis=1), np.array([len(s) for s in sets], np.int64)
+
+
+def parity_sketches(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Sets with a Jaccard similarity of s differ in (1 - s) / (1 + s) of the sum of their sizes: the bits in which parities may differ. No pair that
+    reaches the similarity is left out."""
+    bits = np.frombuffer(b"".join(batch.column("parity").to_pylist()), _U).reshape(batch.num_rows, PARITY // 64)
+    return bits, 2 * batch.column("n").to_numpy() * (100 - SIMILAR) // (100 + SIMILAR) + 1
 
 
 def _set(windows: np.ndarray) -> np.ndarray:
@@ -237,7 +258,7 @@ def verified(pairs: DataFrame, lines: DataFrame, similar: int = SIMILAR) -> Data
 
 def line_components(docs: DataFrame, rounds: int = N.ROUNDS) -> DataFrame:
     """id (line hash) and component of lines that have a near copy."""
-    shape = {"bands": BANDS, "rows": ROWS, "miss": 0.0}  # bins of short lines depend on each other: their bits rule nothing out
+    shape = {"bands": BANDS, "rows": ROWS, "sketches": parity_sketches, "words": PARITY // 64}
     pairs = staged(N.candidates(signed_lines(docs), 0, **shape), "line_pairs")
     pool = staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "line_pool")
     lines = staged(candidate_lines(docs, pool), "line_texts")
@@ -245,14 +266,14 @@ def line_components(docs: DataFrame, rounds: int = N.ROUNDS) -> DataFrame:
     for round_ in range(rounds):
         if round_:
             discard(docs.sparkSession, pairs)
-            named = lines.join(labels, "id", "left").select("id", "sig", F.coalesce("component", "id").alias("label"))
+            named = lines.join(labels, "id", "left").select("id", "sig", "parity", "n", F.coalesce("component", "id").alias("label"))
             pairs = staged(N.candidates(named, round_, **shape), "line_pairs")
-            if pairs.isEmpty():
+            if round_ > 1 and pairs.isEmpty():
                 break
         new = staged(verified(pairs, lines), "line_links")
         found = new.count()
         links = new if links is None else links.union(new)
-        if round_ and not found:
+        if round_ > 2 and not found:
             break
         labels = components(links)
     discard(docs.sparkSession, pool, lines)
