@@ -41,20 +41,13 @@ def _float_bits(size: int):
 
     @F.pandas_udf("binary")
     def encode(v: pd.Series) -> pd.Series:
-        none = v.isna().to_numpy() & ~_is_nan(v)
         bits = v.fillna(np.nan).to_numpy(kind).view(plain)
         bits = np.where(bits & top, ~bits, bits ^ top).astype(wide).tobytes()  # whole array at once: single items would be of native order
-        out = [bits[i : i + size] for i in range(0, len(bits), size)]
-        return pd.Series([None if n else b for n, b in zip(none, out, strict=True)])
+        return pd.Series([bits[i : i + size] for i in range(0, len(bits), size)])
 
     return encode
 
 
-def _is_nan(v: pd.Series) -> np.ndarray:
-    """Nulls of a column arrive as NaN too; Arrow keeps them apart only in object columns, so NaN in a null-free column is a value."""
-    return np.zeros(len(v), bool) if v.dtype != object else np.array([isinstance(x, float) and x != x for x in v])
-
-
 def _unfloat_bits(size: int):
     wide, top = (">u4", np.uint32(1 << 31)) if size == 4 else (">u8", np.uint64(1 << 63))
     plain = np.dtype(wide).newbyteorder("=")
@@ -101,7 +94,7 @@ def encode_key(column: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.LongType):
         return _hex(column.bitwiseXOR(F.lit(-(2**63)).cast("bigint")), 16)
     if isinstance(kind, (T.FloatType, T.DoubleType)):
-        # Arrow hands nulls over as NaN, so they are put back here
+        # the UDF gets nulls as NaN, so they are put back here
         return F.when(column.isNotNull(), _float_bits(4 if isinstance(kind, T.FloatType) else 8)(column))
     if isinstance(kind, T.DecimalType):
         return _decimal_bits(kind.scale)(column)
