@@ -206,28 +206,29 @@ def candidates(classes: DataFrame, round_: int, bands: int = BANDS, rows: int =
             short = np.zeros((len(keys), 2 * halves), np.uint32)
             short[:, :bands] = keys >> _U(32)
             more = np.hstack([allow[:, None].astype(_U), bits, short.view(_U)])
-        for band in range(bands):
-            key = np.ascontiguousarray(keys[:, band])
-            order, new, mixed = _grouped(key, labels)
-            if round_:
-                ea, eb, send = [], [], np.ones(len(key), bool)
-                for g in np.flatnonzero(mixed & (np.diff(new) > small)):
-                    at = order[new[g] : new[g + 1]]
-                    x, y = bucket.pairs(ids[at], labels[at], int(key[at[0]]), bits[at], allow[at], None)
-                    ea.append(x)
-                    eb.append(y)
-                    send[new[g] : new[g + 1]] = False
-                    send[new[g] + np.argsort(bucket.rank(ids[at], int(key[at[0]])), kind="stable")[: small + 1]] = True
-                x, y = (np.concatenate([ids[:0], *e]) for e in (ea, eb))
-            else:
-                x, y, send = _stars(order, new, mixed, ids)
-            at = order[send]
-            bounds = np.searchsorted(B.bucket_of(key[at], n), np.arange(n + 1))
-            for k in np.flatnonzero(np.diff(bounds)).tolist():
-                p = at[bounds[k] : bounds[k + 1]]
-                yield B.rows([(k, b"k" + B.pack(key[p], ids[p].view(_U), labels[p].view(_U), *((np.full(len(p), band, _U), *more[p].T) if round_ else ())))])
-            if len(x):
-                yield B.rows([((band * 7919 + int(x[0])) % n, edges(x, y))])
+        key, at = keys.ravel(), np.repeat(np.arange(len(ids)), bands)  # all bands at once: their hashes differ
+        del keys, got
+        order, new, mixed = _grouped(key, labels[at])
+        if round_:
+            ea, eb, send = [], [], np.ones(len(key), bool)
+            for g in np.flatnonzero(mixed & (np.diff(new) > small)):
+                own, k = at[order[new[g] : new[g + 1]]], int(key[order[new[g]]])
+                x, y = bucket.pairs(ids[own], labels[own], k, bits[own], allow[own], None)
+                ea.append(x)
+                eb.append(y)
+                send[new[g] : new[g + 1]] = False
+                send[new[g] + np.argsort(bucket.rank(ids[own], k), kind="stable")[: small + 1]] = True
+            x, y = (np.concatenate([ids[:0], *e]) for e in (ea, eb))
+        else:
+            x, y, send = _stars(order, new, mixed, ids[at])
+        order = order[send]
+        bounds = np.searchsorted(B.bucket_of(key[order], n), np.arange(n + 1))
+        for k in np.flatnonzero(np.diff(bounds)).tolist():
+            f = order[bounds[k] : bounds[k + 1]]
+            p = at[f]
+            yield B.rows([(k, b"k" + B.pack(key[f], ids[p].view(_U), labels[p].view(_U), *(((f % bands).astype(_U), *more[p].T) if round_ else ())))])
+        if len(x):
+            yield B.rows([(int(x[0]) % n, edges(x, y))])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, a, b = [], [], []
