@@ -23,18 +23,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import blobs as B
 from . import kernel as K
 from . import near_dedup as N
 from .components import components
-from .shared import bounded_batches, discard, staged
+from .shared import bounded_batches, discard, fresh, parts, staged
 
 _U = np.uint64
 #: Shingle bytes; least bytes of a line; percent of similarity; bands and rows: a pair at 75 % shares a band with probability 0.9995.
 SHINGLE, SHORT, SIMILAR, BANDS, ROWS = 8, 20, 75, 20, 4
 BINS = BANDS * ROWS
-#: Bits of a candidate line's parity sketch.
-PARITY_LOG = 8
-PARITY = 1 << PARITY_LOG
+#: Bits of a candidate line's parity sketch: a short one travels with it, a long one lies in a file that workers map.
+PARITY, LONG_PARITY = 256, 2048
 #: Bits of the filter of candidate lines: its size is fixed, and a full filter only passes more.
 FILTER_BITS = 25
 _EMPTY = np.uint32(0xFFFFFFFF)
@@ -207,20 +207,74 @@ def candidate_lines(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return found.select("id", "text").mapInArrow(sign, "id long, text binary, sig binary, parity binary, n long")
 
 
-def parities(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """For each set PARITY bits, each the parity of the elements that hash to it, and its size. Two sets differ in as many elements at least as
+def parities(sets: list[np.ndarray], bits: int = PARITY) -> tuple[np.ndarray, np.ndarray]:
+    """For each set `bits` bits, each the parity of the elements that hash to it, and its size. Two sets differ in as many elements at least as
     their parities differ in bits."""
-    out = np.zeros((len(sets), PARITY), np.uint8)
+    out = np.zeros((len(sets), bits), np.uint8)
     for i, s in enumerate(sets):
-        out[i] = np.bincount((K.mix(s) >> _U(64 - PARITY_LOG)).astype(np.int64), minlength=PARITY) & 1
+        out[i] = np.bincount((K.mix(s) % _U(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(out, axis=1), np.array([len(s) for s in sets], np.int64)
 
 
+def allowance(n: np.ndarray) -> np.ndarray:
+    """Twice the elements that a set of n may add to the difference from a similar one, and rounding."""
+    return 2 * n * (100 - SIMILAR) // (100 + SIMILAR) + 1
+
+
+class LongParities:
+    """Long parities of all candidate lines, in files by id range; looked up by binary search in the mapped files."""
+
+    def __init__(self, lines: DataFrame):
+        spark = lines.sparkSession
+        self.root, n = fresh(spark, "line_parities"), parts(spark)
+        root = self.root
+
+        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, bits, sizes = [], [], []
+            for b in batches:
+                ids.append(b.column("id").to_numpy().view(_U))
+                p, k = parities(_sets(b.column("text")), LONG_PARITY)
+                bits.append(p)
+                sizes.append(k)
+            if ids:
+                ids = np.concatenate(ids)
+                order = np.argsort(ids)
+                bucket = int(B.bucket_of(ids[:1], n)[0])
+                B.put(f"{root}/{bucket}", ids[order], np.concatenate(sizes)[order], np.concatenate(bits)[order])
+                yield pa.RecordBatch.from_pylist([{"bucket": bucket, "n": len(ids)}], pa.schema([("bucket", pa.int64()), ("n", pa.int64())]))
+
+        high = F.shiftrightunsigned("id", 32)
+        by = F.shiftright(high * F.lit(n).cast("long"), 32).cast("int")
+        self.sizes = [0] * n
+        for r in lines.select("id", "text").repartitionById(n, by).mapInArrow(write, "bucket long, n long").collect():
+            self.sizes[r["bucket"]] = r["n"]
+
+    def rows(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Parity words and sizes of ids."""
+        ids, back = np.unique(ids.view(_U), return_inverse=True)
+        bits, size = np.zeros((len(ids), LONG_PARITY // 64), _U), np.zeros(len(ids), np.int64)
+        bounds = np.searchsorted(B.bucket_of(ids, len(self.sizes)), np.arange(len(self.sizes) + 1))
+        for k in np.flatnonzero(np.diff(bounds)).tolist():
+            n, raw, part = self.sizes[k], B.mapped(f"{self.root}/{k}"), slice(bounds[k], bounds[k + 1])
+            at = np.searchsorted(np.frombuffer(raw, _U, n), ids[part])
+            size[part] = np.frombuffer(raw, np.int64, n, 8 * n)[at]
+            bits[part] = np.frombuffer(raw, _U, n * LONG_PARITY // 64, 16 * n).reshape(n, -1)[at]
+        return bits[back], size[back]
+
+    def refine(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keep = np.zeros(len(a), bool)
+        for lo in range(0, len(a), 1 << 14):
+            part = slice(lo, lo + (1 << 14))
+            (p, n), (q, m) = self.rows(a[part]), self.rows(b[part])
+            keep[part] = 2 * np.bitwise_count(p ^ q).sum(1, dtype=np.int64) <= allowance(n) + allowance(m)
+        return keep
+
+
 def parity_sketches(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Sets with a Jaccard similarity of s differ in (1 - s) / (1 + s) of the sum of their sizes: the bits in which parities may differ. No pair that
     reaches the similarity is left out."""
     bits = np.frombuffer(b"".join(batch.column("parity").to_pylist()), _U).reshape(batch.num_rows, PARITY // 64)
-    return bits, 2 * batch.column("n").to_numpy() * (100 - SIMILAR) // (100 + SIMILAR) + 1
+    return bits, allowance(batch.column("n").to_numpy())
 
 
 def _set(windows: np.ndarray) -> np.ndarray:
@@ -264,6 +318,8 @@ def line_components(docs: DataFrame, rounds: int = N.ROUNDS) -> DataFrame:
     lines = staged(candidate_lines(docs, pool), "line_texts")
     links = labels = None
     for round_ in range(rounds):
+        if round_ == 2:
+            shape["refine"] = LongParities(lines).refine
         if round_:
             discard(docs.sparkSession, pairs)
             named = lines.join(labels, "id", "left").select("id", "sig", "parity", "n", F.coalesce("component", "id").alias("label"))

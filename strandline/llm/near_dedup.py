@@ -141,8 +141,8 @@ class _Bucket:
     out. Round 1: the two most central members with all others. Round 2: all pairs, if the bucket is small; a pair that shares an
     earlier band has met there. From round 3 on: in large buckets only, a pseudo-random leader with all others."""
 
-    def __init__(self, round_: int, small: int):
-        self.round, self.small = round_, small
+    def __init__(self, round_: int, small: int, refine=None):
+        self.round, self.small, self.refine = round_, small, refine
 
     def rank(self, ids: np.ndarray, key: int) -> np.ndarray:
         return K.mix(ids.view(_U) ^ _U((key + self.round * 0x9E37) & 0xFFFFFFFFFFFFFFFF))
@@ -177,19 +177,23 @@ class _Bucket:
             i, j = np.nonzero(np.triu(labels[rows, None] != labels[None, lo:], 1))
             keep = np.flatnonzero(2 * np.bitwise_count(bits[rows][i] ^ bits[lo:][j]).sum(1, dtype=np.int64) <= allow[rows][i] + allow[lo:][j])
             keep = keep[~(earlier[rows][i[keep]] == earlier[lo:][j[keep]]).any(1)]
-            a.append(ids[rows][i[keep]])
-            b.append(ids[lo:][j[keep]])
+            x, y = ids[rows][i[keep]], ids[lo:][j[keep]]
+            if self.refine and len(x):
+                keep = self.refine(x, y)
+                x, y = x[keep], y[keep]
+            a.append(x)
+            b.append(y)
         return np.concatenate(a), np.concatenate(b)
 
 
-def candidates(classes: DataFrame, round_: int, bands: int = BANDS, rows: int = ROWS, small: int = SMALL, sketches=None, words: int = -(-BANDS * ROWS // 64)) -> DataFrame:
+def candidates(classes: DataFrame, round_: int, bands: int = BANDS, rows: int = ROWS, small: int = SMALL, sketches=None, words: int = -(-BANDS * ROWS // 64), refine=None) -> DataFrame:
     """classes: id, label, sig, and what `sketches` reads. Pairs (a, b) of different labels that share a band and go on in this round.
 
     Round 0 gives each class that shares a band one pair only, that with the least id; what that leaves open is for the later rounds, among
-    the classes that share a band with another at all. sketches(batch) gives `words` 64-bit words and an allowance for each row."""
+    the classes that share a band with another at all. sketches(batch) gives `words` 64-bit words and an allowance for each row; refine(a, b) tells which pairs of ids may still be links."""
     n = parts(classes.sparkSession)
     halves = -(-bands // 2)
-    bucket = _Bucket(round_, small)
+    bucket = _Bucket(round_, small, refine)
     sketches = sketches or (lambda b: bit_sketches(b, bands * rows))
 
     def edges(x: np.ndarray, y: np.ndarray) -> bytes:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,7 +50,10 @@ def parts(spark: SparkSession) -> int:
 
 def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
     """Arrow batches between the JVM and Python workers hold `size` bytes at most (or one row), however long texts are; unless the
-    application was started with a bound of its own."""
+    application was started with a bound of its own. Workers get this package's place on their path."""
+    here, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if here not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = f"{here}:{env.get('PYTHONPATH', '')}".rstrip(":")
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if not spark.sparkContext.getConf().contains(key):
         spark.conf.set(key, str(size))
