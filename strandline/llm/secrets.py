@@ -34,7 +34,7 @@ _HEX_MAP = bytes(49 if chr(i) in "0123456789abcdef" else 48 for i in range(256))
 
 #: Words that make what follows sensitive, and literals of which any match has one.
 SENSITIVE_WORDS = (b"pass", b"secret", b"token", b"api", b"auth", b"bearer", b"credential", b"private", b"access", b"client", b"signature", b"akia")
-SENSITIVE = re.compile(rb"pass(?:word|wd|phrase)?|secret|token|api[_-]?key|auth|bearer|credential|private[_-]?key|access[_-]?key|client[_-]?id|signature|akia")
+SENSITIVE = re.compile(rb"pass(?:word|wd|phrase)?|secret|token|api[_ -]?key|auth|bearer|credential|private[_ -]?key|access[_ -]?key|client[_ -]?id|signature|akia")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,200}")
 #: Identifiers that code is full of; they prime the compressor, so that names made of them are no news to it.
 IDENTIFIERS = (
@@ -47,8 +47,8 @@ IDENTIFIERS = (
 )
 #: Characters of text on each side that prime the compressor, and in which a sensitive word is looked for before the candidate.
 CONTEXT, NEAR = 512, 64
-#: Marginal bits a character from which a candidate is novel. Random hexadecimal has 4, random base 64 has 6, words far less.
-NOVEL_BITS = 3.2
+#: Marginal bits a character from which a candidate is novel. Random base 64 takes 6 and more, identifiers made of words up to 4.
+NOVEL_BITS = 4.5
 
 
 class Novelty:
