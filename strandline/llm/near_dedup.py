@@ -7,7 +7,7 @@ threshold is below MISS. What survives is verified on the full shingle sets, and
 
 No group is expanded into all its pairs. In a band's bucket every member is compared with one leader. Links found make components, and only
 buckets that still hold several components go on: first with their most central members as leaders; then all pairs across components
-of small buckets are compared, by a bit of each signature value before anything else; in large ones another leader is taken in each
+of small buckets are compared, by a bit of each signature value and by parity sketches before anything else; in large ones another leader is taken in each
 round, until a round over all bands brings no link. Within a task a bucket is reduced to its leader and a few members before the shuffle.
 
 Defined cases: null and empty texts (and white space alone) have the empty set, n_shingles 0, and link with nothing. Texts of fewer than k words
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from . import blobs as B
 from . import kernel as K
 from .components import components
+from .parity import LongParities
 from .shared import bounded_batches, discard, parts, staged, text_or_empty
 
 _U = np.uint64
@@ -335,13 +336,15 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR, id_column: str = "d
     on = ["n_shingles", "d1", "d2"]
     one = full.withColumnRenamed("doc_id", "id").join(groups, [*on, "id"]).dropDuplicates([*on, "id"])
     classes = staged(one.select("id", "n_shingles", "sig"), "class_signatures")
-    pool = links = labels = None
+    pool = links = labels = refine = None
     for round_ in range(ROUNDS):
         if round_:
             labelled = pool.join(labels, "id", "left").select("id", "sig", F.coalesce("component", "id").alias("label"))
         else:
             labelled = classes.withColumn("label", F.col("id"))
-        pairs = staged(candidates(labelled, round_, sketches=lambda b: bit_sketches(b, BANDS * ROWS, similar / 100)), "candidates")
+        if round_ == 2:
+            refine = LongParities(pool, lambda texts: list(_sets(texts, SHINGLE)), similar).refine
+        pairs = staged(candidates(labelled, round_, sketches=lambda b: bit_sketches(b, BANDS * ROWS, similar / 100), refine=refine), "candidates")
         if round_ > 1 and pairs.isEmpty():
             break
         if pool is None:  # only classes that share a band with another go on
