@@ -27,14 +27,15 @@ from . import blobs as B
 from . import kernel as K
 from . import near_dedup as N
 from .components import components
-from .shared import bounded_batches, discard, fresh, parts, staged
+from .parity import LongParities, allowance, parities
+from .shared import bounded_batches, discard, parts, staged
 
 _U = np.uint64
 #: Shingle bytes; least bytes of a line; percent of similarity; bands and rows: a pair at 75 % shares a band with probability 0.9995.
 SHINGLE, SHORT, SIMILAR, BANDS, ROWS = 8, 20, 75, 20, 4
 BINS = BANDS * ROWS
-#: Bits of a candidate line's parity sketch: a short one travels with it, a long one lies in a file that workers map.
-PARITY, LONG_PARITY = 256, 2048
+#: Bits of the parity sketch that travels with a candidate line; a longer one lies in a file that workers map.
+PARITY = 256
 #: Bits of the filter of candidate lines: its size is fixed, and a full filter only passes more.
 FILTER_BITS = 25
 _EMPTY = np.uint32(0xFFFFFFFF)
@@ -43,15 +44,14 @@ _EMPTY = np.uint32(0xFFFFFFFF)
 def normal_lines(data: np.ndarray, offs: np.ndarray, short: int = SHORT) -> tuple[np.ndarray, ...]:
     """Normalised bytes; starts, ends, text index, number among the text's lines and hash of the lines long enough."""
     none = np.zeros(0, np.int64)
-    text = K.lowered(data)
-    starts, ends, owner = K.words(data, offs)
+    text, keep = K.lowered(data), K.not_space(data)
+    starts, ends, owner = K.runs(keep, offs)
     if not len(starts):
         return text[:0], none, none, none, none, none
     breaks = np.flatnonzero(data == 10)
     line = np.repeat(np.arange(len(breaks) + 1), np.diff(np.searchsorted(starts, breaks, "right"), prepend=0, append=len(starts)))
     first = np.ones(len(starts), bool)
     first[1:] = (owner[1:] != owner[:-1]) | (line[1:] != line[:-1])
-    keep = K.not_space(data)
     gap = starts[~first] - 1  # one space before each word but a line's first
     keep[gap] = True
     text[gap] = 32
@@ -116,27 +116,11 @@ def _lines(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.n
         yield lo, text, ls, le, owner + lo, number, h
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """docs: id, digest, text. A row id, digest, line number and hash for each line that may be dropped."""
-    kind = dict(docs.dtypes)["id"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for _, _, _, _, row, number, h in _lines(b.column("text")):
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([b.column("id").take(at), b.column("digest").take(at), pa.array(number), pa.array(h)], names=["id", "digest", "line", "hash"])
-
-    return docs.select("id", "digest", "text").mapInArrow(run, f"id {kind}, digest long, line long, hash long")
-
-
-def _distinct(batches: Iterator[pa.RecordBatch], wanted=None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Text, starts, ends and hashes of the lines that a task hasn't given before."""
     seen = np.zeros(0, np.int64)
     for b in batches:
         for _, text, ls, le, _, _, h in _lines(b.column("text")):
-            if wanted is not None:
-                at = np.flatnonzero(wanted(h))
-                ls, le, h = ls[at], le[at], h[at]
             own, at = np.unique(h, return_index=True)
             at = np.sort(at[~np.isin(own, seen)])
             seen = np.union1d(seen, own)
@@ -179,20 +163,87 @@ def _filter(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def candidate_lines(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, text (normalised bytes) and signature of the lines in ids. A fixed-size filter keeps nearly all others out of the shuffle."""
-    bits = docs.sparkSession.sparkContext.broadcast(_filter(ids))
+#: A row of what the second pass finds: an occurrence (line is set) or a line's text.
+FOUND = "id long, digest long, line long, hash long, text binary"
+_NO_ID = np.int64((1 << 63) - 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def wanted(h: np.ndarray) -> np.ndarray:
-            top = (h.view(_U) >> _U(64 - FILTER_BITS)).astype(np.int64)
-            return (bits.value[top >> 3] >> (7 - (top & 7)).astype(np.uint8)) & 1 == 1
 
-        for text, ls, le, h in _distinct(batches, wanted):
-            raw = text.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([raw[a:b] for a, b in zip(ls.tolist(), le.tolist(), strict=True)], pa.binary())], names=["id", "text"])
+def occurrences_and_texts(docs: DataFrame, pool: DataFrame) -> DataFrame:
+    """docs: id, digest, text. Rows for each occurrence of a line that occurs again or may be in the pool, and for the text of each line that may
+    be in the pool. A fixed-size filter of the pool's hashes decides; it lets a few others through.
 
-    found = docs.select("text").mapInArrow(run, "id long, text binary").join(ids, "id").dropDuplicates(["id"])
+    Tasks send packed blobs by hash range, so an occurrence costs a few bytes and a line's text moves once for each task that has it."""
+    spark, n = docs.sparkSession, parts(docs.sparkSession)
+    bits = spark.sparkContext.broadcast(_filter(pool))
+
+    def wanted(h: np.ndarray) -> np.ndarray:
+        top = (h.view(_U) >> _U(64 - FILTER_BITS)).astype(np.int64)
+        return (bits.value[top >> 3] >> (7 - (top & 7)).astype(np.uint8)) & 1 == 1
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, held, texts = np.zeros(0, np.int64), [], [[] for _ in range(n)]
+        for b in batches:
+            ids = b.column("id").fill_null(int(_NO_ID)).to_numpy()
+            digests = b.column("digest").to_numpy()
+            for _, text, ls, le, row, number, h in _lines(b.column("text")):
+                held.append((h, ids[row], digests[row], number))
+                at = np.flatnonzero(wanted(h))
+                own, k = np.unique(h[at], return_index=True)
+                at = np.sort(at[k[~np.isin(own, seen)]])
+                seen = np.union1d(seen, own)
+                for x, k in zip(at.tolist(), B.bucket_of(h[at].view(_U), n).tolist(), strict=True):
+                    texts[k].append((int(h[x]), text[ls[x] : le[x]].tobytes()))
+        if held:
+            h, *rest = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(h.view(_U))
+            bounds = np.searchsorted(B.bucket_of(h[order].view(_U), n), np.arange(n + 1))
+            for k in np.flatnonzero(np.diff(bounds)).tolist():
+                p = order[bounds[k] : bounds[k + 1]]
+                yield B.rows([(k, b"o" + B.pack(h[p].view(_U), *(x[p].view(_U) for x in rest)))])
+            for k, own in enumerate(texts):
+                if own:
+                    sink = pa.BufferOutputStream()
+                    t = pa.table({"hash": pa.array([x for x, _ in own], pa.int64()), "text": pa.array([x for _, x in own], pa.binary())})
+                    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                        w.write_table(t)
+                    yield B.rows([(k, b"t" + sink.getvalue().to_pybytes())])
+
+    schema = pa.schema([("id", pa.int64()), ("digest", pa.int64()), ("line", pa.int64()), ("hash", pa.int64()), ("text", pa.binary())])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, texts = [], {}
+        for b in batches:
+            for blob in b.column("blob"):
+                raw = blob.as_py()
+                if raw[:1] == b"o":
+                    held.append(B.unpack(raw[1:], 4))
+                else:
+                    for x in pa.ipc.open_stream(raw[1:]):
+                        texts.update(zip(x.column("hash").to_pylist(), x.column("text").to_pylist(), strict=True))
+        if not held:
+            return
+        h, ids, digests, number = (np.concatenate(x).view(np.int64) for x in zip(*held, strict=True))
+        del held
+        order = np.argsort(h)
+        s = h[order]
+        new = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1], [True]]))
+        size = np.diff(new)
+        good = order[np.repeat((size > 1) | wanted(s[new[:-1]]), size)]
+        for i in range(0, len(good), 1 << 16):
+            p = good[i : i + (1 << 16)]
+            columns = [pa.array(ids[p], mask=ids[p] == _NO_ID), pa.array(digests[p]), pa.array(number[p]), pa.array(h[p]), pa.nulls(len(p), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+        keys = list(texts)
+        for i in range(0, len(keys), 4096):
+            part = keys[i : i + 4096]
+            none = pa.nulls(len(part), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(part, pa.int64()), pa.array([texts[x] for x in part], pa.binary())], schema=schema)
+
+    return docs.select("id", "digest", "text").mapInArrow(read, B.BLOB_ROWS).repartitionById(n, F.col("bucket")).mapInArrow(gather, FOUND)
+
+
+def sketched(found: DataFrame, pool: DataFrame) -> DataFrame:
+    """id, text (normalised bytes), signature and short parity of the pool's lines."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -200,81 +251,19 @@ def candidate_lines(docs: DataFrame, ids: DataFrame) -> DataFrame:
             text = np.frombuffer(b"".join(b.column("text").to_pylist()), np.uint8)
             end = np.cumsum(size)
             s = signatures(text, end - size, end)
-            bits, n = parities(_sets(b.column("text")))
+            bits, n = parities(_sets(b.column("text")), PARITY)
             columns = [b.column("id"), b.column("text"), pa.array([x.tobytes() for x in s], pa.binary()), pa.array([x.tobytes() for x in bits], pa.binary()), pa.array(n)]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "text", "sig", "parity", "n"])
 
-    return found.select("id", "text").mapInArrow(sign, "id long, text binary, sig binary, parity binary, n long")
-
-
-def parities(sets: list[np.ndarray], bits: int = PARITY) -> tuple[np.ndarray, np.ndarray]:
-    """For each set `bits` bits, each the parity of the elements that hash to it, and its size. Two sets differ in as many elements at least as
-    their parities differ in bits."""
-    out = np.zeros((len(sets), bits), np.uint8)
-    for i, s in enumerate(sets):
-        out[i] = np.bincount((K.mix(s) % _U(bits)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(out, axis=1), np.array([len(s) for s in sets], np.int64)
-
-
-def allowance(n: np.ndarray) -> np.ndarray:
-    """Twice the elements that a set of n may add to the difference from a similar one, and rounding."""
-    return 2 * n * (100 - SIMILAR) // (100 + SIMILAR) + 1
-
-
-class LongParities:
-    """Long parities of all candidate lines, in files by id range; looked up by binary search in the mapped files."""
-
-    def __init__(self, lines: DataFrame):
-        spark = lines.sparkSession
-        self.root, n = fresh(spark, "line_parities"), parts(spark)
-        root = self.root
-
-        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, bits, sizes = [], [], []
-            for b in batches:
-                ids.append(b.column("id").to_numpy().view(_U))
-                p, k = parities(_sets(b.column("text")), LONG_PARITY)
-                bits.append(p)
-                sizes.append(k)
-            if ids:
-                ids = np.concatenate(ids)
-                order = np.argsort(ids)
-                bucket = int(B.bucket_of(ids[:1], n)[0])
-                B.put(f"{root}/{bucket}", ids[order], np.concatenate(sizes)[order], np.concatenate(bits)[order])
-                yield pa.RecordBatch.from_pylist([{"bucket": bucket, "n": len(ids)}], pa.schema([("bucket", pa.int64()), ("n", pa.int64())]))
-
-        high = F.shiftrightunsigned("id", 32)
-        by = F.shiftright(high * F.lit(n).cast("long"), 32).cast("int")
-        self.sizes = [0] * n
-        for r in lines.select("id", "text").repartitionById(n, by).mapInArrow(write, "bucket long, n long").collect():
-            self.sizes[r["bucket"]] = r["n"]
-
-    def rows(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Parity words and sizes of ids."""
-        ids, back = np.unique(ids.view(_U), return_inverse=True)
-        bits, size = np.zeros((len(ids), LONG_PARITY // 64), _U), np.zeros(len(ids), np.int64)
-        bounds = np.searchsorted(B.bucket_of(ids, len(self.sizes)), np.arange(len(self.sizes) + 1))
-        for k in np.flatnonzero(np.diff(bounds)).tolist():
-            n, raw, part = self.sizes[k], B.mapped(f"{self.root}/{k}"), slice(bounds[k], bounds[k + 1])
-            at = np.searchsorted(np.frombuffer(raw, _U, n), ids[part])
-            size[part] = np.frombuffer(raw, np.int64, n, 8 * n)[at]
-            bits[part] = np.frombuffer(raw, _U, n * LONG_PARITY // 64, 16 * n).reshape(n, -1)[at]
-        return bits[back], size[back]
-
-    def refine(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        keep = np.zeros(len(a), bool)
-        for lo in range(0, len(a), 1 << 14):
-            part = slice(lo, lo + (1 << 14))
-            (p, n), (q, m) = self.rows(a[part]), self.rows(b[part])
-            keep[part] = 2 * np.bitwise_count(p ^ q).sum(1, dtype=np.int64) <= allowance(n) + allowance(m)
-        return keep
+    lines = found.where("text is not null").select(F.col("hash").alias("id"), "text").join(pool, "id")
+    return lines.select("id", "text").mapInArrow(sign, "id long, text binary, sig binary, parity binary, n long")
 
 
 def parity_sketches(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Sets with a Jaccard similarity of s differ in (1 - s) / (1 + s) of the sum of their sizes: the bits in which parities may differ. No pair that
     reaches the similarity is left out."""
     bits = np.frombuffer(b"".join(batch.column("parity").to_pylist()), _U).reshape(batch.num_rows, PARITY // 64)
-    return bits, allowance(batch.column("n").to_numpy())
+    return bits, allowance(batch.column("n").to_numpy(), SIMILAR)
 
 
 def _set(windows: np.ndarray) -> np.ndarray:
@@ -310,16 +299,17 @@ def verified(pairs: DataFrame, lines: DataFrame, similar: int = SIMILAR) -> Data
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def line_components(docs: DataFrame, rounds: int = N.ROUNDS) -> DataFrame:
-    """id (line hash) and component of lines that have a near copy."""
+def line_components(docs: DataFrame, rounds: int = N.ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """docs: id, digest, text. Line hashes with the component of those that have a near copy, and the occurrences of all lines that matter."""
     shape = {"bands": BANDS, "rows": ROWS, "sketches": parity_sketches, "words": PARITY // 64}
     pairs = staged(N.candidates(signed_lines(docs), 0, **shape), "line_pairs")
     pool = staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "line_pool")
-    lines = staged(candidate_lines(docs, pool), "line_texts")
+    found = staged(occurrences_and_texts(docs, pool), "occurrences")
+    lines = staged(sketched(found, pool), "line_texts")
     links = labels = None
     for round_ in range(rounds):
         if round_ == 2:
-            shape["refine"] = LongParities(lines).refine
+            shape["refine"] = LongParities(lines, _sets, SIMILAR).refine
         if round_:
             discard(docs.sparkSession, pairs)
             named = lines.join(labels, "id", "left").select("id", "sig", "parity", "n", F.coalesce("component", "id").alias("label"))
@@ -327,40 +317,33 @@ def line_components(docs: DataFrame, rounds: int = N.ROUNDS) -> DataFrame:
             if round_ > 1 and pairs.isEmpty():
                 break
         new = staged(verified(pairs, lines), "line_links")
-        found = new.count()
+        n_new = new.count()
         links = new if links is None else links.union(new)
-        if round_ > 2 and not found:
+        if round_ > 2 and not n_new:
             break
         labels = components(links)
     discard(docs.sparkSession, pool, lines)
-    return labels
+    return labels, found.where("line is not null").drop("text")
 
 
 def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs with the dropped lines taken out of the text, and n_lines and n_dropped; same rows, other columns as they are."""
     bounded_batches(docs.sparkSession)
-    keyed = docs.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("digest"), F.coalesce(text_column, F.lit("")).alias("text"))
-    occ = staged(occurrences(keyed), "occurrences")
-    labels = line_components(keyed)
+    keyed = docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text_column).alias("digest"), F.coalesce(text_column, F.lit("")).alias("text"))
+    labels, occ = line_components(keyed)
     place = F.struct(F.col("id").isNull().alias("none"), "id", "digest", "line")
-    by_line = occ.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    by_line = by_line.join(labels.select(F.col("id").alias("hash"), "component"), "hash", "left")
-    by_line = staged(by_line.where("n > 1 or component is not null").union(_roots(labels, by_line)), "repeated_lines")
+    by_line = staged(occ.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n")), "lines")
+    named = labels.union(labels.select("component", "component").distinct()).select(F.col("id").alias("hash"), "component")
+    by_line = staged(by_line.join(named, "hash", "left").where("n > 1 or component is not null"), "repeated_lines")
     groups = by_line.select("hash", F.coalesce("component", "hash").alias("component"), "first")
     best = groups.groupBy("component").agg(F.min("first").alias("keep"))
-    keep = staged(groups.join(best, "component").select("hash", "keep").dropDuplicates(["hash"]), "kept_lines")
+    keep = staged(groups.join(best, "component").select("hash", "keep"), "kept_lines")
     gone = occ.join(keep, "hash").where(~F.struct(F.col("id").isNull().alias("none"), "id", "digest", "line").eqNullSafe(F.col("keep")))
     gone = staged(gone.groupBy("id", "digest").agg(F.collect_set("line").alias("_gone")).withColumnsRenamed({"id": "_id", "digest": "_digest"}), "dropped_lines")
-    both = docs.withColumn("_text_digest", F.xxhash64(text_column)).join(gone, F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_text_digest") == F.col("_digest")), "left")
+    both = docs.withColumn("_text_digest", F.xxhash64(text_column)).join(gone, F.col(id_column).cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_digest") == F.col("_digest")), "left")
     return _without(both.drop("_id", "_digest", "_text_digest"), docs, text_column)
 
 
-def _roots(labels: DataFrame, by_line: DataFrame) -> DataFrame:
-    """Rows of by_line for lines that are their component's own least: components() leaves those out."""
-    roots = labels.select(F.col("component").alias("hash")).distinct()
-    return by_line.where("component is null and n = 1").join(roots, "hash", "left_semi")
-
-
 def _without(both: DataFrame, docs: DataFrame, text_column: str) -> DataFrame:
     from pyspark.sql.types import LongType, StructField, StructType
 

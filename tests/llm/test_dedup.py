@@ -147,5 +147,5 @@ def test_line_signatures_estimate_similarity():
         p, q = L._sets(pa.array([x[:n].encode(), y.encode()], pa.binary()))
         j = len(np.intersect1d(p, q)) / len(np.union1d(p, q))
         assert abs((s[0] == s[1]).mean() - j) < 0.25
-        bits, size = L.parities([p, q])
+        bits, size = L.parities([p, q], 256)
         assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= len(np.setxor1d(p, q)) and size.tolist() == [len(p), len(q)]
