@@ -43,7 +43,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
     table = np.zeros((len(CLASSES), 256), bool)
     for i, c in enumerate(CLASSES):
         table[i, list(c.encode())] = True
-    for lo, hi, data, offs in K.chunks(texts):
+    for lo, hi, data, offs in K.chunks(texts, 1 << 20):
         x = out[lo:hi]
         size = np.diff(offs)
         some = np.maximum(size, 1)

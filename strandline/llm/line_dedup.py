@@ -336,7 +336,7 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     named = labels.union(labels.select("component", "component").distinct()).select(F.col("id").alias("hash"), "component")
     by_line = staged(by_line.join(named, "hash", "left").where("n > 1 or component is not null"), "repeated_lines")
     groups = by_line.select("hash", F.coalesce("component", "hash").alias("component"), "first")
-    best = groups.groupBy("component").agg(F.min("first").alias("keep"))
+    best = staged(groups.groupBy("component").agg(F.min("first").alias("keep")), "component_lines")  # as a plain scan: the skew join can split a large component
     keep = staged(groups.join(best, "component").select("hash", "keep"), "kept_lines")
     gone = occ.join(keep, "hash").where(~F.struct(F.col("id").isNull().alias("none"), "id", "digest", "line").eqNullSafe(F.col("keep")))
     gone = staged(gone.groupBy("id", "digest").agg(F.collect_set("line").alias("_gone")).withColumnsRenamed({"id": "_id", "digest": "_digest"}), "dropped_lines")

@@ -37,7 +37,7 @@ SUPPORT, STANDS_OUT = 6, 4.0
 
 def _bags(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """Distinct features of each text of a chunk: (text index, feature), sorted, and the number of texts."""
-    for lo, hi, data, offs in K.chunks(texts):
+    for lo, hi, data, offs in K.chunks(texts, 1 << 20):
         h, owner = word_features(data, offs)
         key, count = np.unique((owner.astype(np.uint64) << np.uint64(BITS)) | (h >> np.uint64(64 - BITS)), return_counts=True)
         low = np.uint64((1 << BITS) - 1)
