@@ -231,7 +231,8 @@ def candidates(classes: DataFrame, round_: int, bands: int = BANDS, rows: int =
         for k in np.flatnonzero(np.diff(bounds)).tolist():
             f = order[bounds[k] : bounds[k + 1]]
             p = at[f]
-            yield B.rows([(k, b"k" + B.pack(key[f], ids[p].view(_U), labels[p].view(_U), *(((f % bands).astype(_U), *more[p].T) if round_ else ())))])
+            rest = (labels[p].view(_U), (f % bands).astype(_U), *more[p].T) if round_ else ()  # at first each class is its own label
+            yield B.rows([(k, b"k" + B.pack(key[f], ids[p].view(_U), *rest))])
         if len(x):
             yield B.rows([(int(x[0]) % n, edges(x, y))])
 
@@ -245,11 +246,12 @@ def candidates(classes: DataFrame, round_: int, bands: int = BANDS, rows: int =
                     a.append(x.view(np.int64))
                     b.append(y.view(np.int64))
                 else:
-                    held.append(B.unpack(raw[1:], 5 + words + halves if round_ else 3))
+                    held.append(B.unpack(raw[1:], 5 + words + halves if round_ else 2))
         if held:
-            key, ids, labels, *more = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, ids, *more = (np.concatenate(x) for x in zip(*held, strict=True))
             del held
-            ids, labels = ids.view(np.int64), labels.view(np.int64)
+            ids = ids.view(np.int64)
+            labels = more.pop(0).view(np.int64) if round_ else ids
             order, new, mixed = _grouped(key, labels)
             if round_:
                 band, allow, bits, short = more[0], more[1].view(np.int64), np.stack(more[2 : 2 + words], 1), np.stack(more[2 + words :], 1).view(np.uint32)
