@@ -139,8 +139,7 @@ def bit_sketches(batch: pa.RecordBatch, values: int, threshold: float = SIMILAR
 
 class _Bucket:
     """Pairs across labels of one bucket in a later round. A pair whose sketches differ in more bits than half the sum of their allowances is left
-    out. Round 1: the two most central members with all others. Round 2: all pairs, if the bucket is small; a pair that shares an
-    earlier band has met there. From round 3 on: in large buckets only, a pseudo-random leader with all others."""
+    out. Round 1: the two most central members with all others. Round 2: all pairs, if the bucket is small. From round 3 on: in large buckets only, a pseudo-random leader with all others."""
 
     def __init__(self, round_: int, small: int, refine=None):
         self.round, self.small, self.refine = round_, small, refine
@@ -153,10 +152,10 @@ class _Bucket:
         near = 2 * np.bitwise_count(bits ^ bits[lead]).sum(1, dtype=np.int64) <= allow + allow[lead]
         return np.flatnonzero(near & (labels != labels[lead]))
 
-    def pairs(self, ids: np.ndarray, labels: np.ndarray, key: int, bits: np.ndarray, allow: np.ndarray, earlier: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        small = earlier is not None and len(ids) <= self.small
+    def pairs(self, ids: np.ndarray, labels: np.ndarray, key: int, bits: np.ndarray, allow: np.ndarray, whole: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        small = whole and len(ids) <= self.small
         if small and self.round == 2:
-            return self.all(ids, labels, bits, allow, earlier)
+            return self.all(ids, labels, bits, allow)
         if small and self.round > 2:
             return ids[:0], ids[:0]
         if self.round == 1:
@@ -170,14 +169,13 @@ class _Bucket:
         got = [self.star(x, labels, bits, allow) for x in leads]
         return np.concatenate([np.full(len(g), ids[x]) for x, g in zip(leads, got, strict=True)]), np.concatenate([ids[g] for g in got])
 
-    def all(self, ids: np.ndarray, labels: np.ndarray, bits: np.ndarray, allow: np.ndarray, earlier: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def all(self, ids: np.ndarray, labels: np.ndarray, bits: np.ndarray, allow: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A block of rows at a time."""
         a, b = [], []
         for lo in range(0, len(ids), 256):
             rows = slice(lo, lo + 256)
             i, j = np.nonzero(np.triu(labels[rows, None] != labels[None, lo:], 1))
             keep = np.flatnonzero(2 * np.bitwise_count(bits[rows][i] ^ bits[lo:][j]).sum(1, dtype=np.int64) <= allow[rows][i] + allow[lo:][j])
-            keep = keep[~(earlier[rows][i[keep]] == earlier[lo:][j[keep]]).any(1)]
             x, y = ids[rows][i[keep]], ids[lo:][j[keep]]
             if self.refine and len(x):
                 keep = self.refine(x, y)
@@ -193,7 +191,6 @@ def candidates(classes: DataFrame, round_: int, bands: int = BANDS, rows: int =
     Round 0 gives each class that shares a band one pair only, that with the least id; what that leaves open is for the later rounds, among
     the classes that share a band with another at all. sketches(batch) gives `words` 64-bit words and an allowance for each row; refine(a, b) tells which pairs of ids may still be links."""
     n = parts(classes.sparkSession)
-    halves = -(-bands // 2)
     bucket = _Bucket(round_, small, refine)
     sketches = sketches or (lambda b: bit_sketches(b, bands * rows))
 
@@ -207,10 +204,6 @@ def candidates(classes: DataFrame, round_: int, bands: int = BANDS, rows: int =
             sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(b.num_rows, bands * rows)
             got.append((b.column("id").to_numpy(), b.column("label").to_numpy(), band_keys(sig, bands, rows), *(sketches(b) if round_ else got[0][3:])))
         ids, labels, keys, bits, allow = (np.concatenate(x) for x in zip(*got, strict=True))
-        if round_:  # half of each band's hash goes along: it tells the first band that two classes share
-            short = np.zeros((len(keys), 2 * halves), np.uint32)
-            short[:, :bands] = keys >> _U(32)
-            more = np.hstack([allow[:, None].astype(_U), bits, short.view(_U)])
         key, at = keys.ravel(), np.repeat(np.arange(len(ids)), bands)  # all bands at once: their hashes differ
         del keys, got
         order, new, mixed = _grouped(key, labels[at])
@@ -218,7 +211,7 @@ def candidates(classes: DataFrame, round_: int, bands: int = BANDS, rows: int =
             ea, eb, send = [], [], np.ones(len(key), bool)
             for g in np.flatnonzero(mixed & (np.diff(new) > small)):
                 own, k = at[order[new[g] : new[g + 1]]], int(key[order[new[g]]])
-                x, y = bucket.pairs(ids[own], labels[own], k, bits[own], allow[own], None)
+                x, y = bucket.pairs(ids[own], labels[own], k, bits[own], allow[own], whole=False)
                 ea.append(x)
                 eb.append(y)
                 send[new[g] : new[g + 1]] = False
@@ -231,7 +224,7 @@ def candidates(classes: DataFrame, round_: int, bands: int = BANDS, rows: int =
         for k in np.flatnonzero(np.diff(bounds)).tolist():
             f = order[bounds[k] : bounds[k + 1]]
             p = at[f]
-            rest = (labels[p].view(_U), (f % bands).astype(_U), *more[p].T) if round_ else ()  # at first each class is its own label
+            rest = (labels[p].view(_U), allow[p].astype(_U), *bits[p].T) if round_ else ()  # at first each class is its own label
             yield B.rows([(k, b"k" + B.pack(key[f], ids[p].view(_U), *rest))])
         if len(x):
             yield B.rows([(int(x[0]) % n, edges(x, y))])
@@ -246,7 +239,7 @@ def candidates(classes: DataFrame, round_: int, bands: int = BANDS, rows: int =
                     a.append(x.view(np.int64))
                     b.append(y.view(np.int64))
                 else:
-                    held.append(B.unpack(raw[1:], 5 + words + halves if round_ else 2))
+                    held.append(B.unpack(raw[1:], 4 + words if round_ else 2))
         if held:
             key, ids, *more = (np.concatenate(x) for x in zip(*held, strict=True))
             del held
@@ -254,9 +247,9 @@ def candidates(classes: DataFrame, round_: int, bands: int = BANDS, rows: int =
             labels = more.pop(0).view(np.int64) if round_ else ids
             order, new, mixed = _grouped(key, labels)
             if round_:
-                band, allow, bits, short = more[0], more[1].view(np.int64), np.stack(more[2 : 2 + words], 1), np.stack(more[2 + words :], 1).view(np.uint32)
+                allow, bits = more[0].view(np.int64), np.stack(more[1:], 1)
                 for g in _groups(order, new, mixed):
-                    x, y = bucket.pairs(ids[g], labels[g], int(key[g[0]]), bits[g], allow[g], short[g, : int(band[g[0]])])
+                    x, y = bucket.pairs(ids[g], labels[g], int(key[g[0]]), bits[g], allow[g])
                     a.append(x)
                     b.append(y)
             else:
