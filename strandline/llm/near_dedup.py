@@ -7,8 +7,9 @@ threshold is below MISS. What survives is verified on the full shingle sets, and
 
 No group is expanded into all its pairs. In a band's bucket every member is compared with one leader. Links found make components, and only
 buckets that still hold several components go on: first with their most central members as leaders; then all pairs across components
-of small buckets are compared, by a bit of each signature value and by parity sketches before anything else; in large ones another leader is taken in each
-round, until a round over all bands brings no link. Within a task a bucket is reduced to its leader and a few members before the shuffle.
+of small buckets are compared, by a bit of each signature value and by parity sketches before anything else. Large ones take another leader in each
+round while that brings links, which only makes components fewer: at last they are split into blocks, and every block meets every other, so that all
+their pairs across components are compared as well. Within a task a bucket is reduced to its leader and a few members before the shuffle.
 
 Defined cases: null and empty texts (and white space alone) have the empty set, n_shingles 0, and link with nothing. Texts of fewer than k words
 have one shingle, their whole sequence. Rows that share a doc_id are one document for linking. Repeated rows give repeated rows with
@@ -18,6 +19,7 @@ the same component. Very long texts are read whole. An empty table gives no rows
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 from math import comb
 
 import numpy as np
@@ -29,7 +31,7 @@ from . import blobs as B
 from . import kernel as K
 from .components import components
 from .parity import LongParities
-from .shared import bounded_batches, discard, parts, staged, text_or_empty
+from .shared import bounded_batches, discard, fresh, parts, staged, text_or_empty
 
 _U = np.uint64
 #: Bands and rows of each: a pair at 0.75 shares a band with probability 0.99994, one at 0.2 with 0.01.
@@ -38,8 +40,10 @@ BANDS, ROWS = 36, 5
 SIMILAR, SHINGLE, MISS, BATCH = 75, 5, 1e-5, 16
 #: Members up to which a bucket's pairs across components are all compared, by bits of their signatures first.
 SMALL = 4096
-#: Rounds with another leader for large buckets, at most; they end before when one brings nothing.
+#: Round at the latest in which large buckets are compared in full; before it they take leaders as long as one brings a link.
 ROUNDS = 12
+#: Members of a block of a large bucket, about, and of a tile of two blocks.
+BLOCK, TILE = 4096, 512
 
 
 def _multipliers(n: int, seed: int = 71) -> tuple[np.ndarray, np.ndarray]:
@@ -185,11 +189,12 @@ class _Bucket:
         return np.concatenate(a), np.concatenate(b)
 
 
-def candidates(classes: DataFrame, round_: int, bands: int = BANDS, rows: int = ROWS, small: int = SMALL, sketches=None, words: int = -(-BANDS * ROWS // 64), refine=None) -> DataFrame:
+def candidates(classes: DataFrame, round_: int, bands: int = BANDS, rows: int = ROWS, small: int = SMALL, sketches=None, words: int = -(-BANDS * ROWS // 64), refine=None, only: np.ndarray | None = None) -> DataFrame:
     """classes: id, label, sig, and what `sketches` reads. Pairs (a, b) of different labels that share a band and go on in this round.
 
     Round 0 gives each class that shares a band one pair only, that with the least id; what that leaves open is for the later rounds, among
-    the classes that share a band with another at all. sketches(batch) gives `words` 64-bit words and an allowance for each row; refine(a, b) tells which pairs of ids may still be links."""
+    the classes that share a band with another at all. sketches(batch) gives `words` 64-bit words and an allowance for each row; refine(a, b) tells which pairs of ids may still be links.
+    Round 2 gives as `large`, without a pair, the key of each bucket of several labels that is too large for it; the rounds after it take these keys (sorted) as `only`."""
     n = parts(classes.sparkSession)
     bucket = _Bucket(round_, small, refine)
     sketches = sketches or (lambda b: bit_sketches(b, bands * rows))
@@ -206,17 +211,23 @@ def candidates(classes: DataFrame, round_: int, bands: int = BANDS, rows: int =
         ids, labels, keys, bits, allow = (np.concatenate(x) for x in zip(*got, strict=True))
         key, at = keys.ravel(), np.repeat(np.arange(len(ids)), bands)  # all bands at once: their hashes differ
         del keys, got
+        if only is not None:
+            mine = _within(key, only)
+            key, at = key[mine], at[mine]
         order, new, mixed = _grouped(key, labels[at])
         if round_:
-            ea, eb, send = [], [], np.ones(len(key), bool)
+            ea, eb, cut, send = [], [], [], np.ones(len(key), bool)
             for g in np.flatnonzero(mixed & (np.diff(new) > small)):
                 own, k = at[order[new[g] : new[g + 1]]], int(key[order[new[g]]])
                 x, y = bucket.pairs(ids[own], labels[own], k, bits[own], allow[own], whole=False)
                 ea.append(x)
                 eb.append(y)
+                cut.append(k)
                 send[new[g] : new[g + 1]] = False
                 send[new[g] + np.argsort(bucket.rank(ids[own], k), kind="stable")[: small + 1]] = True
             x, y = (np.concatenate([ids[:0], *e]) for e in (ea, eb))
+            if cut and round_ == 2:
+                yield B.rows([(cut[0] % n, b"l" + B.pack(np.sort(np.array(cut, _U))))])
         else:
             x, y, send = _stars(order, new, mixed, ids[at])
         order = order[send]
@@ -230,7 +241,7 @@ def candidates(classes: DataFrame, round_: int, bands: int = BANDS, rows: int =
             yield B.rows([(int(x[0]) % n, edges(x, y))])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, a, b = [], [], []
+        held, a, b, large = [], [], [], []
         for batch in batches:
             for blob in batch.column("blob"):
                 raw = blob.as_py()
@@ -238,6 +249,8 @@ def candidates(classes: DataFrame, round_: int, bands: int = BANDS, rows: int =
                     x, y = B.unpack(raw[1:], 2)
                     a.append(x.view(np.int64))
                     b.append(y.view(np.int64))
+                elif raw[:1] == b"l":
+                    large += B.unpack(raw[1:], 1)[0].tolist()
                 else:
                     held.append(B.unpack(raw[1:], 4 + words if round_ else 2))
         if held:
@@ -249,6 +262,8 @@ def candidates(classes: DataFrame, round_: int, bands: int = BANDS, rows: int =
             if round_:
                 allow, bits = more[0].view(np.int64), np.stack(more[1:], 1)
                 for g in _groups(order, new, mixed):
+                    if round_ == 2 and len(g) > small:
+                        large.append(int(key[g[0]]))
                     x, y = bucket.pairs(ids[g], labels[g], int(key[g[0]]), bits[g], allow[g])
                     a.append(x)
                     b.append(y)
@@ -260,10 +275,16 @@ def candidates(classes: DataFrame, round_: int, bands: int = BANDS, rows: int =
         keep = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
         for i in range(0, len(keep), 1 << 17):
             part = keep[i : i + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy()), pa.nulls(len(part), pa.int64())], names=["a", "b", "large"])
+        if large:
+            own = np.unique(np.array(large, _U)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.int64()), pa.array(own)], names=["a", "b", "large"])
 
     dealt = classes.mapInArrow(deal, B.BLOB_ROWS)
-    found = dealt.repartitionById(n, F.col("bucket")).mapInArrow(join, "a long, b long")
+    found = dealt.repartitionById(n, F.col("bucket")).mapInArrow(join, "a long, b long, large long")
+    if round_ == 2:
+        return found.distinct()
+    found = found.select("a", "b")
     if round_:
         return found.distinct()
     ends = found.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"))
@@ -271,6 +292,122 @@ def candidates(classes: DataFrame, round_: int, bands: int = BANDS, rows: int =
     return ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _within(key: np.ndarray, only: np.ndarray) -> np.ndarray:
+    """Which keys are among the sorted ones."""
+    return only[np.minimum(np.searchsorted(only, key), len(only) - 1)] == key if len(only) else np.zeros(len(key), bool)
+
+
+def large_keys(found: DataFrame) -> np.ndarray:
+    """Sorted keys of the large buckets that round 2 left open: one at most for each SMALL entries of buckets and task."""
+    got = found.where("large is not null").select("large").distinct().toArrow().column("large").to_numpy()
+    return np.sort(got.astype(np.int64).view(_U))
+
+
+def across(classes: DataFrame, keys: np.ndarray, bands: int = BANDS, rows: int = ROWS, block: int | None = None, sketches=None, words: int = -(-BANDS * ROWS // 64), refine=None) -> DataFrame:
+    """All pairs (a, b) of different labels that share one of the buckets in keys (sorted) and that neither sketches nor refine rule out.
+
+    A bucket's members are dealt into blocks of about `block`, which lie in files that workers map, and each two blocks of a bucket meet in a
+    row of their own: no task holds more than two blocks, and members move once, however large a bucket is."""
+    spark, n = classes.sparkSession, parts(classes.sparkSession)
+    block, root = block or BLOCK, fresh(spark, "blocks")
+    sketches = sketches or (lambda b: bit_sketches(b, bands * rows))
+
+    def entries(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Row, and place of its key in keys, of what lies in large buckets."""
+        sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(b.num_rows, bands * rows)
+        key = band_keys(sig, bands, rows).ravel()
+        at = np.flatnonzero(_within(key, keys))
+        return at // bands, np.searchsorted(keys, key[at])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = np.zeros(len(keys), np.int64)
+        for b in batches:
+            got += np.bincount(entries(b)[1], minlength=len(keys))
+        at = np.flatnonzero(got)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(got[at])], names=["k", "n"])
+
+    size = np.zeros(len(keys), np.int64)
+    for r in classes.select("sig").mapInArrow(counted, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
+        size[r["k"]] = r["n"]
+    blocks = np.maximum(1, -(-size // block))
+    first = np.cumsum(blocks) - blocks
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for b in batches:
+            row, k = entries(b)
+            ids, labels, (bits, allow) = b.column("id").to_numpy()[row], b.column("label").to_numpy()[row], sketches(b)
+            of = first[k] + (K.mix(ids.view(_U) ^ keys[k]) % blocks[k].astype(_U)).astype(np.int64)
+            held.append((of, ids, labels, allow[row], *bits[row].T))
+        if held:
+            of, *rest = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((of, of % n))
+            bounds = np.searchsorted((of % n)[order], np.arange(n + 1))
+            for k in np.flatnonzero(np.diff(bounds)).tolist():
+                p = order[bounds[k] : bounds[k + 1]]
+                yield B.rows([(k, B.pack(of[p].astype(_U), *(x[p].view(_U) for x in rest)))])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [B.unpack(blob.as_py(), 4 + words) for batch in batches for blob in batch.column("blob")]
+        if held:
+            of, ids, labels, *rest = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((labels.view(np.int64), of))  # by label: tiles of one label are left out
+            of = of[order].astype(np.int64)
+            B.put(f"{root}/{of[0] % n}", ids[order], labels[order], rest[0][order], np.stack(rest[1:], 1)[order])
+            own, at, many = np.unique(of, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(at), pa.array(many)], names=["block", "start", "n"])
+
+    start, many, file = np.zeros(int(blocks.sum()), np.int64), np.zeros(int(blocks.sum()), np.int64), np.zeros(n, np.int64)
+    dealt = classes.mapInArrow(deal, B.BLOB_ROWS).repartitionById(n, F.col("bucket"))
+    for r in dealt.mapInArrow(write, "block long, start long, n long").collect():
+        start[r["block"]], many[r["block"]] = r["start"], r["n"]
+        file[r["block"] % n] += r["n"]
+
+    def members(x: int) -> tuple[np.ndarray, ...]:
+        if not many[x]:
+            return (np.zeros(0, np.int64),) * 3 + (np.zeros((0, words), _U),)
+        raw, all_, lo, own = B.mapped(f"{root}/{x % n}"), int(file[x % n]), int(start[x]), int(many[x])
+        one = [np.frombuffer(raw, np.int64, own, 8 * (c * all_ + lo)) for c in range(3)]
+        return (*one, np.frombuffer(raw, _U, own * words, 8 * (3 * all_ + lo * words)).reshape(own, words))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                a, b = _tiles(members(x), members(y), x == y, refine)
+                for lo in range(0, len(a), 1 << 17):
+                    part = slice(lo, lo + (1 << 17))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[part], b[part])), pa.array(np.maximum(a[part], b[part]))], names=["a", "b"])
+
+    ends = spark.createDataFrame(list(zip(first.tolist(), (first + blocks - 1).tolist(), strict=True)), "lo long, hi long")
+    ends = ends.select("hi", F.explode(F.sequence("lo", "hi")).alias("x")).select("x", F.explode(F.sequence("x", "hi")).alias("y"))
+    return ends.repartition(max(1, min(8 * n, int((blocks * (blocks + 1) // 2).sum())))).mapInArrow(compare, "a long, b long").distinct()
+
+
+def _tiles(p: tuple[np.ndarray, ...], q: tuple[np.ndarray, ...], same: bool, refine) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of p's and q's members (ids, labels, allowances, sketches; sorted by label) of different labels that may be links."""
+    (ids, labels, allow, bits), (ids2, labels2, allow2, bits2) = p, q
+    a, b = [ids[:0]], [ids[:0]]
+    for i in range(0, len(ids), TILE):
+        u = slice(i, i + TILE)
+        for j in range(i if same else 0, len(ids2), TILE):
+            v = slice(j, j + TILE)
+            lu, lv = labels[u], labels2[v]
+            if lu[0] == lu[-1] == lv[0] == lv[-1]:
+                continue
+            far = np.zeros((len(lu), len(lv)), np.uint16)
+            for w in range(bits.shape[1]):
+                far += np.bitwise_count(bits[u, w, None] ^ bits2[None, v, w])
+            near = (2 * far.astype(np.int64) <= allow[u, None] + allow2[None, v]) & (lu[:, None] != lv)
+            x, y = np.nonzero(np.triu(near, 1) if same and i == j else near)
+            x, y = ids[u][x], ids2[v][y]
+            if refine and len(x):
+                keep = refine(x, y)
+                x, y = x[keep], y[keep]
+            a.append(x)
+            b.append(y)
+    return np.concatenate(a), np.concatenate(b)
+
+
 def least_matches(n: int, threshold: float, miss: float) -> int:
     """Fewest matches among n signature values with which the posterior (uniform prior) that the similarity reaches the threshold is at least
     `miss`. A posterior Beta(m + 1, n - m + 1) exceeds t with the probability that n + 1 draws of chance t succeed at most m times."""
@@ -331,30 +468,40 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR, id_column: str = "d
     on = ["n_shingles", "d1", "d2"]
     one = full.withColumnRenamed("doc_id", "id").join(groups, [*on, "id"]).dropDuplicates([*on, "id"])
     classes = staged(one.select("id", "n_shingles", "sig"), "class_signatures")
-    pool = links = labels = refine = None
-    for round_ in range(ROUNDS):
+    pool = links = labels = refine = large = None
+    found, last, sketches = 0, False, lambda b: bit_sketches(b, BANDS * ROWS, similar / 100)
+    for round_ in count():
         if round_:
             labelled = pool.join(labels, "id", "left").select("id", "sig", F.coalesce("component", "id").alias("label"))
         else:
             labelled = classes.withColumn("label", F.col("id"))
         if round_ == 2:
             refine = LongParities(pool, lambda texts: list(_sets(texts, SHINGLE)), similar).refine
-        pairs = staged(candidates(labelled, round_, sketches=lambda b: bit_sketches(b, BANDS * ROWS, similar / 100), refine=refine), "candidates")
-        if round_ > 1 and pairs.isEmpty():
-            break
+        last = round_ > 2 and (not found or round_ >= ROUNDS)
+        if last:
+            pairs = staged(across(labelled, large, sketches=sketches, refine=refine), "candidates")
+        else:
+            pairs = staged(candidates(labelled, round_, sketches=sketches, refine=refine, only=large), "candidates")
+        if round_ == 2:
+            large = large_keys(pairs)
+            last = not len(large)
         if pool is None:  # only classes that share a band with another go on
             ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
             whole = docs.select(F.col(id_column).cast("long").alias("id"), text_or_empty(text_column).alias("text"))
             pool = staged(whole.join(classes.join(ids, "id").select("id", "sig"), "id"), "candidate_texts")
             discard(docs.sparkSession, classes)
-        alive = staged(survivors(pairs, pool, similar / 100), "survivors")
-        new = staged(verified(alive, pool, similar).distinct(), "links")
-        found = new.count()
-        links = new if links is None else links.union(new)
-        discard(docs.sparkSession, pairs, alive)
-        if round_ > 2 and not found:
+        found = 0
+        if round_ < 2 or not pairs.where("a is not null").isEmpty():
+            alive = staged(survivors(pairs, pool, similar / 100), "survivors")
+            new = staged(verified(alive, pool, similar).distinct(), "links")
+            found = new.count()
+            links = new if links is None else links.union(new)
+            discard(docs.sparkSession, alive)
+        discard(docs.sparkSession, pairs)
+        if found or labels is None:
+            labels = components(links)
+        if last:
             break
-        labels = components(links)
     discard(docs.sparkSession, pool)
     named = groups.join(labels, "id", "left").select(*on, F.coalesce("component", "id").alias("component_id"))
     out = rows.drop("sig").join(staged(named, "class_components"), on, "left")

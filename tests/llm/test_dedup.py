@@ -78,6 +78,26 @@ def test_near(spark, small, monkeypatch):
     assert N.near_duplicates(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_near_in_large_buckets(spark, monkeypatch):
+    """Links among a family of texts that are not near enough, all in buckets beyond `small`, which take several blocks."""
+    monkeypatch.setattr(N.candidates, "__defaults__", tuple(3 if x == N.SMALL else x for x in N.candidates.__defaults__))
+    monkeypatch.setattr(N, "BLOCK", 16, raising=False)
+    r = random.Random(4)
+    base, rows = [f"w{k}" for k in range(300)], []
+
+    def changed(w, n, tag):
+        w = w.copy()
+        for k in r.sample(range(300), n):
+            w[k] = f"{tag}{k}"
+        return w
+
+    for i in range(150):
+        w = changed(base, 7, f"x{i}_")
+        rows += [(2 * i, " ".join(w), None, None, 0), (2 * i + 1, " ".join(changed(w, 6, f"y{i}_")), None, None, 0)]
+    got = {(x["doc_id"], x["component_id"]) for x in N.near_duplicates(frame(spark, rows)).collect()}
+    assert got == set(_near(rows).items())
+
+
 def test_bayes_thresholds():
     for n in (16, 64, 180):
         m = N.least_matches(n, 0.75, 1e-5)
