@@ -7,7 +7,7 @@ verified links are joined by a distributed union-find. Of each component the fir
 
 Within a task equal lines count once and a band's bucket is reduced to a leader before the shuffle, so a line that a third of the documents
 hold costs one entry per task. After the first round over all lines, only lines that shared a band with another go on: buckets that
-still hold several components are compared in full where small and with rotating leaders where large, as in near_dedup.
+still hold several components are compared in full: small ones at once, large ones block by block after rounds of leaders, as in near_dedup.
 
 Defined cases: null texts stay null, empty ones empty; blank lines stay. Documents whose rows are repeated word for word keep the same
 lines in each row. A null doc_id comes last in order. A document may lose all its lines: its text is then empty. Very long texts are read
@@ -17,6 +17,7 @@ whole. An empty table gives no rows. All other columns pass through as they are.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -306,22 +307,28 @@ def line_components(docs: DataFrame, rounds: int = N.ROUNDS) -> tuple[DataFrame,
     pool = staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "line_pool")
     found = staged(occurrences_and_texts(docs, pool), "occurrences")
     lines = staged(sketched(found, pool), "line_texts")
-    links = labels = None
-    for round_ in range(rounds):
+    links = labels = large = None
+    found_links, last = 0, False
+    for round_ in count():
         if round_ == 2:
             shape["refine"] = LongParities(lines, _sets, SIMILAR).refine
+        last = round_ > 2 and (not found_links or round_ >= rounds)
         if round_:
             discard(docs.sparkSession, pairs)
             named = lines.join(labels, "id", "left").select("id", "sig", "parity", "n", F.coalesce("component", "id").alias("label"))
-            pairs = staged(N.candidates(named, round_, **shape), "line_pairs")
-            if round_ > 1 and pairs.isEmpty():
-                break
-        new = staged(verified(pairs, lines), "line_links")
-        n_new = new.count()
-        links = new if links is None else links.union(new)
-        if round_ > 2 and not n_new:
+            pairs = staged(N.across(named, large, **shape) if last else N.candidates(named, round_, **shape, only=large), "line_pairs")
+        if round_ == 2:
+            large = N.large_keys(pairs)
+            last = not len(large)
+        found_links = 0
+        if round_ < 2 or not pairs.where("a is not null").isEmpty():
+            new = staged(verified(pairs, lines), "line_links")
+            found_links = new.count()
+            links = new if links is None else links.union(new)
+        if found_links or labels is None:
+            labels = components(links)
+        if last:
             break
-        labels = components(links)
     discard(docs.sparkSession, pool, lines)
     return labels, found.where("line is not null").drop("text")
 

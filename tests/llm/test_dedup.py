@@ -157,6 +157,28 @@ def test_lines(spark):
     assert L.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_lines_in_large_buckets(spark, monkeypatch):
+    """Near copies among variants of a template that are not near enough, in buckets beyond `small`, which take several blocks."""
+    monkeypatch.setattr(N.candidates, "__defaults__", tuple(3 if x == N.SMALL else x for x in N.candidates.__defaults__))
+    monkeypatch.setattr(N, "BLOCK", 16, raising=False)
+    r = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    base = r.choices(letters, k=400)
+
+    def changed(x, n):
+        x = x.copy()
+        for k in r.sample(range(400), n):
+            x[k] = r.choice(letters)
+        return x
+
+    rows = []
+    for i in range(120):
+        x = changed(base, 6)
+        rows += [(2 * i, "".join(x), None, None, 0), (2 * i + 1, "".join(changed(x, 5)), None, None, 0)]
+    got = L.dedup_lines(frame(spark, rows)).collect()
+    assert sorted((str(x["doc_id"]), str(x["text"]), x["n_dropped"]) for x in got) == _line_result(rows)
+
+
 def test_line_signatures_estimate_similarity():
     r = random.Random(3)
     x = "".join(r.choices("abcdefghijklmnop ", k=400))
