@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,7 +36,8 @@ _HEX_MAP = bytes(49 if chr(i) in "0123456789abcdef" else 48 for i in range(256))
 #: Words that make what follows sensitive, and literals of which any match has one.
 SENSITIVE_WORDS = (b"pass", b"secret", b"token", b"api", b"auth", b"bearer", b"credential", b"private", b"access", b"client", b"signature", b"akia")
 SENSITIVE = re.compile(rb"pass(?:word|wd|phrase)?|secret|token|api[_ -]?key|auth|bearer|credential|private[_ -]?key|access[_ -]?key|client[_ -]?id|signature|akia")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,200}")
+#: A candidate ends at an equals sign that something follows, so that in name=value the value is one of its own; those at its end are padding.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,200}+(?:=++(?![A-Za-z0-9+/_-]))?")
 #: Identifiers that code is full of; they prime the compressor, so that names made of them are no news to it.
 IDENTIFIERS = (
     "get set is has add remove update delete create insert select find list load save read write open close start stop init main test run "
@@ -88,21 +90,17 @@ def novel_spans(text: str, raw: bytes, base: list[tuple[int, int, str]], novelty
     tails = [m.end() for m in SENSITIVE.finditer(low)]
     if not ascii_only:
         tails = [len(raw[:e].decode("utf-8")) for e in tails] if len(tails) < 64 else _points(raw, tails)
-    found, last = [], 0
-    for tail in tails:
-        stop = min(len(text), tail + NEAR)
-        at = max(tail, last)
-        while at < stop and (m := CANDIDATE.search(text, at, min(len(text), stop + 200))) and m.start() < stop:
-            a, b = m.span()
-            at = b
-            if a and re.match(r"[A-Za-z0-9+/_=-]", text[a - 1]):
-                continue
-            if any(x < b and a < y for x, y, _ in base) or not (re.search(r"[0-9]", m[0]) and re.search(r"[A-Za-z]", m[0])):
-                continue
-            around = (text[max(0, a - CONTEXT) : a] + text[b : b + CONTEXT]).encode()
-            if novelty.bits(around, m[0].encode()) >= bits:
-                found.append((a, b, KINDS[3]))
-                last = b
+    found = []
+    for m in CANDIDATE.finditer(text):
+        a, b = m.span()
+        k = bisect_right(tails, a)
+        if not (k and a < tails[k - 1] + NEAR):
+            continue
+        if any(x < b and a < y for x, y, _ in base) or not (re.search(r"[0-9]", m[0]) and re.search(r"[A-Za-z]", m[0])):
+            continue
+        around = (text[max(0, a - CONTEXT) : a] + text[b : b + CONTEXT]).encode()
+        if novelty.bits(around, m[0].encode()) >= bits:
+            found.append((a, b, KINDS[3]))
     return found
 
 

@@ -119,6 +119,21 @@ def test_secrets_novelty(spark):
     assert got[1] == [(at, at + len(key), "novel")] and got[2] == [] and got[3] == [] and len(got[4]) <= 1
 
 
+def _novel(text):
+    raw = text.encode()
+    return [text[a:b] for a, b, _ in S.novel_spans(text, raw, S.base_spans(text, raw), S.Novelty())]
+
+
+def test_secrets_of_names_and_values():
+    key = "Zk9x81LmQp0vT7yHs2Dw4Rb6"
+    names = ("export AWS_SECRET_ACCESS_KEY=", "auth=", "client_id=", "private_key=", "access_key=", "CREDENTIAL=", "https://é.example/a?x=1&signature=", "A_SECRET_OF_THE_NAMED_SERVICE_1=")
+    for name in names:
+        assert _novel(f"{name}{key}&b=2\n") == [key] and _novel(f"{name}{key}==\n") == [f"{key}=="], name
+    other = "mP3vQ8sLx0Tz6WbN5yGc1HdR"
+    assert _novel(f"CLIENT_ID={key}\nAUTH_KEY={other}\n") == [key, other]
+    assert _novel("auth=get_user_name_from_request_2&token_type=bearer") == [] and _novel(f"weather={key}") == []
+
+
 def test_tiles():
     item = list(range(20))
     assert D.tiles(item, [99, *item, 99]) == [(0, 1, 20)]
