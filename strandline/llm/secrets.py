@@ -1,6 +1,7 @@
 """Secret scan: fixed patterns, and strings that a primed compressor finds novel.
 
-The base spans are fixed patterns. Beyond them, every long enough string near a sensitive word is a candidate. Its novelty is the
+The base spans are fixed patterns. Beyond them, every long enough string near a sensitive word is a candidate, and so are those on the
+lines that follow it without anything else between, as in PEM blocks. Its novelty is the
 marginal number of bytes that zstandard needs for it, given a dictionary of common identifiers and the text around it:
 compressed(context + candidate) - compressed(context). Identifiers, words and repeats cost little; random keys cost nearly
 their entropy and are reported as `novel` spans.
@@ -37,7 +38,11 @@ _HEX_MAP = bytes(49 if chr(i) in "0123456789abcdef" else 48 for i in range(256))
 SENSITIVE_WORDS = (b"pass", b"secret", b"token", b"api", b"auth", b"bearer", b"credential", b"private", b"access", b"client", b"signature", b"akia")
 SENSITIVE = re.compile(rb"pass(?:word|wd|phrase)?|secret|token|api[_ -]?key|auth|bearer|credential|private[_ -]?key|access[_ -]?key|client[_ -]?id|signature|akia")
 #: A candidate ends at an equals sign that something follows, so that in name=value the value is one of its own; those at its end are padding.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,200}+(?:=++(?![A-Za-z0-9+/_-]))?")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}+(?:=++(?![A-Za-z0-9+/_-]))?")
+#: What may lie between candidates on consecutive lines; an escaped line break counts. And the short last line of a PEM block.
+_BREAK = r"""[\x20\t"',;#*>|]*+[\n\r\\][\s"',;#*>|\\]*+"""
+GAP = re.compile(_BREAK)
+LAST_LINE = re.compile(_BREAK + r"([A-Za-z0-9+/]{1,15}={0,2})" + _BREAK + "n?-----END ")
 #: Identifiers that code is full of; they prime the compressor, so that names made of them are no news to it.
 IDENTIFIERS = (
     "get set is has add remove update delete create insert select find list load save read write open close start stop init main test run "
@@ -47,7 +52,7 @@ IDENTIFIERS = (
     "example sample placeholder changeme your_api_key_here xxxxxxxx 0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ "
     "application/json content-type authorization bearer basic http https www com org net index html css javascript python java "
 )
-#: Characters of text on each side that prime the compressor, and in which a sensitive word is looked for before the candidate.
+#: Characters of text on each side that prime the compressor, and in which a sensitive word is looked for before the first candidate.
 CONTEXT, NEAR = 512, 64
 #: Marginal bits a character from which a candidate is novel. Random base 64 takes 6 and more, identifiers made of words up to 4.
 NOVEL_BITS = 4.5
@@ -90,17 +95,21 @@ def novel_spans(text: str, raw: bytes, base: list[tuple[int, int, str]], novelty
     tails = [m.end() for m in SENSITIVE.finditer(low)]
     if not ascii_only:
         tails = [len(raw[:e].decode("utf-8")) for e in tails] if len(tails) < 64 else _points(raw, tails)
-    found = []
+    found, block = [], -1  # end of the last candidate in a sensitive context
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
         k = bisect_right(tails, a)
-        if not (k and a < tails[k - 1] + NEAR):
+        if not (k and a < tails[k - 1] + NEAR) and not (block >= 0 and GAP.fullmatch(text, block, a)):
+            block = -1
             continue
+        block = b
         if any(x < b and a < y for x, y, _ in base) or not (re.search(r"[0-9]", m[0]) and re.search(r"[A-Za-z]", m[0])):
             continue
         around = (text[max(0, a - CONTEXT) : a] + text[b : b + CONTEXT]).encode()
         if novelty.bits(around, m[0].encode()) >= bits:
             found.append((a, b, KINDS[3]))
+            if short := LAST_LINE.match(text, b):
+                found.append((*short.span(1), KINDS[3]))
     return found
 
 
