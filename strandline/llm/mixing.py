@@ -1,7 +1,7 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 Each source's documents are counted by exact size. Whole repeats of a source come first; the rest of its budget is spread over the
-sizes in proportion, then a bounded knapsack over the sizes fits what is left, and each size's quota is met by the documents that
+sizes in proportion, then a bounded knapsack over the sizes fits what is left (or more of the budget, until the fit is the best there is), and each size's quota is met by the documents that
 come first in a seeded order. Only (source, size, count) rows meet in one group; documents never do: they are ranked within
 salted parts of their size.
 
@@ -20,62 +20,86 @@ from pyspark.sql import functions as F
 
 from .shared import bounded_batches, staged, text_or_empty
 
-#: Words that the dynamic programme may cover at most; what a budget has above that is taken by whole documents before.
+#: Words that whole documents leave to the dynamic programme at first, where they can; it covers more where that doesn't fit exactly.
 REACH = 32_768
 #: Parts that a size's documents are ranked in.
 SALTS = 256
 
 
 def quotas(sizes: np.ndarray, counts: np.ndarray, budget: int, reach: int = REACH) -> np.ndarray:
-    """How many documents of each size to take, so that the sum of their sizes comes as near to budget as can be found.
+    """How many documents of each size to take, so that the sum of their sizes comes as near to budget as any can.
 
-    Proportional shares first, then the largest sizes that fit while more than reach is left, then a bounded knapsack.
+    Proportional shares first, then the largest sizes that fit while more than reach is left, then a bounded knapsack on what is left, however much.
+    As long as that misses the least distance that a sum can have by the sizes' common divisor, the knapsack covers more: first what the large sizes took,
+    then half of the shares each time, at last the whole budget, for which its answer is the best there is.
     """
     total = int((sizes * counts).sum())
     if budget <= 0 or not total:
         return np.zeros(len(sizes), np.int64)
     if budget >= total:
         return counts.astype(np.int64)
-    take = np.array([int(n) * int(budget) // total for n in counts], np.int64)
+    unit = int(np.gcd.reduce(sizes[(sizes > 0) & (counts > 0)]))
+    least = min(budget % unit, -budget % unit)
+    share = np.array([int(n) * int(budget) // total for n in counts], np.int64)
+    take = share.copy()
     left = budget - int((sizes * take).sum())
-    spare = counts - take
     for i in np.argsort(-sizes, kind="stable"):
         if left <= reach:
             break
-        if sizes[i] > 0 and (n := min(int(spare[i]), int((left - reach // 2) // sizes[i]))) > 0:
+        if sizes[i] > 0 and (n := min(int(counts[i] - take[i]), int((left - reach // 2) // sizes[i]))) > 0:
             take[i] += n
-            spare[i] -= n
             left -= n * int(sizes[i])
-    fit = np.flatnonzero((sizes > 0) & (spare > 0) & (sizes <= 2 * left))
-    if left > 2 * reach or not len(fit):
-        return take
-    room = 2 * left
-    reached = np.zeros(room + 1, bool)
-    reached[0] = True
-    last = np.full(room + 1, -1, np.int64)
+    best, off = take, left
+    while True:
+        left = budget - int((sizes * take).sum())
+        if (more := fitted(sizes, counts - take, left, off)) is not None:
+            best = take + more
+            off = abs(left - int((sizes * more).sum()))
+        if off <= least or not (sizes * take).any():
+            return best
+        take = share if (take > share).any() else take // 2
+
+
+def fitted(sizes: np.ndarray, spare: np.ndarray, left: int, off: int) -> np.ndarray | None:
+    """How many of the spare documents of each size bring their sum nearest to left; None where none is nearer than off."""
+    room = left + off - 1
+    fit = np.flatnonzero((sizes > 0) & (spare > 0) & (sizes <= room))
+    if off <= 0 or not len(fit):
+        return None
+    few = np.log2(spare[fit] + 1.0).sum() < np.log2(room) - 3  # then the sums themselves take less memory than a mark for each number up to room
+    sums, came = np.zeros(1, np.int64), np.full(1, -1, np.int32)
+    reached, last = np.zeros(0 if few else room + 1, bool), np.full(0 if few else room + 1, -1, np.int32)
+    reached[:1] = True
     steps: list[tuple[int, int]] = []
     for i in fit:
         n, k = min(int(spare[i]), room // int(sizes[i])), 1
         while n > 0:
             k = min(k, n)
             w = k * int(sizes[i])
-            new = np.zeros_like(reached)
-            if w <= room:
+            if few:
+                new = np.setdiff1d(sums[sums <= room - w] + w, sums, assume_unique=True)
+                sums, came = np.concatenate([sums, new]), np.concatenate([came, np.full(len(new), len(steps), np.int32)])
+            elif w <= room:
+                new = np.zeros_like(reached)
                 new[w:] = reached[:-w]
                 new &= ~reached
                 last[new] = len(steps)
                 reached |= new
             steps.append((int(i), k))
             n, k = n - k, 2 * k
-        if reached[left]:
+        if not few and reached[left]:
             break
-    ends = np.flatnonzero(reached)
+    ends = sums if few else np.flatnonzero(reached)
     at = int(ends[np.argmin(np.abs(ends - left))])
+    if abs(at - left) >= off:
+        return None
+    last = dict(zip(sums.tolist(), came.tolist(), strict=True)) if few else last
+    more = np.zeros(len(sizes), np.int64)
     while at:
         i, k = steps[last[at]]
-        take[i] += k
+        more[i] += k
         at -= k * int(sizes[i])
-    return take
+    return more
 
 
 def targets(totals: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame:

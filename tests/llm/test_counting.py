@@ -101,6 +101,24 @@ def test_token_counts_through_a_cache(spark, name):
     assert cache.count(df.limit(0)).count() == 0
 
 
+def test_quotas_of_few_long_documents():
+    fit = lambda budget, *sizes: int((M.quotas(np.array(sizes), np.ones(len(sizes), np.int64), budget) * sizes).sum())
+    assert fit(72_000, 80_000) == 80_000 and fit(201_000, 100_000, 100_500, 101_000) == 201_000 and fit(300_000, 120_000, 150_000, 180_000) == 300_000
+    assert fit(200_000, 99_000, 101_000, 150_000) == 200_000 and fit(7 * 10**9, 3 * 10**9, 4 * 10**9 + 1, 5 * 10**9) == 7 * 10**9 + 1
+    r = np.random.default_rng(3)
+    for scale in (1, 1000, 20_000):
+        for _ in range(40):
+            sizes = np.unique(r.integers(1, 12, 5)) * scale + (scale > 1)
+            counts = r.integers(1, 3, len(sizes))
+            sums = {0}
+            for x, n in zip(sizes.tolist(), counts.tolist(), strict=True):
+                sums = {s + k * x for s in sums for k in range(n + 1)}
+            budget = int(r.integers(1, int((sizes * counts).sum()) + 1))
+            take = M.quotas(sizes, counts, budget)
+            assert (take >= 0).all() and (take <= counts).all()
+            assert abs(int((take * sizes).sum()) - budget) == min(abs(s - budget) for s in sums)
+
+
 def test_quotas_come_near_and_stay_within():
     r = np.random.default_rng(4)
     for _ in range(60):
