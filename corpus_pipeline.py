@@ -5,7 +5,7 @@ what each stage returns and reads it again for the next. All stages but the last
 
 Defined cases: those of the operators. Null and empty texts are scored like others by the first stage, which drops what it rejects. A
 document that loses all its lines to earlier documents goes with them; one that had none stays. Rows that share a doc_id
-are one document for the third stage. An empty table gives an empty result.
+are one document for the third stage; those without one are told apart by their text. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,8 +32,11 @@ def fuzzy_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    gone = near_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # rows without an id go by their text, and after all that have one
+    own = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62))
+    rows = docs.withColumn("_own", own)
+    gone = near_dedup.near_duplicates(rows, id_column="_own").where("not kept").select(F.col("doc_id").alias("_own")).distinct()
+    return rows.join(gone, "_own", "left_anti").select(*docs.columns)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -167,6 +167,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, limit: int = LIMIT) -> DataFr
 
         return texts.mapInArrow(where_they_lie, schema)
 
+    texts, benches, found = _judged_pairs(docs, benchmark)
+    again = texts.select(F.struct("doc_id", "digest").alias("row")).join(found, "row")  # repeated rows, repeated matches
+    again = benches.select("item").join(again, "item")
+    return again.select("row.doc_id", "item.item_id", "coverage", "n_tiles")
+
+
+def _judged_pairs(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Joined by seeds: the documents' rows, the items, and the contaminating pairs of a row and an item, each an id and a digest of the text."""
+
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, _, data, offs in K.chunks(b.column("text")):
@@ -176,7 +185,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, limit: int = LIMIT) -> DataFr
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(whose[at][first] + lo)), pa.array(key[:, 0].view(np.int64) if len(key) else [], pa.int64())], names=[b.schema.names[0], "seed"])
 
     # ids may repeat, so rows are told apart by a digest of their text as well
-    texts = texts.withColumn("digest", F.sha2("text", 256))
+    texts = docs.select("doc_id", text_or_empty().alias("text")).withColumn("digest", F.sha2("text", 256))
     keyed = texts.select(F.struct("doc_id", "digest").alias("row"), "text")
     benches = staged(benchmark.select("item_id", text_or_empty().alias("text")).withColumn("item", F.struct("item_id", F.sha2("text", 256).alias("digest"))), "items")
     of = lambda df, c: df.mapInArrow(seeds, f"{c} {dict(df.dtypes)[c]}, seed long")
@@ -197,17 +206,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, limit: int = LIMIT) -> DataFr
 
     kinds = dict(near.dtypes)
     found = near.mapInArrow(judged, f"row {kinds['row']}, item {kinds['item']}, coverage double, n_tiles long").where(F.col("coverage") >= COVER)
-    again = texts.select(F.struct("doc_id", "digest").alias("row")).join(found, "row")  # repeated rows, repeated matches
-    again = benches.select("item").join(again, "item")
-    return again.select("row.doc_id", "item.item_id", "coverage", "n_tiles")
+    return texts, benches, found
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, limit: int = LIMIT) -> DataFrame:
     """docs without the contaminated rows, all columns as they are."""
     items = _small(benchmark, limit)
     if items is None:
-        found = matches(docs, benchmark, limit).select(F.col("doc_id").alias("_id")).distinct()
-        return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left_anti")
+        *_, found = _judged_pairs(docs, benchmark)
+        found = found.select(F.col("row.doc_id").alias("_id"), F.col("row.digest").alias("_text_digest")).distinct()
+        same = docs["doc_id"].eqNullSafe(found["_id"]) & (F.sha2(text_or_empty(), 256) == found["_text_digest"])
+        return docs.join(found, same, "left_anti")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

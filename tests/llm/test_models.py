@@ -193,3 +193,14 @@ def test_decontamination(spark):
         left = D.clean(docs, bench, limit)
         assert left.columns == docs.columns and sorted(x["doc_id"] for x in left.collect()) == sorted(i for i, *_ in rows if i not in (1, 2, 4, 5))
         assert D.matches(docs.limit(0), bench, limit).count() == 0 and D.matches(docs, bench.limit(0), limit).count() == 0
+
+
+def test_clean_tells_rows_of_one_id_apart(spark):
+    r = random.Random(8)
+    w = lambda k: " ".join(f"t{r.randrange(5000)}" for _ in range(k))
+    item = w(30)
+    good = [(None, w(40), None, None, 0), (7, w(40), None, None, 0), (None, None, None, None, 0)]
+    docs = with_clashes(frame(spark, [*good, (None, w(20) + " " + item, None, None, 0), (7, item, None, None, 0)]))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for limit in (D.LIMIT, 0):
+        assert sorted((str(x["doc_id"]), str(x["text"])) for x in D.clean(docs, bench, limit).collect()) == sorted((str(i), str(t)) for i, t, *_ in good)

@@ -47,3 +47,14 @@ def test_empty_and_odd_tables(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path / "odd"))
     assert out.count() > 0 and near_dedup.near_duplicates(out.drop("repeats", "taken", "target", "size", "source_size")).where("not kept").count() >= 0
     assert quality.score_quality(spark.createDataFrame(corpus(5), SCHEMA), spark.createDataFrame([], "doc_id long, quality int")).count() == len(corpus(5))
+
+
+def test_near_copies_without_ids(spark):
+    r = random.Random(13)
+    w = lambda k: " ".join(f"q{r.randrange(9000)}" for _ in range(k))
+    a, b, c = w(100), w(100), w(100)
+    rows = [(1, a), (None, a + " end"), (None, b), (None, b + " end"), (None, c), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], SCHEMA)
+    got = corpus_pipeline.near_copies(spark, docs, "")
+    texts = {x["text"] for x in got.collect()}
+    assert got.columns == docs.columns and got.count() == 4 and {a, c, None} <= texts and len(texts & {b, b + " end"}) == 1
