@@ -1,11 +1,13 @@
 """Keys as bytes whose unsigned order is the order of the values, and back.
 
-Integers, dates, text and binary stay in the JVM as expressions; the bits of floating-point numbers and unscaled decimals need Arrow UDFs, so
-keep those out of hot paths: sorting typed columns never needs a codec.
+Integers, dates, text, binary and decimals of up to 18 digits stay in the JVM as expressions; the bits of floating-point numbers and of wider
+decimals need Arrow UDFs, so keep those out of hot paths: sorting typed columns never needs a codec.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,6 +24,12 @@ def _hex(number: Column, digits: int) -> Column:
     return F.unhex(F.lpad(F.hex(number), digits, "0"))
 
 
+def _signed(digits: Column) -> Column:
+    """The number of 16 hexadecimal digits, the first bit being the sign."""
+    top, rest = (F.conv(F.substring(digits, at, n), 16, 10).cast("bigint") for at, n in ((1, 1), (2, 15)))
+    return F.shiftleft(top, 60) + rest
+
+
 def days_from_ce(date: Column) -> Column:
     """A date as its day of the common era."""
     return (F.datediff(date, F.lit("1970-01-01").cast("date")) + CE_OFFSET).cast("int")
@@ -72,8 +80,6 @@ def _decimal_bits(scale: int):
 
 
 def _undecimal_bits(kind: T.DecimalType):
-    from decimal import Decimal
-
     @F.pandas_udf(kind.simpleString())
     def decode(v: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or len(x) != 16 else Decimal(int.from_bytes(x, "big") - (1 << 127)).scaleb(-kind.scale) for x in v], dtype=object)
@@ -97,7 +103,11 @@ def encode_key(column: Column, kind: T.DataType) -> Column:
         # the UDF gets nulls as NaN, so they are put back here
         return F.when(column.isNotNull(), _float_bits(4 if isinstance(kind, T.FloatType) else 8)(column))
     if isinstance(kind, T.DecimalType):
-        return _decimal_bits(kind.scale)(column)
+        if kind.precision > 18:
+            return _decimal_bits(kind.scale)(column)
+        unscaled = (column.cast("decimal(38,18)") * F.lit(Decimal(10) ** kind.scale)).cast("bigint") if kind.scale else column.cast("bigint")
+        # the sign's 64 bits with the first one flipped, then the number's own
+        return F.unhex(F.concat(F.when(unscaled < 0, F.lit("7" + "F" * 15)).otherwise(F.lit("8" + "0" * 15)), F.lpad(F.hex(unscaled), 16, "0")))
     raise TypeError(f"no key encoding for {kind.simpleString()}")
 
 
@@ -112,14 +122,14 @@ def decode_key(column: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.IntegerType):
         return F.when(F.length(column) == 4, (F.conv(F.hex(column), 16, 10).cast("bigint") - F.lit(2**31).cast("bigint")).cast("int"))
     if isinstance(kind, T.LongType):
-        # the top digit has the flipped sign bit; the other 15 are as they are
-        top = F.conv(F.substring(F.hex(column), 1, 1), 16, 10).cast("bigint")
-        rest = F.conv(F.substring(F.hex(column), 2, 15), 16, 10).cast("bigint")
-        return F.when(F.length(column) == 8, F.shiftleft(top.bitwiseXOR(F.lit(8).cast("bigint")), 60) + rest)
+        return F.when(F.length(column) == 8, _signed(F.hex(column)).bitwiseXOR(F.lit(-(2**63)).cast("bigint")))
     if isinstance(kind, (T.FloatType, T.DoubleType)):
         return _unfloat_bits(4 if isinstance(kind, T.FloatType) else 8)(column)
     if isinstance(kind, T.DecimalType):
-        return _undecimal_bits(kind)(column)
+        if kind.precision > 18:
+            return _undecimal_bits(kind)(column)
+        unscaled = _signed(F.substring(F.hex(column), 17, 16))
+        return F.when(F.length(column) == 16, (unscaled.cast("decimal(20,0)") * F.lit(Decimal(1).scaleb(-kind.scale))).cast(kind))
     raise TypeError(f"no key encoding for {kind.simpleString()}")
 
 
@@ -129,11 +139,12 @@ def decode_utf8(column: Column) -> Column:
 
 
 def decode_text(column: Column, name: str) -> Column:
-    """A readable form by type name (int, bigint, float, double, string); for others the number of bytes."""
+    """A readable form by type name (int, bigint, float, double, date, a 128-bit integer, string); for others the number of bytes. Bytes of
+    another length than the type's give null."""
     kinds = {
         "int": T.IntegerType(), "int32": T.IntegerType(), "i32": T.IntegerType(), "bigint": T.LongType(), "int64": T.LongType(), "i64": T.LongType(),
         "float": T.FloatType(), "float32": T.FloatType(), "f32": T.FloatType(), "double": T.DoubleType(), "float64": T.DoubleType(), "f64": T.DoubleType(),
-        "string": T.StringType(), "utf8": T.StringType(),
+        "i128": T.DecimalType(38, 0), "int128": T.DecimalType(38, 0), "decimal128": T.DecimalType(38, 0), "string": T.StringType(), "utf8": T.StringType(),
     }
     if name.lower() == "date32":
         return format_ce_days(decode_key(column, T.IntegerType()))

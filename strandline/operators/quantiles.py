@@ -1,15 +1,23 @@
 """Sketches, samples, quantiles and split points.
 
-Numbers have Spark's KLL sketches; strings and binary keys, which those refuse, have sampled split points and exact positions.
+Numbers have Spark's KLL sketches, which can be stored, and merged later. Every type that has an order (text, binary and dates too) has an order
+sketch: values with weights, few whatever the input, whose tables can be stored, joined and merged again. Exact positions come from ranks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from math import ceil, sqrt
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ranks import global_rank, range_bounds
+from .ranks import global_rank, placed, range_bounds
 
 #: Fixed value: the sketch size parameter.
 K = 200
@@ -30,6 +38,12 @@ def kll_summary(df: DataFrame, column: str, k: int = K) -> DataFrame:
     return s.select("sketch", getattr(F, f"kll_sketch_get_n_{kind}")("sketch").alias("n"), getattr(F, f"kll_sketch_to_string_{kind}")("sketch").alias("text"))
 
 
+def kll_merge(sketches: DataFrame, kind: str, column: str = "sketch", k: int = K) -> DataFrame:
+    """One row: the sketch of all that the stored sketches have seen, its count and its text. kind: bigint, float or double, as they were built."""
+    s = sketches.agg(getattr(F, f"kll_merge_agg_{kind}")(column, k).alias("sketch"))
+    return s.select("sketch", getattr(F, f"kll_sketch_get_n_{kind}")("sketch").alias("n"), getattr(F, f"kll_sketch_to_string_{kind}")("sketch").alias("text"))
+
+
 def kll_quantiles(df: DataFrame, column: str, probabilities: list[float], k: int = K) -> DataFrame:
     """p and value: approximate quantiles from one sketch."""
     kind = _kind(df, column)
@@ -47,6 +61,96 @@ def kll_rank(df: DataFrame, column: str, value: float, k: int = K) -> DataFrame:
     return s.select(n.alias("n"), share.alias("quantile"), F.round(share * n).cast("long").alias("rank"))
 
 
+class _Levels:
+    """Sorted buffers of k values: those on level l stand for 2 ** l values each. Two full buffers of a level make one of the next: every other
+    value of both, from a random one of the first two on."""
+
+    def __init__(self, k: int, seed: int):
+        self.k, self.random, self.full, self.loose = k, np.random.default_rng(seed), {}, {}
+
+    def add(self, values: pa.Array, level: int = 0) -> None:
+        held = self.loose.pop(level, None)
+        values = values if held is None else pa.concat_arrays([held, values])
+        while len(values) >= self.k:
+            self._push(_ordered(values.slice(0, self.k)), level)
+            values = values.slice(self.k)
+        if len(values):
+            self.loose[level] = values
+
+    def _push(self, buffer: pa.Array, level: int) -> None:
+        while level in self.full:
+            both = _ordered(pa.concat_arrays([self.full.pop(level), buffer]))
+            buffer = both.take(pa.array(np.arange(int(self.random.integers(2)), len(both), 2)))
+            level += 1
+        self.full[level] = buffer
+
+    def items(self) -> Iterator[tuple[int, pa.Array]]:
+        for held in (self.full, self.loose):
+            yield from held.items()
+
+
+def _ordered(values: pa.Array) -> pa.Array:
+    return values.take(pc.array_sort_indices(values))
+
+
+def _reduced(rows: DataFrame, k: int, seed: int) -> DataFrame:
+    """value and level, a sketch for each partition of rows of value and level."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        levels = _Levels(k, seed + TaskContext.get().partitionId())
+        for b in batches:
+            value, level = b.column("value"), b.column("level").to_numpy()
+            for one in np.unique(level).tolist():
+                levels.add(value.filter(pa.array(level == one)), one)
+        for level, values in levels.items():
+            yield pa.RecordBatch.from_arrays([values, pa.array(np.full(len(values), level, np.int32))], names=["value", "level"])
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def order_sketch(df: DataFrame, column: str, k: int = 1024, seed: int = 1) -> DataFrame:
+    """value and weight: some of the column's values, each for as many as its weight says; nulls don't count. Any type with an order.
+
+    A rank is off by less than log2(n / k) / k of all in the mean, and the table has about k values for each doubling of the rows beyond k.
+    Sketches are made where the rows lie and merged by as many tasks as the root of their number, then by one."""
+    rows = df.where(F.col(f"`{column}`").isNotNull()).select(F.col(f"`{column}`").alias("value"), F.lit(0).alias("level"))
+    return _merged(_reduced(rows, k, seed), k, seed, rows.rdd.getNumPartitions())
+
+
+def merge_order_sketches(sketches: list[DataFrame], k: int = 1024, seed: int = 1) -> DataFrame:
+    """The order sketch of all that the given ones have seen."""
+    if not sketches:
+        raise ValueError("at least one sketch is needed")
+    rows = reduce(DataFrame.union, [s.select("value", F.round(F.log2("weight")).cast("int").alias("level")) for s in sketches])
+    return _merged(rows, k, seed, len(sketches))
+
+
+def _merged(rows: DataFrame, k: int, seed: int, parts: int) -> DataFrame:
+    if parts > 64:
+        rows = _reduced(rows.repartition(ceil(sqrt(parts))), k, seed + 1)
+    return _reduced(rows.coalesce(1), k, seed + 2).select("value", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level")).alias("weight"))
+
+
+def sketch_cdf(sketch: DataFrame) -> DataFrame:
+    """value and the share of all up to it, for each value of an order sketch."""
+    sums = sketch.groupBy("value").agg(F.sum("weight").alias("_w"))  # a sketch has few rows
+    upto = W.partitionBy().orderBy("value").rowsBetween(W.unboundedPreceding, 0)
+    return sums.select("value", (F.sum("_w").over(upto) / F.sum("_w").over(W.partitionBy())).alias("probability"))
+
+
+def sketch_quantiles(sketch: DataFrame, probabilities: list[float]) -> DataFrame:
+    """p and value from an order sketch, as exact_quantiles gives them from all rows; null without any value."""
+    return _quantiles(sketch_cdf(sketch), probabilities)
+
+
+def sketch_rank(sketch: DataFrame, value) -> DataFrame:
+    """One row: n, the estimated share of values up to `value`, and their estimated number."""
+    upto = F.coalesce(F.sum(F.when(F.col("value") <= F.lit(value), F.col("weight"))), F.lit(0))
+    return sketch.agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("n"), upto.alias("rank")).select("n", (F.col("rank") / F.nullif("n", F.lit(0))).alias("quantile"), "rank")
+
+
 def rank_of(column: str | Column, value) -> Column:
     """Exact number of values up to `value`: an aggregate."""
     c = F.col(column) if isinstance(column, str) else column
@@ -56,14 +160,12 @@ def rank_of(column: str | Column, value) -> Column:
 def cdf(df: DataFrame, column: str, ranges: int | None = None) -> DataFrame:
     """value and cumulative probability of each distinct value. Values are counted first, so hot values are one row each."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("_n"))
-    placed = global_rank(counts, ["value"], "row_number", "_place", ranges=ranges)
-    # running sums over the distinct values: within blocks of places, and over the blocks
-    block = placed.withColumn("_block", F.floor((F.col("_place") - 1) / F.lit(1 << 16)))
-    sums = block.groupBy("_block").agg(F.sum("_n").alias("_sum"))
-    before = W.partitionBy().orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select("_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"), F.sum("_sum").over(W.partitionBy()).alias("_all"))
-    here = F.sum("_n").over(W.partitionBy("_block").orderBy("_place"))
-    return block.withColumn("_here", here).join(sums, "_block").select("value", ((F.col("_before") + F.col("_here")) / F.col("_all")).alias("probability"))
+    rows, (part, at, _) = placed(counts, ["value"], [], ranges=ranges)
+    sums = rows.groupBy(part).agg(F.sum("_n").alias("_sum"))  # a row for each range
+    before = W.partitionBy().orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(part, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"), F.sum("_sum").over(W.partitionBy()).alias("_all"))
+    here = F.sum("_n").over(W.partitionBy(part).orderBy(at))
+    return rows.withColumn("_here", here).join(F.broadcast(sums), part).select("value", ((F.col("_before") + F.col("_here")) / F.col("_all")).alias("probability"))
 
 
 def value_at(cdf_table: DataFrame, p: float) -> DataFrame:
@@ -74,7 +176,10 @@ def value_at(cdf_table: DataFrame, p: float) -> DataFrame:
 
 def exact_quantiles(df: DataFrame, column: str, probabilities: list[float]) -> DataFrame:
     """p and value: the least value at which the share of values up to it reaches p, for any type that has an order. A 0 takes the least value."""
-    table = cdf(df, column)
+    return _quantiles(cdf(df, column), probabilities)
+
+
+def _quantiles(table: DataFrame, probabilities: list[float]) -> DataFrame:
     asked = [F.struct(F.lit(float(p)).alias("p"), F.coalesce(F.min(F.when(F.col("probability") >= p - 1e-12, F.col("value"))), F.max("value")).alias("value")) for p in probabilities]
     return table.agg(F.array(*asked).alias("q")).select(F.explode("q").alias("q")).select("q.p", "q.value")
 

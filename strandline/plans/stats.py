@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import time
+import logging
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..spec import SortSpec
 
+log = logging.getLogger(__name__)
+
 
 def partition_counts(df: DataFrame) -> DataFrame:
     """partition and entries of each partition that has rows."""
@@ -25,10 +28,17 @@ def partition_imbalance(counts: DataFrame) -> DataFrame:
 
 @dataclass
 class SortStats:
+    """Times are wall clock: of the sample for the range bounds, of run generation, of the merge."""
+
     runs: int = 1
     run_rows: list[int] = field(default_factory=list)
+    sample_ms: int | None = None
     run_ms: int | None = None
     merge_ms: int | None = None
+    input_rows: int = 0
+    input_bytes: int = 0
+    write_tasks: int = 0
+    read_tasks: int = 0
     entries: list[int] = field(default_factory=list)
     shuffle_write_bytes: int = 0
     shuffle_read_bytes: int = 0
@@ -49,7 +59,7 @@ class SortStats:
         return {"partitions": n, "total": sum(self.entries), "avg": mean, "min": lo, "max": hi, "std_dev": dev, "cv_percent": 100 * dev / mean if mean else 0.0, "imbalance": hi / lo if lo else 0.0}
 
     def __str__(self) -> str:
-        lines = [f"runs {self.runs}, generation {self.run_ms or 0} ms, merge {self.merge_ms or 0} ms", f"shuffle written {self.shuffle_write_bytes}, read {self.shuffle_read_bytes}, spilled {self.spill_bytes} bytes"]
+        lines = [f"runs {self.runs}, sample {self.sample_ms or 0} ms, generation {self.run_ms or 0} ms in {self.write_tasks} tasks, merge {self.merge_ms or 0} ms in {self.read_tasks}", f"input {self.input_rows} rows, {self.input_bytes} bytes; shuffle written {self.shuffle_write_bytes}, read {self.shuffle_read_bytes}, spilled {self.spill_bytes} bytes"]
         if (a := self.read_amplification()) is not None:
             lines.append(f"read amplification {a:.2f} ({100 * (a - 1):+.1f} %)")
         if len(self.entries) > 1:
@@ -60,44 +70,49 @@ class SortStats:
         return "\n".join(lines)
 
 
-def _metrics(df: DataFrame) -> dict[str, int]:
-    """SQL metrics of the plan that ran, summed by name."""
-    out: dict[str, int] = {}
-
-    def walk(node) -> None:
-        name = node.getClass().getSimpleName()
-        if name == "AdaptiveSparkPlanExec":
-            walk(node.executedPlan())
-            return
-        if name.endswith("QueryStageExec"):
-            walk(node.plan())
-            return
-        it = node.metrics().iterator()
-        while it.hasNext():
-            pair = it.next()
-            out[pair._1()] = out.get(pair._1(), 0) + max(0, int(pair._2().value()))
-        children = node.children().iterator()
-        while children.hasNext():
-            walk(children.next())
-
-    walk(df._jdf.queryExecution().executedPlan())
-    return out
-
-
 def sort_with_stats(df: DataFrame, spec: SortSpec, partitions: int) -> tuple[DataFrame, SortStats]:
-    """The sorted frame and what sorting it took; each partition's entries are counted in the same run."""
+    """The sorted frame and what sorting it took: a run is what one map task sorts into the exchange. Each partition's entries are counted in the
+    same job. Times, bytes and numbers of tasks are those that Spark recorded for its two stages."""
+    sc = df.sparkSession.sparkContext
     order = spec.order(df)
-    rows = spec.project(df)
-    out = rows.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
-    began = time.time()
-    # counting in the sorted partitions runs the whole sort; Catalyst would drop a sort below a plain aggregate
-    counted = out.mapInArrow(_count, "partition int, entries long")
-    got = counted.collect()
-    took = int(1000 * (time.time() - began))
-    m = _metrics(counted)
-    stats = SortStats(runs=rows.rdd.getNumPartitions(), merge_ms=took, entries=[r["entries"] for r in sorted(got)])
-    stats.shuffle_write_bytes, stats.shuffle_read_bytes = m.get("shuffleBytesWritten", 0), m.get("localBytesRead", 0) + m.get("remoteBytesRead", 0)
-    stats.spill_bytes, stats.peak_memory_bytes, stats.run_ms = m.get("spillSize", 0), m.get("peakMemory", 0), m.get("sortTime")
+    out = spec.project(df).repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    group = f"sort-{uuid.uuid4().hex}"
+    old = sc.getLocalProperty("spark.jobGroup.id")
+    sc.setJobGroup(group, "sort with statistics")
+    try:
+        # counting in the sorted partitions runs the whole sort; Catalyst would drop a sort below a plain aggregate
+        got = out.mapInArrow(_count, "partition int, entries long").collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", old)
+    stats = SortStats(entries=[r["entries"] for r in sorted(got)])
+    jvm = sc._jsc.sc()
+    jvm.listenerBus().waitUntilEmpty(10_000)
+    store = jvm.statusStore()
+    for job in sorted(sc.statusTracker().getJobIdsForGroup(group)):
+        for number in sc.statusTracker().getJobInfo(job).stageIds:
+            stage = store.lastStageAttempt(number)
+            if stage.status().toString() != "COMPLETE":
+                continue
+            took = stage.completionTime().get().getTime() - stage.submissionTime().get().getTime()
+            if stage.shuffleWriteRecords():  # run generation
+                tasks = store.taskList(number, stage.attemptId(), stage.numTasks())
+                metrics = [tasks.apply(i).taskMetrics() for i in range(tasks.size())]
+                stats.run_rows += [int(m.get().shuffleWriteMetrics().recordsWritten()) for m in metrics if m.isDefined()]
+                stats.run_ms = (stats.run_ms or 0) + took
+                stats.input_rows, stats.input_bytes = int(stage.inputRecords()), int(stage.inputBytes())
+                stats.write_tasks += int(stage.numCompleteTasks())
+                stats.shuffle_write_bytes += int(stage.shuffleWriteBytes())
+            elif stage.shuffleReadRecords():
+                stats.merge_ms = (stats.merge_ms or 0) + took
+                stats.read_tasks += int(stage.numCompleteTasks())
+                stats.shuffle_read_bytes += int(stage.shuffleReadBytes())
+            else:
+                stats.sample_ms = (stats.sample_ms or 0) + took
+                continue
+            stats.spill_bytes += int(stage.diskBytesSpilled())
+            stats.peak_memory_bytes = max(stats.peak_memory_bytes, int(stage.peakExecutionMemory()))
+    stats.runs = len(stats.run_rows) or 1
+    log.info("%s", stats)
     return out, stats
 
 

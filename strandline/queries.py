@@ -5,8 +5,6 @@ Results are compared without regard to row order, so every sort shows its order
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +16,8 @@ from . import functions as X
 from . import operators as O
 from . import plans as P
 from . import sources as S
+from .scratch import fresh as scratch
+from .sources.generate import zeta
 from .spec import SortSpec
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,12 +38,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path that executors can write: below the cluster's shared folder if it has one."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.gettempdir()
-    return f"{root.rstrip('/')}/strandline-scratch/{name}-{uuid.uuid4().hex}"
-
-
 LINE_KEYS = ["l_shipdate", "l_extendedprice", "l_partkey"]
 
 
@@ -85,9 +79,32 @@ def sort_dense_rank(spark, sf_dir):
 
 @query("SELECT o_orderkey, rank() OVER (ORDER BY o_totalprice DESC NULLS LAST) AS rank FROM orders")
 def sort_descending(spark, sf_dir):
-    """Extension: another direction, as the ascending order of the negated key."""
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", (-F.col("o_totalprice")).alias("k"))
-    return O.global_rank(rows, ["k"]).drop("k")
+    """Extension: another direction."""
+    return O.global_rank(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice"], descending=True, nulls_last=True).drop("o_totalprice")
+
+
+@query("SELECT doc_id, rank() OVER (ORDER BY text DESC NULLS FIRST) AS rank FROM documents")
+def sort_descending_text(spark, sf_dir):
+    return O.global_rank(table(spark, sf_dir, "documents").select("doc_id", "text"), ["text"], descending=True).drop("text")
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderstatus DESC NULLS LAST, o_totalprice ASC NULLS FIRST, o_orderkey) AS rn FROM orders")
+def sort_mixed_directions(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return O.global_rank(rows, ["o_orderstatus", "o_totalprice"], "row_number", "rn", tie=["o_orderkey"], descending=[True, False], nulls_last=[True, False]).select("o_orderkey", "rn")
+
+
+@query("SELECT o_orderkey, cume_dist() OVER (ORDER BY o_orderdate DESC NULLS LAST) AS share FROM orders")
+def sort_cume_dist(spark, sf_dir):
+    return O.global_rank(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate"], "cume_dist", "share", descending=True, nulls_last=True).drop("o_orderdate")
+
+
+@query("SELECT o_orderkey, rank() OVER (ORDER BY coalesce(o_orderstatus, ''), coalesce(strftime(o_orderdate, '%Y-%m-%d'), '')) AS rank FROM orders")
+def text_sort(spark, sf_dir):
+    """Order of the text forms of two columns: each row's place among the sorted ranges."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.col("o_orderdate").cast("date").alias("d"))
+    done = O.text_sort(rows, ["o_orderstatus", "d"], 4)
+    return O.global_rank(done.select("o_orderkey", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("o_orderstatus", "d")]), ["o_orderstatus", "d"]).select("o_orderkey", "rank")
 
 
 TOP = SortSpec([*LINE_KEYS, "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_discount", "l_tax"])
@@ -208,6 +225,36 @@ def ovc_codes(spark, sf_dir):
     return X.ovc_runs(rows, "k").select("run_id", "c_custkey", *X.ovc_fields(F.col("ovc")))
 
 
+@query("SELECT count(*) AS n_rows, count(*) - count(DISTINCT o_orderdate::DATE) AS n_duplicate, 4::BIGINT AS n_first, 4::BIGINT AS n_ranges FROM orders")
+def sort_with_codes(spark, sf_dir):
+    """The sort by offset-value codes: equal keys get a duplicate's code, and each range begins anew."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"))
+    out = O.global_sort(rows, SortSpec(["d"], ["o_orderkey"], partitions=4, method="ovc")).withColumn("p", F.spark_partition_id())
+    flag = X.ovc_fields(F.col("ovc"))[0]
+    return out.select("p", flag).agg(F.count("*").alias("n_rows"), F.sum((F.col("flag") == 1).cast("long")).alias("n_duplicate"), F.sum((F.col("flag") == 3).cast("long")).alias("n_first"), F.count_distinct("p").alias("n_ranges"))
+
+
+_KINDS = {"i64": ("o_orderkey", T.LongType()), "f64": ("o_totalprice", T.DoubleType()), "date32": ("d", T.DateType()), "utf8": ("o_orderstatus", T.StringType()), "i128": ("cents", T.DecimalType(15, 2)), "other": ("o_orderkey", T.LongType())}
+
+
+@query("""
+SELECT o_orderkey AS id, o_orderkey::VARCHAR AS i64, o_totalprice AS f64, strftime(o_orderdate::DATE, '%Y-%m-%d') AS date32, o_orderstatus AS utf8,
+       round(o_totalprice::DECIMAL(15,2) * 100)::BIGINT::VARCHAR AS i128, '<8 bytes>' AS other FROM orders""")
+def decode_by_name(spark, sf_dir):
+    """Keys in bytes and their readable forms by type name; the double is cast back, as engines write it in different ways."""
+    rows = table(spark, sf_dir, "orders").withColumn("d", F.col("o_orderdate").cast("date")).withColumn("cents", F.col("o_totalprice").cast("decimal(15,2)"))
+    text = {n: X.decode_text(X.encode_key(F.col(c), kind), n) for n, (c, kind) in _KINDS.items()}
+    text["f64"] = text["f64"].cast("double")
+    return rows.select(F.col("o_orderkey").alias("id"), *[c.alias(n) for n, c in text.items()])
+
+
+@query("SELECT c_custkey, c_name AS name, c_custkey % 3 = 0 AS broken FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT c_custkey, NULL, true FROM customer WHERE c_custkey % 3 = 0")
+def decode_utf8(spark, sf_dir):
+    """Bytes as text; those that aren't UTF-8 give null."""
+    raw = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.col("c_name").cast("binary"), F.lit(bytearray(b"\xff")))).otherwise(F.col("c_name").cast("binary"))
+    return table(spark, sf_dir, "customer").select("c_custkey", X.decode_utf8(raw).alias("name"), (F.col("c_custkey") % 3 == 0).alias("broken"))
+
+
 _PS = (0.1, 0.25, 0.5, 0.75, 0.9)
 
 
@@ -238,14 +285,55 @@ def price_histogram(spark, sf_dir):
     return O.histogram(table(spark, sf_dir, "orders"), "o_totalprice", 20).select("bin", "n")
 
 
-@query()
+def near_exact(rows: DataFrame, column: str, quantiles: DataFrame, bound: float) -> DataFrame:
+    """p, the number of rows, and whether the share of rows up to the value given is within the bound of p."""
+    got = quantiles.collect()  # a row for each p asked for
+    near = [F.struct(F.lit(r["p"]).alias("p"), F.count("*").alias("n"), (F.abs(F.avg((F.col(column) <= F.lit(r["value"])).cast("double")) - r["p"]) <= bound).alias("near")) for r in got]
+    return rows.agg(F.array(*near).alias("q")).select(F.explode("q").alias("q")).select("q.p", "q.n", "q.near")
+
+
+def _near_sql(name: str) -> str:
+    return " UNION ALL ".join(f"SELECT {p}::DOUBLE AS p, count(*) AS n, true AS near FROM {name}" for p in _PS)
+
+
+@query(_near_sql("orders"))
 def kll_quantiles(spark, sf_dir):
-    return O.kll_quantiles(table(spark, sf_dir, "orders"), "o_totalprice", list(_PS))
+    rows = table(spark, sf_dir, "orders").select("o_totalprice")
+    return near_exact(rows, "o_totalprice", O.kll_quantiles(rows, "o_totalprice", list(_PS)), 0.03)
 
 
-@query()
+@query("SELECT count(*) AS n, true AS near FROM orders")
 def kll_rank(spark, sf_dir):
-    return O.kll_rank(table(spark, sf_dir, "orders"), "o_totalprice", 100000.0)
+    rows = table(spark, sf_dir, "orders")
+    exact = rows.agg(O.rank_of("o_totalprice", 100000.0)).first()[0]
+    return O.kll_rank(rows, "o_totalprice", 100000.0).select("n", (F.abs(F.col("rank") - exact) <= 0.03 * F.col("n")).alias("near"))
+
+
+@query("SELECT count(*) AS n, true AS near, true AS shown FROM orders")
+def kll_merged(spark, sf_dir):
+    """A sketch for each order status, stored as rows, and then one of all."""
+    rows = table(spark, sf_dir, "orders")
+    stored = rows.groupBy("o_orderstatus").agg(F.kll_sketch_agg_double("o_totalprice").alias("sketch"))
+    share = F.kll_sketch_get_rank_double("sketch", F.lit(100000.0))
+    exact = rows.agg(F.avg((F.col("o_totalprice") <= 100000.0).cast("double"))).first()[0]
+    return O.kll_merge(stored, "double").select("n", (F.abs(share - exact) <= 0.03).alias("near"), (F.length("text") > 0).alias("shown"))
+
+
+@query(_near_sql("documents"))
+def sketch_of_text(spark, sf_dir):
+    """Quantiles of whole texts from an order sketch, which takes any type that has an order."""
+    rows = table(spark, sf_dir, "documents").select("text")
+    return near_exact(rows, "text", O.sketch_quantiles(O.order_sketch(rows, "text"), list(_PS)), 0.03)
+
+
+@query("SELECT count(*) AS n, true AS near FROM customer")
+def sketches_merged(spark, sf_dir):
+    """Order sketches of binary keys, one a region's half, merged afterwards."""
+    rows = table(spark, sf_dir, "customer").select("c_nationkey", F.col("c_name").cast("binary").alias("k"))
+    both = O.merge_order_sketches([O.order_sketch(rows.where(F.col("c_nationkey") % 2 == i), "k") for i in (0, 1)])
+    cut = bytearray(b"Customer#000000700")
+    exact = rows.agg(O.rank_of("k", cut)).first()[0]
+    return O.sketch_rank(both, cut).select("n", (F.abs(F.col("rank") - exact) <= 0.03 * F.col("n")).alias("near"))
 
 
 @query("SELECT o_orderkey, ntile(4) OVER (ORDER BY o_totalprice, o_orderkey) AS bucket FROM orders")
@@ -260,12 +348,13 @@ def range_buckets(spark, sf_dir):
     return placed.select("o_orderkey", (bucket + 1).cast("long").alias("bucket"))
 
 
-@query()
+@query("SELECT 4::BIGINT AS ranges, count(*) AS n, true AS even FROM orders")
 def split_point_ranges(spark, sf_dir):
-    """Rows in each half-open range between sampled split points: they follow the sample, so SQL has no equal."""
+    """Rows in each half-open range between sampled split points: they follow the sample, so only their number, sum and evenness are facts."""
     rows = table(spark, sf_dir, "orders").select("o_totalprice")
     cuts = [c[0] for c in O.split_points(rows, ["o_totalprice"], 4)]
-    return rows.groupBy(O.bucket_by(F.col("o_totalprice"), cuts).alias("range")).agg(F.count("*").alias("n"))
+    n = rows.groupBy(O.bucket_by(F.col("o_totalprice"), cuts).alias("range")).agg(F.count("*").alias("n"))
+    return n.agg(F.count("*").alias("ranges"), F.sum("n").alias("n"), (F.max("n") <= 0.4 * F.sum("n")).alias("even"))
 
 
 @query("SELECT o_orderkey, position FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS position FROM orders) WHERE position % 1000 = 0")
@@ -273,10 +362,13 @@ def systematic_sample(spark, sf_dir):
     return O.systematic_sample(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice"], 1000, ["o_orderkey"]).select("o_orderkey", "position")
 
 
-@query("SELECT l_returnflag, least(count(*), 100) AS n FROM lineitem GROUP BY 1")
+@query("SELECT l_returnflag, least(count(*), 100) AS n, least(count(*), 100) AS n_real, true AS again FROM lineitem GROUP BY 1")
 def reservoir_sample(spark, sf_dir):
-    rows = O.reservoir(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey"), "l_returnflag", 100)
-    return rows.groupBy("l_returnflag").agg(F.count("*").alias("n"))
+    """At most 100 rows a group, all of them real rows, and the same ones for the same seed."""
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber")
+    one, two = (O.reservoir(rows, "l_returnflag", 100, seed=5).groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum(F.xxhash64("l_orderkey", "l_linenumber").cast("decimal(38,0)")).alias("digest")) for _ in "ab")
+    real = O.reservoir(rows, "l_returnflag", 100, seed=5).join(rows.distinct(), rows.columns, "left_semi").groupBy("l_returnflag").agg(F.count("*").alias("n_real"))
+    return one.join(two.withColumnRenamed("digest", "digest2").drop("n"), "l_returnflag").join(real, "l_returnflag").select("l_returnflag", "n", "n_real", (F.col("digest") == F.col("digest2")).alias("again"))
 
 
 @query("""
@@ -286,20 +378,83 @@ def order_violations(spark, sf_dir):
     return O.order_violations(table(spark, sf_dir, "events"), "value", ["ts", "event_id"], ["user_id"])
 
 
-@query("SELECT count(*) AS n_rows, true AS sorted FROM lineitem")
+@query("SELECT count(*) AS n_rows, sum((value < before)::BIGINT)::BIGINT AS n_violations FROM (SELECT value, lag(value) OVER (ORDER BY event_id) AS before FROM events)")
+def order_violations_overall(spark, sf_dir):
+    return O.order_violations(table(spark, sf_dir, "events").select("event_id", "value"), "value", ["event_id"])
+
+
+@query("SELECT count(*) AS n_rows, true AS sorted, false AS shuffled_sorted, sum(l_orderkey)::BIGINT AS content FROM lineitem")
 def verify_sorted(spark, sf_dir):
-    spec = SortSpec(LINE_KEYS, partitions=8)
-    rows = O.global_sort(table(spark, sf_dir, "lineitem"), spec)
-    return rows.agg(F.count("*").alias("n_rows"), F.lit(O.is_sorted(rows, LINE_KEYS)).alias("sorted"))
+    """The sorted frame is in order, the one dealt out by another column is not, and the rows are the same."""
+    rows = table(spark, sf_dir, "lineitem")
+    done = O.global_sort(rows, SortSpec(LINE_KEYS, ["l_orderkey"], partitions=8))
+    other = rows.repartition(4, "l_orderkey")
+    return done.agg(F.count("*").alias("n_rows"), F.lit(O.is_sorted(done, LINE_KEYS)).alias("sorted"), F.lit(O.is_sorted(other, LINE_KEYS)).alias("shuffled_sorted"), F.sum("l_orderkey").cast("long").alias("content"))
 
 
-@query("SELECT count(*) AS n_rows, 0::BIGINT AS n_violations, 4::BIGINT AS n_runs FROM orders")
+@query("SELECT (o_orderkey % 4)::INTEGER AS run_id, o_orderkey, rank() OVER (PARTITION BY o_orderkey % 4 ORDER BY o_totalprice) AS rank FROM orders")
 def sorted_runs(spark, sf_dir):
-    runs = O.generate_runs(table(spark, sf_dir, "orders"), SortSpec(["o_totalprice"]), 4)
-    placed = runs.withColumn("at", F.monotonically_increasing_id())
-    w = W.partitionBy("run_id").orderBy("at")
-    seen = placed.withColumn("before", F.lag("o_totalprice").over(w))
-    return seen.agg(F.count("*").alias("n_rows"), F.sum((F.col("o_totalprice") < F.col("before")).cast("long")).alias("n_violations"), F.count_distinct("run_id").alias("n_runs"))
+    """Four runs, each sorted where it lies: a row's place in its run."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").repartitionById(4, (F.col("o_orderkey") % 4).cast("int"))
+    runs = O.generate_runs(rows, SortSpec(["o_totalprice"], ["o_orderkey"]))
+    at = F.monotonically_increasing_id() - F.shiftleft(F.col("run_id").cast("long"), 33)
+    same = W.partitionBy("run_id", "o_totalprice")
+    return runs.withColumn("at", at).select("run_id", "o_orderkey", (F.min("at").over(same) + 1).alias("rank"))
+
+
+@query("SELECT count(*) AS n_rows, 4::BIGINT AS n_ranges, 0::BIGINT AS n_overlaps, true AS sorted, sum(o_orderkey)::BIGINT AS content FROM orders")
+def merged_runs(spark, sf_dir):
+    """Runs merged in parallel: each merge range is sorted, and no range reaches into the next."""
+    spec = SortSpec(["o_totalprice"], ["o_orderkey"])
+    merged = O.parallel_merge(O.generate_runs(table(spark, sf_dir, "orders"), spec, 6), spec, 4)
+    ends = merged.groupBy(F.spark_partition_id().alias("p")).agg(F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi"), F.count("*").alias("n"), F.sum("o_orderkey").alias("content"))
+    before = F.lag("hi").over(W.partitionBy().orderBy("p"))  # a row for each range
+    seen = ends.withColumn("over", F.coalesce((before > F.col("lo")).cast("long"), F.lit(0)))
+    return seen.agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_ranges"), F.sum("over").alias("n_overlaps"), F.lit(O.is_sorted(merged, ["o_totalprice"])).alias("sorted"), F.sum("content").cast("long").alias("content"))
+
+
+@query("SELECT c_nationkey, array_to_string(list_sort(list(c_custkey)), ',') AS keys FROM customer GROUP BY 1")
+def sorted_arrays(spark, sf_dir):
+    """Lists small enough to be one value, each in order."""
+    lists = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.collect_list("c_custkey").alias("keys"))
+    return lists.select("c_nationkey", F.array_join(O.sort_column_array("keys").cast("array<string>"), ",").alias("keys"))
+
+
+@query("SELECT n_name, n_nationkey, row_number() OVER (ORDER BY n_name) AS at FROM nation")
+def iterate_in_order(spark, sf_dir):
+    """A sorted result iterated twice, a partition at a time, in order."""
+    rows = O.global_sort(table(spark, sf_dir, "nation"), SortSpec(["n_name"], ["n_nationkey"], partitions=3))
+    once, again = ([tuple(r) for r in S.iterate(rows)] for _ in "ab")  # nation has 25 rows
+    assert once == again
+    return spark.createDataFrame([(*r, i) for i, r in enumerate(once, 1)], "n_name string, n_nationkey long, at long").select("n_name", F.col("n_nationkey").cast(table(spark, sf_dir, "nation").schema["n_nationkey"].dataType).alias("n_nationkey"), "at")
+
+
+@query("SELECT 0::BIGINT AS n_rows, 'key,src,value' AS columns")
+def merge_of_nothing(spark, sf_dir):
+    none = O.merge_sorted([], SortSpec(["key"], ["value"]))
+    return none.agg(F.count("*").alias("n_rows"), F.lit(",".join(sorted(none.columns))).alias("columns"))
+
+
+@query("SELECT count(*) AS run_rows, count(*) AS entries, 4::BIGINT AS ranges, true AS timed, true AS moved FROM orders")
+def sort_statistics(spark, sf_dir):
+    """What a sort says of itself: rows of its runs and ranges, times, bytes."""
+    _, stats = P.sort_with_stats(table(spark, sf_dir, "orders"), SortSpec(["o_totalprice"], ["o_orderkey"]), 4)
+    timed = None not in (stats.run_ms, stats.merge_ms) and stats.runs == stats.write_tasks > 0
+    moved = stats.shuffle_write_bytes > 0 and 0.9 < (stats.read_amplification() or 0) < 1.1
+    return spark.createDataFrame([(sum(stats.run_rows), sum(stats.entries), len(stats.entries), timed, moved)], "run_rows long, entries long, ranges long, timed boolean, moved boolean")
+
+
+@query("SELECT unnest([1, 4])::BIGINT AS partitions, (SELECT count(*) FROM lineitem) AS rows, true AS timed")
+def scan_scaling(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem")
+    got = P.scan_scaling(lambda n: rows.coalesce(n) if n == 1 else rows.repartition(n), [1, 4], 0, 1)
+    return spark.createDataFrame([(r["partitions"], r["rows"], r["rows_per_second"] > 0) for r in got], "partitions long, rows long, timed boolean")
+
+
+@query("SELECT name, (SELECT count(*) FROM orders) AS rows, true AS sorted FROM (VALUES ('TinyRuns_MaxParallelGen_SerialMerge'), ('HugeRuns_SerialGen_MaxParallelMerge')) t(name)")
+def sort_benchmark(spark, sf_dir):
+    got = P.sort_benchmark(table(spark, sf_dir, "orders"), SortSpec(["o_totalprice"], ["o_orderkey"]), [64.0], [4], P.POLICIES[:2], 0, 1, verify=True)
+    return spark.createDataFrame([(r["policy"], r["rows"], r["sorted"]) for r in got], "name string, rows long, sorted boolean")
 
 
 @query("SELECT l_partkey, count(*) AS n, sum((dup > 1)::BIGINT)::BIGINT AS n_duplicate FROM (SELECT l_partkey, row_number() OVER (PARTITION BY l_partkey, l_suppkey) AS dup FROM lineitem) GROUP BY 1")
@@ -324,8 +479,9 @@ WITH c AS (SELECT o_orderkey % 8 AS b, count(*) AS entries FROM orders GROUP BY
 SELECT count(*) AS partitions, sum(entries)::BIGINT AS total, avg(entries) AS avg, min(entries) AS min, max(entries) AS max,
        round(stddev_pop(entries), 9) AS std_dev, round(stddev_pop(entries) / avg(entries) * 100, 9) AS cv_percent, max(entries)::DOUBLE / min(entries) AS imbalance FROM c""")
 def partition_imbalance(spark, sf_dir):
-    counts = table(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % 8).alias("b")).agg(F.count("*").alias("entries"))
-    out = P.partition_imbalance(counts)
+    """Of eight real partitions, which hold what the key's remainder says."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey").repartitionById(8, (F.col("o_orderkey") % 8).cast("int"))
+    out = P.partition_imbalance(P.partition_counts(rows))
     return out.withColumn("std_dev", F.round("std_dev", 9)).withColumn("cv_percent", F.round("cv_percent", 9))
 
 
@@ -335,6 +491,20 @@ def sort_bytes_estimate(spark, sf_dir):
     return rows.agg(F.sum(sum((P.column_bytes(rows, c) for c in ("o_orderkey", "o_totalprice")), P.column_bytes(rows, "o_orderpriority"))).alias("bytes"))
 
 
+@query("SELECT count(*) AS n, true AS near FROM orders")
+def sort_size_estimate(spark, sf_dir):
+    """The size estimated from a sample is within a tenth of the sum over all rows."""
+    rows = table(spark, sf_dir, "orders")
+    mb = P.estimate_sort_mb(rows, SortSpec(["o_orderpriority"], ["o_orderkey", "o_totalprice"]))
+    exact = sum((P.column_bytes(rows, c) for c in ("o_orderkey", "o_totalprice")), P.column_bytes(rows, "o_orderpriority"))
+    return rows.agg(F.count("*").alias("n"), (F.abs(F.sum(exact) / 1024**2 - mb) <= 0.1 * mb).alias("near"))
+
+
+@query("SELECT * FROM (VALUES (0, '3 B'), (1, '3.00 KB'), (2, '3.00 MB'), (3, '3.00 GB'), (4, '3.00 TB')) t(power, shown)")
+def human_sizes(spark, sf_dir):
+    return spark.createDataFrame([(i, P.human_bytes(3 * 1024**i)) for i in range(5)], "power int, shown string")
+
+
 @query("""
 WITH c AS (SELECT 4096.0::DOUBLE AS m, 32768.0::DOUBLE AS d, 64.0::DOUBLE / 1024 AS p, 32.0::DOUBLE AS t),
 b AS (SELECT *, m / sqrt(d * p) AS bal FROM c),
@@ -345,10 +515,12 @@ r AS (SELECT 'TinyRuns_MaxParallelGen_SerialMerge' AS name, d * p / m AS run, b.
       SELECT 'MergeBoundRuns_LimitedParallelGen_MaxParallelMerge', d * p * t / m, b.* FROM b)
 SELECT name, run AS run_size_mb,
        CASE WHEN name LIKE 'Huge%' THEN 1 WHEN name LIKE 'GenB%' THEN t WHEN name LIKE 'Medium%' THEN least(bal, t) ELSE least(m / run, t) END::DOUBLE AS run_gen_threads,
-       CASE WHEN name LIKE 'MergeB%' THEN t WHEN name LIKE 'Medium%' THEN least(bal, t) ELSE least(m / (d / run * p), t) END::DOUBLE AS merge_threads
+       CASE WHEN name LIKE 'MergeB%' THEN t WHEN name LIKE 'Medium%' THEN least(bal, t) ELSE least(m / (d / run * p), t) END::DOUBLE AS merge_threads,
+       d / run AS runs, name NOT LIKE 'none%' AS feasible,
+       CASE WHEN name LIKE 'Huge%' OR name LIKE 'GenB%' OR name LIKE 'Medium%' THEN 'Run Generation' ELSE 'Merge Phase' END AS bottleneck
 FROM r""")
 def policy_table(spark, sf_dir):
-    return P.policy_frame(spark).select("name", "run_size_mb", "run_gen_threads", "merge_threads")
+    return P.policy_frame(spark).select("name", "run_size_mb", "run_gen_threads", "merge_threads", "runs", "feasible", "bottleneck")
 
 
 @query("SELECT o_orderkey, o_orderpriority, o_totalprice, o_orderdate::DATE AS d FROM orders")
@@ -371,18 +543,110 @@ def csv_bad_rows(spark, sf_dir):
     return S.read_csv(spark, path, schema, [0, 1], header=False)
 
 
-@query("SELECT substr(md5('1:' || i), 1, 20) AS key, rank() OVER (ORDER BY substr(md5('1:' || i), 1, 20)) AS rank FROM range(10000) t(i)")
+@query("""
+SELECT substr(md5('1:' || i), 1, 20) AS key, rank() OVER (ORDER BY substr(md5('1:' || i), 1, 20)) AS rank, substr(sha256('1:' || i || ':0'), 1, 8) AS payload
+FROM range((SELECT count(*) FROM orders)) t(i)""")
 def gensort_sort(spark, sf_dir):
-    """Binary records written, read again and ranked by key."""
+    """As many binary records as there are orders, written, read again and sorted with their payload."""
     path = scratch(spark, "gensort")
-    S.write_gensort(S.uniform_records(spark, 10_000, partitions=4), path)
-    ranked = O.global_rank(S.read_gensort(spark, path).select("key"), ["key"])
-    return ranked.select(F.lower(F.hex("key")).alias("key"), "rank")
+    S.write_gensort(S.uniform_records(spark, table(spark, sf_dir, "orders").count(), partitions=4), path)
+    ranked = O.global_rank(S.read_gensort(spark, path), ["key"])
+    return ranked.select(F.lower(F.hex("key")).alias("key"), "rank", F.lower(F.hex(F.substring("payload", 1, 4))).alias("payload"))
 
 
-@query()
+@query("SELECT count(*) AS n, true AS within, true AS head_near FROM orders")
 def zipf_keys(spark, sf_dir):
-    return S.zipf_keys(spark, 10_000, 0.9).groupBy("rank").agg(F.count("*").alias("n"))
+    """As many draws as there are orders: ranks within the domain, and the head as often as its share says, within five standard deviations."""
+    n = table(spark, sf_dir, "orders").count()
+    head = 1 / zeta(n, 0.9)
+    drawn = S.zipf_keys(spark, n, 0.9)
+    near = F.abs(F.avg((F.col("rank") == 0).cast("double")) - head) <= 5 * (head * (1 - head) / n) ** 0.5
+    return drawn.agg(F.count("*").alias("n"), ((F.min("rank") >= 0) & (F.max("rank") < n)).alias("within"), near.alias("head_near"))
+
+
+@query("SELECT count(*) AS n_rows, count(*) AS n_records FROM orders")
+def zipf_records(spark, sf_dir):
+    """Skewed records through the binary format and a sort: none is lost, keys are ten digits."""
+    path = scratch(spark, "zipf")
+    n = table(spark, sf_dir, "orders").count()
+    S.write_gensort(S.zipf_records(spark, n, 0.7, partitions=3), path)
+    rows = O.global_sort(S.read_gensort(spark, path), SortSpec(["key"], ["payload"], partitions=4))
+    return rows.agg(F.count("*").alias("n_rows"), F.sum((F.col("key").cast("string").rlike("^[0-9]{10}$") & (F.length("payload") == 90)).cast("long")).alias("n_records"))
+
+
+@query("SELECT count(*) AS n_rows, sum(o_orderkey)::BIGINT AS content, true AS split FROM orders")
+def csv_splits(spark, sf_dir):
+    """A CSV file read in many byte ranges: each line belongs to just one of them."""
+    path = scratch(spark, "csv_splits")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    rows.coalesce(1).write.csv(path, header=True)
+    key, old = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set(key, "16k")
+    try:
+        read = S.read_csv(spark, path, rows.schema)
+        splits = S.scan_splits(read.select("o_orderkey")).collect()
+        content = read.agg(F.sum("o_orderkey")).first()[0]
+    finally:
+        spark.conf.set(key, old)
+    return spark.createDataFrame([(sum(r["entries"] for r in splits), content, len(splits) > 1)], "n_rows long, content long, split boolean")
+
+
+@query("SELECT count(*) AS n_rows, sum(l_orderkey)::BIGINT AS content, true AS split FROM lineitem")
+def parquet_row_groups(spark, sf_dir):
+    """A Parquet file of many row groups read in several splits."""
+    path = scratch(spark, "row_groups")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice", "l_shipdate")
+    rows.coalesce(1).write.option("parquet.block.size", 1 << 16).parquet(path)
+    key, old = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set(key, "48k")
+    try:
+        read = S.read_parquet(spark, path, ["l_orderkey"])
+        splits = S.scan_splits(read).collect()
+        content = read.agg(F.sum("l_orderkey")).first()[0]
+    finally:
+        spark.conf.set(key, old)
+    return spark.createDataFrame([(sum(r["entries"] for r in splits), content, len(splits) > 1)], "n_rows long, content long, split boolean")
+
+
+@query("SELECT n_nationkey::VARCHAR AS col_0, n_name AS col_1, CASE WHEN n_nationkey % 2 = 0 THEN '' ELSE n_regionkey::VARCHAR END AS col_2 FROM nation")
+def csv_of_unknown_schema(spark, sf_dir):
+    """Text between pipes, without a schema; empty fields are empty texts."""
+    path = scratch(spark, "pipes")
+    n = table(spark, sf_dir, "nation")
+    n.select("n_nationkey", "n_name", F.when(F.col("n_nationkey") % 2 != 0, F.col("n_regionkey"))).write.csv(path, sep=S.delimiter("pipe"), header=True)
+    return S.read_text_columns(spark, path, "pipe")
+
+
+@query("""
+SELECT n_nationkey AS id, md5(repeat(n_name || '"', 4000)) AS long_quoted, md5(repeat('x', 100000)) AS long_plain FROM nation""")
+def csv_long_fields(spark, sf_dir):
+    """Fields of thousands of quotes and of 100,000 characters."""
+    path = scratch(spark, "csv_long")
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.repeat(F.concat("n_name", F.lit('"')), F.lit(4000)).alias("quoted"), F.repeat(F.lit("x"), F.lit(100_000)).alias("plain"))
+    line = F.concat_ws(",", F.col("id").cast("string"), F.concat(F.lit('"'), F.replace(F.col("quoted"), F.lit('"'), F.lit('""')), F.lit('"')), F.col("plain"))
+    rows.select(line.alias("value")).write.text(path)
+    read = S.read_csv(spark, path, rows.schema, header=False)
+    return read.select("id", F.md5(F.col("quoted").cast("binary")).alias("long_quoted"), F.md5(F.col("plain").cast("binary")).alias("long_plain"))
+
+
+@query("""
+SELECT o_orderkey AS vendorid, o_orderdate AS tpep_pickup_datetime, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END AS fare_amount, o_orderstatus AS store_and_fwd_flag, NULL::BIGINT AS pulocationid FROM orders""")
+def trip_files(spark, sf_dir):
+    """Files of two shapes brought to one: names in another case, a fraction for a number, missing columns."""
+    path = scratch(spark, "trips")
+    o = table(spark, sf_dir, "orders")
+    o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").cast("double").alias("VendorID"), F.col("o_orderdate").alias("tpep_pickup_datetime"), F.col("o_totalprice").alias("Fare_Amount"), F.col("o_orderstatus").alias("store_and_fwd_flag")).coalesce(1).write.parquet(f"{path}/a_2019-01")
+    o.where("o_orderkey % 2 = 1").select("o_comment" if "o_comment" in o.columns else F.lit("x").alias("o_comment"), F.col("o_orderstatus").alias("Store_And_Fwd_Flag"), F.col("o_orderkey").alias("vendorid"), F.col("o_orderdate").alias("TPEP_pickup_datetime")).coalesce(1).write.parquet(f"{path}/b_2020-01")
+    return S.normalise_trips(spark, f"{path}/*").select("vendorid", "tpep_pickup_datetime", "fare_amount", "store_and_fwd_flag", "pulocationid")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders")
+def sorted_csv_sink(spark, sf_dir):
+    """A sort written as CSV files in key order, and read again."""
+    path = scratch(spark, "csv_sink")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    S.write_sorted(rows, path, SortSpec(["o_totalprice"], ["o_orderkey"]), 4, "csv")
+    return S.read_csv(spark, path, rows.schema, header=False)
 
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
@@ -396,6 +660,7 @@ def parquet_length(spark, sf_dir):
     return spark.range(1).select(F.lit(S.parquet_length(spark, f"{sf_dir}/lineitem.parquet")).cast("long").alias("n"))
 
 
-@query("SELECT l_returnflag, l_quantity FROM lineitem")
+@query("SELECT l_returnflag, l_quantity, l_returnflag AS l_returnflag_2 FROM lineitem")
 def project_by_ordinal(spark, sf_dir):
-    return S.read_parquet(spark, f"{sf_dir}/lineitem.parquet", [8, 4])
+    """Columns by number; one asked for again comes again."""
+    return S.read_parquet(spark, f"{sf_dir}/lineitem.parquet", [8, 4, 8])

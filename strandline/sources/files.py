@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..spec import SortSpec, resolve
+from ..spec import SortSpec, picked, resolve
 
 #: Names that stand for delimiters.
 DELIMITERS = {"tab": "\t", "\\t": "\t", "pipe": "|", "comma": ","}
@@ -80,15 +80,16 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, columns: list
 
 
 def _fields(line: str, sep: str) -> Column:
-    """Raw fields of a line: separators inside quotes don't count, an open quote runs to the end."""
+    """Raw fields of a line: separators inside quotes don't count, an open quote runs to the end. Possessive and unrolled, so that the stack that a
+    match needs doesn't grow with the field."""
     s = re.escape(sep) if sep != "\t" else "\\t"
-    field = f'(?:[^"{s}]|"(?:[^"]|"")*(?:"|$))*'
+    field = f'[^"{s}]*+(?:"[^"]*+(?:""[^"]*+)*+(?:"|$)[^"{s}]*+)*+'
     return F.regexp_extract_all(F.concat(F.lit(sep), line), F.lit(f"{s}({field})"), F.lit(1))
 
 
 def _unquoted(field: Column) -> Column:
     """Without quotes; a doubled one inside quotes is one."""
-    return F.replace(F.regexp_replace(field, '"((?:[^"]|"")*)(?:"|$)', "$1"), F.lit('""'), F.lit('"'))
+    return F.replace(F.regexp_replace(field, '"((?:[^"]*+(?:""[^"]*+)*+))(?:"|$)', "$1"), F.lit('""'), F.lit('"'))
 
 
 def _all(conditions: list[Column]) -> Column:
@@ -107,9 +108,9 @@ def read_text_columns(spark: SparkSession, path: str, sep: str = ",", header: bo
 
 
 def read_parquet(spark: SparkSession, path: str, columns: list[int | str] | None = None) -> DataFrame:
-    """Schema from the footer; columns by name or ordinal, checked at once. Only they are read."""
+    """Schema from the footer; columns by name or ordinal, checked at once. Only they are read; one asked for again comes again, numbered."""
     df = spark.read.parquet(path)
-    return df if columns is None else df.select(*dict.fromkeys(resolve(df, columns)))
+    return df if columns is None else picked(df, resolve(df, columns))
 
 
 def parquet_length(spark: SparkSession, path: str) -> int:
@@ -127,3 +128,9 @@ def write_sorted(df: DataFrame, path: str, spec: SortSpec, partitions: int | Non
 def iterate(df: DataFrame) -> Iterator[Row]:
     """Rows in order, a partition at a time; may be called again and again."""
     return df.toLocalIterator(prefetchPartitions=True)
+
+
+def scan_splits(df: DataFrame) -> DataFrame:
+    """file, start and rows of each split that a scan of files deals out; a row belongs to one split only."""
+    placed = df.select(F.input_file_name().alias("file"), F.input_file_block_start().alias("start"))
+    return placed.groupBy("file", "start").agg(F.count("*").alias("entries"))

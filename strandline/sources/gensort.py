@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,16 @@ def read_gensort(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.substring("value", 1, KEY_BYTES).alias("key"), F.substring("value", KEY_BYTES + 1, RECORD_BYTES - KEY_BYTES).alias("payload"))
 
 
+def _fixed(column: pa.Array, size: int) -> np.ndarray:
+    """The column's bytes, a row for each value; all have `size` of them."""
+    column = column.cast(pa.large_binary())
+    _, offs, data = column.buffers()
+    offs = np.frombuffer(offs, np.int64)[column.offset : column.offset + len(column) + 1]
+    if column.null_count or (np.diff(offs) != size).any():
+        raise ValueError(f"a record has a key of {KEY_BYTES} and a payload of {RECORD_BYTES - KEY_BYTES} bytes")
+    return np.frombuffer(data, np.uint8)[offs[0] : offs[-1]].reshape(-1, size)
+
+
 def write_gensort(df: DataFrame, path: str) -> None:
     """key and payload as records, a file for each partition, in order; each partition streams to its file in the target's file system."""
     import os
@@ -37,7 +49,6 @@ def write_gensort(df: DataFrame, path: str) -> None:
     uri = path if "://" in path else f"file://{os.path.abspath(path)}"
 
     def run(batches):
-        import pyarrow as pa
         from pyspark import TaskContext
 
         where, base = fs.FileSystem.from_uri(uri)
@@ -46,10 +57,8 @@ def write_gensort(df: DataFrame, path: str) -> None:
         part, n = f"{base}/_{uuid.uuid4().hex}", 0
         with where.open_output_stream(part) as out:
             for b in batches:
-                for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    if len(k) != KEY_BYTES or len(k) + len(v) != RECORD_BYTES:
-                        raise ValueError("a record has a key of 10 and a payload of 90 bytes")
-                    out.write(k + v)
+                if b.num_rows:
+                    out.write(np.hstack([_fixed(b.column(0), KEY_BYTES), _fixed(b.column(1), RECORD_BYTES - KEY_BYTES)]).tobytes())
                 n += b.num_rows
         where.move(part, name)
         yield pa.RecordBatch.from_pydict({"rows": [n]})

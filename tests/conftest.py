@@ -7,13 +7,14 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
+    root = tmp_path_factory.mktemp("spark")
     s = (
         SparkSession.builder.master("local[4]").appName("tests")
         .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.warehouse.dir", "/tmp/strandline-tests/warehouse").config("spark.driver.memory", "3g")
+        .config("spark.sql.warehouse.dir", f"{root}/warehouse").config("spark.checkpoint.dir", f"file://{root}/shared").config("spark.driver.memory", "3g")
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")

@@ -70,3 +70,20 @@ def test_ovc_order_is_key_order_for_one_base(spark):
     got = df.select("k", X.ovc_column(F.col("k"), F.col("p")).alias("c")).collect()
     for a, b in zip(sorted(got, key=lambda x: bytes(x["k"])), sorted(got, key=lambda x: bytes(x["k"]))[1:], strict=False):
         assert a["c"] <= b["c"]
+
+
+def test_decimals_wide_and_narrow(spark):
+    values = [Decimal(x) for x in ("-99999999999.99", "-1.25", "0.00", "0.01", "99999999999.99")]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "d decimal(13,2)")
+    narrow, wide = T.DecimalType(13, 2), T.DecimalType(38, 2)
+    rows = df.select("d", X.encode_key(F.col("d"), narrow).alias("n"), X.encode_key(F.col("d").cast(wide), wide).alias("w"))
+    got = rows.select("d", "n", "w", X.decode_key(F.col("n"), narrow).alias("back"), X.decode_text(F.col("w"), "i128").alias("text")).collect()
+    assert all(r["n"] == r["w"] and r["back"] == r["d"] for r in got) and [r["d"] for r in sorted((r for r in got if r["n"]), key=lambda r: bytes(r["n"]))] == values
+    assert {r["text"] for r in got} == {"-9999999999999", "-125", "0", "1", "9999999999999", None}
+
+
+def test_codes_of_partitions_are_those_of_runs(spark):
+    keys = [b"", b"a", b"a", b"ab", b"ab\0", b"abcdef", b"abcdefg", b"abcdefghijkl", b"abcdefghijklm" * 5, b"b" * 9000, b"b" * 9001, b"\xff"]
+    df = spark.createDataFrame([(k, 0) for k in sorted(keys)], "k binary, run_id int").coalesce(1).sortWithinPartitions("k")
+    a, b = (sorted(map(str, x.select("k", "ovc").collect())) for x in (X.ovc_partitions(df, "k"), X.ovc_runs(df, "k")))
+    assert a == b

@@ -1,11 +1,13 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from strandline import operators as O
 from strandline import plans as P
 from strandline.sources import from_rows
-from strandline.spec import SortSpec
+from strandline.spec import SortSpec, directed
 
 TEXT = "key string, value string"
 
@@ -62,7 +64,7 @@ def test_spec_errors(spark):
         O.global_sort(df, SortSpec(["none"]))
     with pytest.raises(TypeError):
         O.global_sort(spark.sql("select map(1, 2) as m"), SortSpec(["m"]))
-    assert O.global_sort(df, SortSpec([0], [1, 0])).columns == ["key", "value"]
+    assert O.global_sort(df, SortSpec([0], [1, 0])).columns == ["key", "value", "key_2"]
 
 
 def test_runs_and_parallel_merge(spark):
@@ -83,8 +85,8 @@ def test_merge_ties_come_in_input_order(spark):
     got = [(r["key"], r["src"]) for r in O.merge_sorted([from_rows(spark, x, TEXT) for x in (a, b, c)], SortSpec(["key"], ["value"])).collect()]
     assert got == sorted(got)
     assert O.merge_sorted([from_rows(spark, a, TEXT)], SortSpec(["key"])).count() == 3
-    with pytest.raises(ValueError):
-        O.merge_sorted([], SortSpec(["key"]))
+    none = O.merge_sorted([], SortSpec(["key"]))
+    assert none.columns == ["key", "value", "src"] and none.count() == 0
 
 
 def test_range_scan_golden(spark):
@@ -96,9 +98,6 @@ def test_range_scan_golden(spark):
 
 @pytest.mark.parametrize("kind", ["rank", "row_number", "dense_rank", "cume_dist"])
 def test_global_rank_equals_the_window(spark, kind):
-    from pyspark.sql import Window as W
-    from pyspark.sql import functions as F
-
     r = random.Random(4)
     df = spark.createDataFrame([(r.choice([None, *range(40)]), r.choice("abc"), i) for i in range(2000)], "x int, y string, id int")
     keys = ["x", "y"] if kind != "row_number" else ["x", "y", "id"]
@@ -153,3 +152,51 @@ def test_stats_and_estimate(spark):
     assert P.SortStats().read_amplification() is None and P.SortStats().imbalance() == {}
     mb = P.estimate_sort_mb(df, SortSpec(["k"], ["v"]))
     assert 20_000 * 13 / 2**20 < mb < 20_000 * 17 / 2**20 and P.estimate_sort_mb(df.limit(0), SortSpec(["k"])) == 0
+
+
+def test_ranks_in_any_direction(spark):
+    texts = ["a" * 70, "a" * 64, "a" * 63, "a" * 70 + "b", None, "b", ""]  # longer than the prefix that bounds look at, and of just that length
+    d = spark.createDataFrame([(a, b, i % 2 / 0.5 if i % 5 else float("nan")) for i, (a, b) in enumerate((a, b) for a in texts for b in (3, 1, None))], "k string, v int, f double")
+    for down, last in ((False, False), (True, False), ([True, False, True], [False, True, True])):
+        for kind in ("rank", "row_number", "dense_rank", "cume_dist"):
+            keys = ["k", "f", "v"]
+            got = O.global_rank(d.repartition(3), keys, kind, "r", ranges=5, descending=down, nulls_last=last).collect()
+            want = d.withColumn("r", getattr(F, kind)().over(W.orderBy(*directed(keys, down, last)))).collect()
+            assert sorted(map(str, got)) == sorted(map(str, want))
+        one = O.rank_by_distinct(d.union(d), ["k"], "r", descending=bool(down), nulls_last=bool(last)).collect()
+        want = d.union(d).withColumn("r", F.rank().over(W.orderBy(*directed(["k"], bool(down), bool(last))))).collect()
+        assert sorted(map(str, one)) == sorted(map(str, want))
+        for n in (1, 4):
+            order = directed(["k", "f", "v"], down, last)
+            assert O.is_sorted(d.repartitionByRange(n, *order).sortWithinPartitions(*order), ["k", "f", "v"], down, last)
+    assert not O.is_sorted(d.coalesce(1), ["k", "v"]) and O.is_sorted(d.limit(0), ["k"])
+    assert O.global_rank(d.limit(0), ["k"]).count() == 0
+    clash = O.global_rank(d.withColumns({"_range": F.lit(1), "_at": F.lit(2), "rank": F.lit(9)}), ["k"])
+    assert clash.columns == ["k", "v", "f", "_range", "_at", "rank"] and clash.where("rank = 1").count() == 3
+
+
+def test_order_violations_overall(spark):
+    rows = [(i, v) for i, v in enumerate([3, 1, None, 0, 5, 5, 4])]
+    df = spark.createDataFrame(rows, "i int, v int").repartition(4)
+    assert tuple(O.order_violations(df, "v", ["i"]).first()) == (7, 2)
+
+
+def test_order_sketches(spark):
+    df = spark.range(20_000).select(F.sha2(F.col("id").cast("string"), 256).alias("t")).repartition(5)
+    sketch = O.order_sketch(df, "t", k=256)
+    assert sketch.count() < 256 * 12
+    for cut in ("0", "3", "8", "fz"):
+        exact, got = df.where(F.col("t") <= cut).count(), O.sketch_rank(sketch, cut).first()
+        assert got["n"] == 20_000 and abs(got["rank"] - exact) < 800
+    both = O.merge_order_sketches([sketch, O.order_sketch(df.where("t < '8'"), "t", k=256)], k=256)
+    assert O.sketch_rank(both, "8").first()["n"] == 20_000 + df.where("t < '8'").count()
+    assert O.order_sketch(df.limit(0), "t").count() == 0 and O.sketch_quantiles(sketch.limit(0), [0.5]).first()["value"] is None
+    few = O.order_sketch(spark.createDataFrame([(b"b",), (b"a",), (None,)], "k binary"), "k").collect()
+    assert sorted((bytes(r["value"]), r["weight"]) for r in few) == [(b"a", 1), (b"b", 1)]
+
+
+def test_statistics_of_a_sort(spark):
+    df = spark.range(0, 1000, 1, 3).select((F.col("id") * 37 % 1000).alias("k"))
+    out, stats = P.sort_with_stats(df, SortSpec(["k"]), 4)
+    assert sum(stats.run_rows) == sum(stats.entries) == out.count() == 1000 and stats.runs == 3 == stats.write_tasks and stats.read_tasks == 4
+    assert stats.run_ms is not None and stats.merge_ms is not None and stats.shuffle_read_bytes == stats.shuffle_write_bytes > 0 and "generation" in str(stats)

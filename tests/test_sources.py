@@ -65,7 +65,7 @@ def test_parquet_types_ordinals_and_length(spark, tmp_path):
     pq.write_table(t, tmp_path / "t.parquet", compression="GZIP", row_group_size=1)
     path = str(tmp_path / "t.parquet")
     assert S.parquet_length(spark, path) == 3
-    assert S.read_parquet(spark, path, [3, "s", 0]).columns == ["b", "s"]
+    assert S.read_parquet(spark, path, [3, "s", 0]).columns == ["b", "s", "s_2"]
     with pytest.raises(IndexError):
         S.read_parquet(spark, path, [9])
     for c in t.column_names:
@@ -129,3 +129,16 @@ def test_in_memory(spark):
     assert S.from_rows(spark, [(b"a", b"1")], partitions=2).count() == 1
     with pytest.raises(ValueError):
         S.from_rows(spark, [], partitions=0)
+
+
+def test_csv_fields_of_any_length(spark, tmp_path):
+    plain, quotes, pieces = "x" * 1_000_000, '""' * 250_000, '"a,",b' * 200_000
+    (tmp_path / "long.csv").write_text(f'a,b\n{plain},1\n"{quotes}",2\n{pieces.replace(",b", "b")},3\n"open,4\n')
+    schema = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.IntegerType())])
+    got = {r["b"]: r["a"] for r in S.read_csv(spark, str(tmp_path / "long.csv"), schema).collect()}
+    assert got == {1: plain, 2: '"' * 250_000, 3: "a,b" * 200_000}  # an open quote takes the rest of its line, so that row lacks a column
+
+
+def test_records_of_a_wrong_size(spark, tmp_path):
+    with pytest.raises(Exception, match="a record has a key of 10"):
+        S.write_gensort(spark.createDataFrame([(b"k" * 10, b"v" * 90), (b"k" * 9, b"v" * 90)], "key binary, payload binary").coalesce(1), str(tmp_path / "r"))
