@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..scratch import staged
-from ..spec import directed, each
+from ..spec import directed, each, unused
 from .ranges import bucket_by
 
 #: Sampled keys for each range of range_bounds.
@@ -26,17 +26,6 @@ PREFIX = 64
 KINDS = ("rank", "row_number", "dense_rank", "cume_dist")
 
 
-def _unused(df: DataFrame, *names: str) -> list[str]:
-    """Column names that df doesn't have."""
-    low = {c.lower() for c in df.columns}
-    out = []
-    for n in names:
-        while n.lower() in low:
-            n += "_"
-        out.append(n)
-    return out
-
-
 def _cuts(df: DataFrame, keys: list[str], descending: list[bool], nulls_last: list[bool]) -> tuple[list[Column], list[bool], list[bool]]:
     """Columns whose order never contradicts that of the keys and whose size is bounded: of a text its prefix and whether there is more; keys
     after a text that was cut say nothing."""
@@ -62,9 +51,9 @@ def placed(df: DataFrame, keys: list[str], tie: list[str], descending: bool | Se
     or last place of equal keys; and the names of these columns. Ties are ordered by `tie`, ascending."""
     spark = df.sparkSession
     down, last = each(descending, len(keys)), each(nulls_last, len(keys))
-    part, at, side = names = _unused(df, "_range", "_at", "_edge")
+    part, at, side = names = unused(df, "_range", "_at", "_edge")
     cuts, cut_down, cut_last = _cuts(df, keys, down, last)
-    cut_names = _unused(df, *[f"_cut{i}" for i in range(len(cuts))])
+    cut_names = unused(df, *[f"_cut{i}" for i in range(len(cuts))])
     rows = df.withColumns(dict(zip(cut_names, cuts, strict=True)))
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartitionByRange(n, *directed(cut_names, cut_down, cut_last)).sortWithinPartitions(*directed(keys, down, last), *directed(tie))
@@ -105,8 +94,8 @@ def global_rank(df: DataFrame, keys: list[str], kind: str = "rank", name: str =
 
 def _joined(df: DataFrame, ranked: DataFrame, keys: list[str], place: str, name: str) -> DataFrame:
     """df with the place of its keys; the skew join splits hot keys."""
-    own = _unused(df, *[f"_k{i}" for i in range(len(keys))])
-    right = ranked.select(*[F.col(f"`{k}`").alias(o) for k, o in zip(keys, own, strict=True)], F.col(place).cast("long").alias(_unused(df, "_at")[0]))
+    own = unused(df, *[f"_k{i}" for i in range(len(keys))])
+    right = ranked.select(*[F.col(f"`{k}`").alias(o) for k, o in zip(keys, own, strict=True)], F.col(place).cast("long").alias(unused(df, "_at")[0]))
     same = None
     for k, o in zip(keys, own, strict=True):
         here = F.col(f"`{k}`").eqNullSafe(F.col(o))

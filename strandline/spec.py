@@ -26,6 +26,17 @@ def resolve(df: DataFrame, columns: list[int | str]) -> list[str]:
     return out
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many _ more as it takes to be none of df's columns."""
+    low = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in low:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def picked(df: DataFrame, names: list[str]) -> DataFrame:
     """The columns in the order asked for. One that is asked for again comes again, as name_2, name_3 and so on (with a further _ where
     the frame has that name itself)."""
