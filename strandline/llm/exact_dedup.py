@@ -11,31 +11,23 @@ marked kept. An empty table gives no rows and leaves the index as it is. Columns
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SPACE, fresh, parts, staged, text_or_empty
+from .shared import SPACE, fresh, staged, text_or_empty
+from .store import DigestStore
 
 
 def normalised(column: str = "text") -> Column:
     return F.translate(text_or_empty(column), SPACE, "")
 
 
-class DigestIndex:
-    """A digest table at `path`; opening the same path again, in any session, goes on with what it holds."""
+class DigestIndex(DigestStore):
+    """A digest table at `path`; opening the same path again, in any session and with any partition setting, goes on with what it holds. Another
+    number of buckets or another id type than it was made with is an error."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, id_type: str = "bigint"):
-        self.spark, self.path, self.buckets = spark, path, buckets or parts(spark)
-        self.name = f"digest_index_{uuid.uuid4().hex}"
-        spark.sql(
-            f"CREATE TABLE {self.name} (digest BINARY, keep_id {id_type}, n_chars BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'"
-        )
-
-    def table(self) -> DataFrame:
-        return self.spark.table(self.name)
+        super().__init__(spark, path, f"keep_id {id_type}, n_chars BIGINT", buckets)
 
     def deduplicate(self, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
         """One row per row of docs: id, keep_id, group_size (in this batch), kept, text_sha256. Appends the new digests.
@@ -56,13 +48,7 @@ class DigestIndex:
         groups = groups.select("digest", "group_size", F.col("best.id").alias("first_id"), (-F.col("best.order")).alias("first_chars"))
         known = self.table().select("digest", F.col("keep_id").alias("old_id"), F.lit(True).alias("old"))
         groups = staged(groups.hint("merge").join(known, "digest", "left"), "digest_groups")
-        new = groups.hint("merge").join(self.table(), "digest", "left_anti")
-        (
-            new.select("digest", F.col("first_id").alias("keep_id"), F.col("first_chars").alias("n_chars"))
-            .repartition(self.buckets, "digest")
-            .write.format("parquet").mode("append").bucketBy(self.buckets, "digest").sortBy("digest")
-            .option("path", self.path).saveAsTable(self.name)
-        )
+        self.append(self.lacking(groups).select("digest", F.col("first_id").alias("keep_id"), F.col("first_chars").alias("n_chars")))
         old = F.coalesce(F.col("old"), F.lit(False))
         return rows.join(groups, "digest").select(
             "doc_id",
@@ -75,7 +61,8 @@ class DigestIndex:
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of documents against a new index."""
-    return DigestIndex(spark, fresh(spark, "digest_index")).deduplicate(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    with DigestIndex(spark, fresh(spark, "digest_index")) as index:
+        return index.deduplicate(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 OP5_SQL = r"""

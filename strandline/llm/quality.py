@@ -18,9 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .features import NAMES, statistics
-from .shared import bounded_batches, fold, staged, text_or_empty
+from .shared import bounded_batches, fold, staged, text_or_empty, unused
 
 #: Random features; width of the kernel in standardised units; ridge penalty for each row (beside 1 in all); bins of the calibration.
 FEATURES, WIDTH, RIDGE, BINS = 256, 5.0, 1e-3, 4096
@@ -147,22 +148,39 @@ def scored(stats: DataFrame, model: Model) -> DataFrame:
     return stats.mapInArrow(run, f"doc_id {kind}, score double")
 
 
+def _labelled(stats: DataFrame, labels: DataFrame) -> DataFrame:
+    """x and y of the training rows: labels.quality outside fold 0."""
+    y = labels.where(F.col("quality").isNotNull() & (fold() != 0)).select("doc_id", F.col("quality").cast("double").alias("y"))
+    return staged(stats.join(y, "doc_id").select("x", "y"), "training")
+
+
 def train(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Model]:
     """Statistics of every row of docs, and a model of labels.quality of the rows outside fold 0."""
     stats = staged(measured(docs), "statistics")
-    y = labels.where(F.col("quality").isNotNull() & (fold() != 0)).select("doc_id", F.col("quality").cast("double").alias("y"))
-    return stats, fit(staged(stats.join(y, "doc_id").select("x", "y"), "training"))
+    return stats, fit(_labelled(stats, labels))
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """Rows of docs with a score of at least the threshold, all columns as they are. Texts are judged where they lie: no shuffle."""
-    model = train(docs, labels)[1]
+    """Rows of docs with a score of at least the threshold, all columns as they are. Each text is measured once, where it lies, and staged with its
+    row; the fit and the decision read the statistics alone."""
+    bounded_batches(docs.sparkSession)
+    x = unused(docs, "_statistics")[0]
+    schema = T.StructType([*docs.schema.fields, T.StructField(x, T.ArrayType(T.DoubleType()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(model.score(statistics(b.column("text"))) >= threshold) if b.num_rows else pa.array([], pa.bool_()))
+            got = statistics(b.column(b.schema.get_field_index("text")))
+            values = pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1, dtype=np.int32) * len(NAMES)), pa.array(got.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns, values], names=[*b.schema.names, x])
+
+    rows = staged(docs.mapInArrow(measure, schema), "measured")
+    model = fit(_labelled(rows.select("doc_id", F.col(x).alias("x")), labels))
+
+    @F.arrow_udf("boolean")
+    def good(column: pa.Array) -> pa.Array:
+        return pa.array(model.score(_matrix(column)) >= threshold) if len(column) else pa.array([], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.where(good(x)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

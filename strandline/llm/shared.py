@@ -1,51 +1,33 @@
-"""Places that the driver and all executors share, and the small helpers that every operator uses."""
+"""The small helpers that every operator uses, beside those for shared places and column names."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..scratch import discard, fresh, shared_root, staged
+from ..spec import unused
 
-def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir. Only where that is unset (tests, local runs) a folder of our own."""
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_strandline_root", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="strandline-")
-        sc._strandline_root = root
-    return root.rstrip("/")
+__all__ = ["SPACE", "bounded_batches", "discard", "fold", "fresh", "integer_ids", "parts", "ranges", "shared_root", "staged", "text_or_empty", "unused"]
 
 
-def fresh(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; each call gets another, so reruns and retries never meet."""
-    return f"{shared_root(spark)}/strandline/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: cuts lineage, and any executor may be lost after."""
-    spark = df.sparkSession
-    path = fresh(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def parts(spark: SparkSession) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def discard(spark: SparkSession, *staged_tables: DataFrame | None) -> None:
-    """Deletes the files of staged tables that no plan reads any more."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    root = f"{shared_root(spark)}/strandline/"
-    for df in staged_tables:
-        for f in {x.rpartition("/")[0] for x in df.inputFiles()} if df is not None else ():
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            if path.toUri().getPath().startswith(jvm.org.apache.hadoop.fs.Path(root).toUri().getPath()):
-                path.getFileSystem(conf).delete(path, True)
+def ranges(spark: SparkSession, entries: int, each: int) -> int:
+    """Hash ranges for so many entries, of which a task holds about `each`: they follow the input, and are as many as shuffle partitions at least."""
+    return max(parts(spark), -(-entries // each))
 
 
-def parts(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def integer_ids(df: DataFrame, column: str) -> None:
+    """Raises for ids that aren't whole numbers, which is what links and their least ids are made of."""
+    kind = df.schema[column].dataType
+    if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise TypeError(f"{column} is {kind.simpleString()}: ids are whole numbers here")
 
 
 def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:

@@ -1,8 +1,9 @@
 """Token counts through a digest cache.
 
-The cache is a Parquet table (content digest, tokenizer digest, n_tokens). Counts of a batch are found by joining the digests
-of its normalised contents to the cache; only distinct contents that it lacks are encoded, and their counts are appended.
-The tokenizer digest is that of the vocabulary file, so another version never meets the counts of this one.
+The cache is a Parquet table bucketed and sorted by digest: of the tokenizer's version and the normalised content together, so another version never
+meets the counts of this one. Digests of a batch are taken once and staged; only distinct ones that the cache lacks are encoded, and their counts are
+appended. A join reads the cache as it lies. Texts move only to be encoded: where few are missing their digests (FEW at most) travel to the texts, and
+else each task sends each of its distinct texts once.
 
 Within a task, encoding works word by word: for a tokenizer that drops white space, the count of a text is the sum of the counts
 of its words, and a bounded memo keeps the words already encoded. Other tokenizers encode whole texts.
@@ -21,10 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SPACE, bounded_batches, fresh, staged, text_or_empty
+from .shared import bounded_batches, discard, fresh, staged, text_or_empty
+from .store import DigestStore
 
 #: Words that a worker remembers at most.
 MEMO = 400_000
+#: Missing digests of 32 bytes that travel to the texts at most.
+FEW = 250_000
 
 
 def _drops_space(path: str) -> bool:
@@ -81,48 +85,63 @@ def counter(path: str, by_word: bool):
     return _open[path, by_word]
 
 
-class TokenCache:
+class TokenCache(DigestStore):
     """A cache of counts at `path`, for the tokenizer file `tokenizer` (present on every worker)."""
 
-    SCHEMA = "content binary, tokenizer string, n_tokens long"
-
-    def __init__(self, spark: SparkSession, path: str, tokenizer: str):
-        self.spark, self.path, self.tokenizer = spark, path, tokenizer
+    def __init__(self, spark: SparkSession, path: str, tokenizer: str, buckets: int | None = None):
+        super().__init__(spark, path, "tokenizer STRING, n_tokens BIGINT", buckets)
+        self.tokenizer = tokenizer
         with open(tokenizer, "rb") as f:
             self.version = hashlib.sha256(f.read()).hexdigest()
         self.by_word = _drops_space(tokenizer)
-        spark.createDataFrame([], self.SCHEMA).coalesce(1).write.mode("append").parquet(path)
 
-    def table(self) -> DataFrame:
-        stored = self.spark.read.schema(self.SCHEMA).parquet(self.path).where(F.col("tokenizer") == self.version)
-        return stored.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))  # two writers may have stored the same text
+    def digest(self):
+        """A function from UTF-8 bytes to the digest of version and normalised content."""
+        version, by_word = self.version.encode(), self.by_word
+        return lambda raw: hashlib.sha256(version + (b" ".join(raw.split()) if by_word else raw)).digest()
 
-    def count(self, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    def count(self, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", few: int = FEW) -> DataFrame:
         """id, n_bytes, n_tokens of every row."""
         bounded_batches(self.spark)
-        text = text_or_empty(text_column)
-        same = F.regexp_replace(F.translate(text, SPACE, " " * len(SPACE)), " {2,}", " ") if self.by_word else text
-        rows = docs.select(F.col(id_column).alias("doc_id"), text.alias("text"), F.unhex(F.sha2(same, 256)).alias("content"))
-        known = self.table().select("content")
-        misses = rows.select("content", "text").join(known, "content", "left_anti").dropDuplicates(["content"])
-        path, by_word, version = self.tokenizer, self.by_word, self.version
+        path, by_word, version, digest = self.tokenizer, self.by_word, self.version, self.digest()
+        texts = docs.select(F.col(id_column).alias("doc_id"), text_or_empty(text_column).alias("text"))
+        kind = dict(texts.dtypes)["doc_id"]
+
+        def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                raw = [t.as_buffer() for t in b.column("text").cast(pa.large_string())]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([t.size for t in raw], pa.int64()), pa.array([digest(t.to_pybytes()) for t in raw], pa.binary())], names=["doc_id", "n_bytes", "digest"])
+
+        def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[bytes] = set()
+            for b in batches:
+                own = [digest(t.as_buffer().to_pybytes()) for t in b.column("text").cast(pa.large_string())]
+                new = [i for i, d in enumerate(own) if not (d in seen or seen.add(d))]
+                yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in new], pa.binary()), b.column("text").take(pa.array(new, pa.int64()))], names=["digest", "text"])
 
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             count = counter(path, by_word)
             for b in batches:
                 n = [count(t.as_buffer().to_pybytes()) for t in b.column("text").cast(pa.large_string())]
-                yield pa.RecordBatch.from_arrays([b.column("content"), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], names=["content", "tokenizer", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], names=["digest", "tokenizer", "n_tokens"])
 
-        misses.mapInArrow(encode, self.SCHEMA).write.mode("append").parquet(self.path)
-        keys = docs.select(F.col(id_column).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(same, 256)).alias("content"))
-        counts = staged(self.table(), "token_counts")  # as a plain scan, so that a text with very many copies is split by the skew join
-        return keys.join(counts, "content").select("doc_id", "n_bytes", "n_tokens")
+        rows = staged(texts.mapInArrow(digests, f"doc_id {kind}, n_bytes long, digest binary"), "digests")
+        missing = staged(self.lacking(rows.select("digest").distinct()), "missing")
+        n = missing.count()
+        if n:
+            own = texts.select("text").mapInArrow(distinct, "digest binary, text string")
+            own = own.join(F.broadcast(missing), "digest", "left_semi").dropDuplicates(["digest"]) if n <= few else own.dropDuplicates(["digest"]).hint("merge").join(missing, "digest", "left_semi")
+            self.append(staged(own.mapInArrow(encode, "digest binary, tokenizer string, n_tokens long"), "encoded"))
+        discard(self.spark, missing)
+        known = self.table().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # two writers may have stored the same text
+        known = staged(known.join(rows.select("digest").distinct(), "digest", "left_semi"), "token_counts")  # as a plain scan, so that a text with very many copies is split by the skew join
+        return rows.join(known, "digest").select("doc_id", "n_bytes", "n_tokens")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of all documents for word_bpe_49k.json, through a cache that starts empty; over_limit: more than 2048 tokens."""
     import public_tokenizers
 
-    cache = TokenCache(spark, fresh(spark, "token_cache"), public_tokenizers.path("word_bpe_49k.json"))
-    counts = cache.count(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    with TokenCache(spark, fresh(spark, "token_cache"), public_tokenizers.path("word_bpe_49k.json")) as cache:
+        counts = cache.count(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
