@@ -9,6 +9,7 @@ from __future__ import annotations
 import mmap
 import os
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -96,23 +97,29 @@ def put(uri: str, *arrays: np.ndarray) -> None:
     where.move(part, path)
 
 
-_held: dict[str, memoryview] = {}
+#: Files that a worker keeps mapped at most.
+HELD = 512
+_held: OrderedDict[str, memoryview] = OrderedDict()
 
 
 def mapped(uri: str) -> memoryview:
-    """The file's bytes, memory-mapped and kept for the life of the worker. From a store that can't be mapped it is fetched first to a
-    local file that has no name any more."""
-    if uri not in _held:
-        where, path = fs.FileSystem.from_uri(uri)
-        if isinstance(where, fs.LocalFileSystem):
-            with open(path, "rb") as f:
-                _held[uri] = memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False))
-        else:
-            import shutil
-            import tempfile
-
-            with where.open_input_stream(path) as src, tempfile.TemporaryFile() as f:
-                shutil.copyfileobj(src, f, 1 << 22)
-                f.flush()
-                _held[uri] = memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False))
+    """The file's bytes, memory-mapped; a worker keeps the HELD files that it used last. From a store that can't be mapped a file is fetched first,
+    when it is needed, to a local one that has no name any more."""
+    if uri in _held:
+        _held.move_to_end(uri)
+        return _held[uri]
+    while len(_held) >= HELD:
+        _held.popitem(last=False)
+    where, path = fs.FileSystem.from_uri(uri)
+    if isinstance(where, fs.LocalFileSystem):
+        with open(path, "rb") as f:
+            _held[uri] = memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False))
+    else:
+        import shutil
+        import tempfile
+
+        with where.open_input_stream(path) as src, tempfile.TemporaryFile() as f:
+            shutil.copyfileobj(src, f, 1 << 22)
+            f.flush()
+            _held[uri] = memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False))
     return _held[uri]

@@ -11,9 +11,15 @@ of small buckets are compared, by a bit of each signature value and by parity sk
 round while that brings links, which only makes components fewer: at last they are split into blocks, and every block meets every other, so that all
 their pairs across components are compared as well. Within a task a bucket is reduced to its leader and a few members before the shuffle.
 
-Defined cases: null and empty texts (and white space alone) have the empty set, n_shingles 0, and link with nothing. Texts of fewer than k words
-have one shingle, their whole sequence. Rows that share a doc_id are one document for linking. Repeated rows give repeated rows with
-the same component. Very long texts are read whole. An empty table gives no rows. Other columns are ignored.
+A pair at the threshold is lost where it shares no band (6e-5), where one of its 12 batches of signature values rules it out (1e-5 each at most, counted
+with a uniform prior), and, if no link of the first rounds has joined it, where the bits of its signatures do (1e-5): 2e-4 in all at most, and
+far less for pairs beyond the threshold. Parity sketches never rule out a link.
+
+Defined cases: null and empty texts (and white space alone) have the empty set, n_shingles 0, and link with nothing; their component_id is their own
+doc_id. Texts of fewer than k words have one shingle, their whole sequence. Rows that share a doc_id are one document: whatever their texts link
+with is one component. Rows without a doc_id are told apart by their texts and link like others; where no row of a component has one, component_id is
+null and all of its rows are kept. Repeated rows give repeated rows with the same component. ids that aren't whole numbers are an error. Very long texts are
+read whole. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +37,7 @@ from . import blobs as B
 from . import kernel as K
 from .components import components
 from .parity import LongParities
-from .shared import bounded_batches, discard, fresh, parts, staged, text_or_empty
+from .shared import bounded_batches, discard, fresh, integer_ids, parts, ranges, staged, text_or_empty
 
 _U = np.uint64
 #: Bands and rows of each: a pair at 0.75 shares a band with probability 0.99994, one at 0.2 with 0.01.
@@ -42,8 +48,8 @@ SIMILAR, SHINGLE, MISS, BATCH = 75, 5, 1e-5, 16
 SMALL = 4096
 #: Round at the latest in which large buckets are compared in full; before it they take leaders as long as one brings a link.
 ROUNDS = 12
-#: Members of a block of a large bucket, about, and of a tile of two blocks.
-BLOCK, TILE = 4096, 512
+#: Members of a block of a large bucket, about, and of a tile of two blocks; entries of all bands that a range of buckets holds, about.
+BLOCK, TILE, ENTRIES = 4096, 512, 4_000_000
 
 
 def _multipliers(n: int, seed: int = 71) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +69,7 @@ def signature(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, n_shingles, d1 and d2 (digest of the set) and signature of every row."""
+    """doc_id, digest of the text, n_shingles, d1 and d2 (digest of the set) and signature of every row."""
     bounded_batches(docs.sparkSession)
     a, b = _multipliers(bands * rows)
 
@@ -78,10 +84,11 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = SHING
                 d2.append((c2[at[1:]] - c2[at[:-1]]).view(np.int64))
                 sig += [signature(h[x:y], a, b).tobytes() if y > x else b"" for x, y in zip(at[:-1], at[1:], strict=True)]
             cat = lambda x: pa.array(np.concatenate([np.zeros(0, np.int64), *x]), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), cat(n), cat(d1), cat(d2), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "d1", "d2", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), cat(n), cat(d1), cat(d2), pa.array(sig, pa.binary())], names=["doc_id", "digest", "n_shingles", "d1", "d2", "sig"])
 
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_or_empty(text_column).alias("text"))
-    return texts.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sig binary")
+    integer_ids(docs, id_column)
+    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text_or_empty(text_column)).alias("digest"), text_or_empty(text_column).alias("text"))
+    return texts.mapInArrow(run, "doc_id long, digest long, n_shingles long, d1 long, d2 long, sig binary")
 
 
 def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -189,25 +196,31 @@ class _Bucket:
         return np.concatenate(a), np.concatenate(b)
 
 
-def candidates(classes: DataFrame, round_: int, bands: int = BANDS, rows: int = ROWS, small: int = SMALL, sketches=None, words: int = -(-BANDS * ROWS // 64), refine=None, only: np.ndarray | None = None) -> DataFrame:
+def candidates(classes: DataFrame, round_: int, bands: int = BANDS, rows: int = ROWS, small: int = SMALL, sketches=None, words: int = -(-BANDS * ROWS // 64), refine=None, only: np.ndarray | None = None, read=None, n: int | None = None) -> DataFrame:
     """classes: id, label, sig, and what `sketches` reads. Pairs (a, b) of different labels that share a band and go on in this round.
 
     Round 0 gives each class that shares a band one pair only, that with the least id; what that leaves open is for the later rounds, among
     the classes that share a band with another at all. sketches(batch) gives `words` 64-bit words and an allowance for each row; refine(a, b) tells which pairs of ids may still be links.
+    read(batches) may take the place of the columns: it gives ids, labels, signatures, sketches and allowances. n: ranges of the buckets.
     Round 2 gives as `large`, without a pair, the key of each bucket of several labels that is too large for it; the rounds after it take these keys (sorted) as `only`."""
-    n = parts(classes.sparkSession)
+    n = n or parts(classes.sparkSession)
     bucket = _Bucket(round_, small, refine)
     sketches = sketches or (lambda b: bit_sketches(b, bands * rows))
+    none = (np.zeros((0, words), _U), np.zeros(0, np.int64))
+
+    def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        for b in batches:
+            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(b.num_rows, bands * rows)
+            yield b.column("id").to_numpy(), b.column("label").to_numpy(), sig, *(sketches(b) if round_ else none)
 
     def edges(x: np.ndarray, y: np.ndarray) -> bytes:
         order = np.argsort(x)
         return b"e" + B.pack(x[order].view(_U), y[order].view(_U))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, bands), _U), np.zeros((0, words), _U), np.zeros(0, np.int64))]
-        for b in batches:
-            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(b.num_rows, bands * rows)
-            got.append((b.column("id").to_numpy(), b.column("label").to_numpy(), band_keys(sig, bands, rows), *(sketches(b) if round_ else got[0][3:])))
+        got = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, bands), _U), *none)]
+        for ids, labels, sig, *rest in (read or columns)(batches):
+            got.append((ids, labels, band_keys(sig, bands, rows), *rest))
         ids, labels, keys, bits, allow = (np.concatenate(x) for x in zip(*got, strict=True))
         key, at = keys.ravel(), np.repeat(np.arange(len(ids)), bands)  # all bands at once: their hashes differ
         del keys, got
@@ -303,12 +316,12 @@ def large_keys(found: DataFrame) -> np.ndarray:
     return np.sort(got.astype(np.int64).view(_U))
 
 
-def across(classes: DataFrame, keys: np.ndarray, bands: int = BANDS, rows: int = ROWS, block: int | None = None, sketches=None, words: int = -(-BANDS * ROWS // 64), refine=None) -> DataFrame:
+def across(classes: DataFrame, keys: np.ndarray, bands: int = BANDS, rows: int = ROWS, block: int | None = None, sketches=None, words: int = -(-BANDS * ROWS // 64), refine=None, n: int | None = None) -> DataFrame:
     """All pairs (a, b) of different labels that share one of the buckets in keys (sorted) and that neither sketches nor refine rule out.
 
     A bucket's members are dealt into blocks of about `block`, which lie in files that workers map, and each two blocks of a bucket meet in a
     row of their own: no task holds more than two blocks, and members move once, however large a bucket is."""
-    spark, n = classes.sparkSession, parts(classes.sparkSession)
+    spark, n = classes.sparkSession, n or parts(classes.sparkSession)
     block, root = block or BLOCK, fresh(spark, "blocks")
     sketches = sketches or (lambda b: bit_sketches(b, bands * rows))
 
@@ -462,53 +475,85 @@ def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
 
 def near_duplicates(docs: DataFrame, similar: int = SIMILAR, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs."""
+    spark, on = docs.sparkSession, ["n_shingles", "d1", "d2"]
     rows = staged(signed(docs, id_column=id_column, text_column=text_column), "signatures")
     full = rows.where("n_shingles > 0")
-    groups = staged(full.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("id")), "classes")
-    on = ["n_shingles", "d1", "d2"]
-    one = full.withColumnRenamed("doc_id", "id").join(groups, [*on, "id"]).dropDuplicates([*on, "id"])
-    classes = staged(one.select("id", "n_shingles", "sig"), "class_signatures")
-    pool = links = labels = refine = large = None
+    groups, shared, repeated = _classes(full, on)
+    chosen = groups.select(*on, "id", F.col("first").alias("_first"))
+    one = full.join(chosen, on).where(F.col("doc_id").eqNullSafe(F.col("_first"))).dropDuplicates(["id"])
+    classes = staged(one.select("id", "doc_id", "digest", "n_shingles", "sig"), "class_signatures")
+    n = ranges(spark, BANDS * classes.count(), ENTRIES)
+    pool = refine = large = None
+    links = shared
     found, last, sketches = 0, False, lambda b: bit_sketches(b, BANDS * ROWS, similar / 100)
+    labels = None
     for round_ in count():
         if round_:
             labelled = pool.join(labels, "id", "left").select("id", "sig", F.coalesce("component", "id").alias("label"))
         else:
             labelled = classes.withColumn("label", F.col("id"))
         if round_ == 2:
-            refine = LongParities(pool, lambda texts: list(_sets(texts, SHINGLE)), similar).refine
+            refine = LongParities(pool, lambda texts: list(_sets(texts, SHINGLE)), similar, pool.count()).refine
         last = round_ > 2 and (not found or round_ >= ROUNDS)
         if last:
-            pairs = staged(across(labelled, large, sketches=sketches, refine=refine), "candidates")
+            pairs = staged(across(labelled, large, sketches=sketches, refine=refine, n=n), "candidates")
         else:
-            pairs = staged(candidates(labelled, round_, sketches=sketches, refine=refine, only=large), "candidates")
+            pairs = staged(candidates(labelled, round_, sketches=sketches, refine=refine, only=large, n=n), "candidates")
         if round_ == 2:
             large = large_keys(pairs)
             last = not len(large)
         if pool is None:  # only classes that share a band with another go on
             ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-            whole = docs.select(F.col(id_column).cast("long").alias("id"), text_or_empty(text_column).alias("text"))
-            pool = staged(whole.join(classes.join(ids, "id").select("id", "sig"), "id"), "candidate_texts")
-            discard(docs.sparkSession, classes)
+            whole = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text_or_empty(text_column)).alias("digest"), text_or_empty(text_column).alias("text"))
+            wanted = classes.join(ids, "id").select("id", F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), "sig")
+            pool = whole.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("digest") == F.col("_digest"))).select("id", "text", "sig")
+            pool = staged(pool.dropDuplicates(["id"]) if repeated else pool, "candidate_texts")
+            discard(spark, classes)
         found = 0
         if round_ < 2 or not pairs.where("a is not null").isEmpty():
             alive = staged(survivors(pairs, pool, similar / 100), "survivors")
             new = staged(verified(alive, pool, similar).distinct(), "links")
             found = new.count()
             links = new if links is None else links.union(new)
-            discard(docs.sparkSession, alive)
-        discard(docs.sparkSession, pairs)
+            discard(spark, alive)
+        discard(spark, pairs)
         if found or labels is None:
             labels = components(links)
         if last:
             break
-    discard(docs.sparkSession, pool)
-    named = groups.join(labels, "id", "left").select(*on, F.coalesce("component", "id").alias("component_id"))
-    out = rows.drop("sig").join(staged(named, "class_components"), on, "left")
-    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    discard(spark, pool)
+    named = groups.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    if shared is None:  # a class is named by its least id
+        named = named.select(*on, F.col("component").alias("component_id"))
+    else:
+        least = staged(named.groupBy("component").agg(F.min("first").alias("component_id")), "component_ids")
+        named = named.join(least, "component").select(*on, "component_id")
+    out = rows.drop("sig", "digest").join(staged(named, "class_components"), on, "left")
+    out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _classes(full: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame | None, bool]:
+    """Classes of equal sets with their least doc_id (`first`) and a number (`id`); links between classes that have a doc_id in common, None where a doc_id
+    names each class; and whether any doc_id comes twice.
+
+    A class is numbered by its least doc_id, unless rows of that have other texts as well or there is none: then by a hash of its set."""
+    groups = full.groupBy(*on).agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("nameless"))
+    key = F.struct(*on)
+    per_id = full.where("doc_id is not null").groupBy("doc_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count("*").alias("n"))
+    per_id = staged(per_id.where("n > 1").select("doc_id", (F.col("lo") != F.col("hi")).alias("several")), "repeated_ids")
+    groups = staged(groups, "classes")
+    repeated = not per_id.isEmpty() or not groups.where("nameless").isEmpty()
+    several = per_id.where("several").select("doc_id")
+    if not repeated or (several.isEmpty() and groups.where("first is null").isEmpty()):
+        return groups.withColumn("id", F.col("first")), None, repeated
+    marked = groups.join(several.select(F.col("doc_id").alias("first"), F.lit(True).alias("_several")), "first", "left")
+    groups = staged(marked.select(*on, "first", F.when(F.col("first").isNull() | F.col("_several"), F.xxhash64(*on)).otherwise(F.col("first")).alias("id")), "numbered_classes")
+    of = staged(full.join(several, "doc_id").join(groups.select(*on, "id"), on).select("doc_id", "id").distinct(), "ids_of_several")
+    shared = of.join(of.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").select("a", F.col("id").alias("b")).where("a <> b")
+    return groups, staged(shared, "links"), repeated
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of documents, 5-word shingles, similarity 75 % and more."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

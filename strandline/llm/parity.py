@@ -16,11 +16,23 @@ from pyspark.sql import functions as F
 
 from . import blobs as B
 from . import kernel as K
-from .shared import fresh, parts
+from .shared import fresh, ranges
 
 _U = np.uint64
-#: Bits of a long sketch.
-LONG = 2048
+#: Bits of a long sketch, and sketches of a file, about.
+LONG, FILE = 2048, 100_000
+
+
+def spark_hash(x: np.ndarray) -> np.ndarray:
+    """What Spark's xxhash64 gives for longs. The five primes of that hash and Spark's seed."""
+    p1, p2, p3, p4, p5 = map(_U, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turned = lambda v, k: (v << _U(k)) | (v >> _U(64 - k))
+    with np.errstate(over="ignore"):
+        h = (_U(42) + p5 + _U(8)) ^ (turned(x.view(_U) * p2, 31) * p1)
+        h = turned(h, 27) * p1 + p4
+        h = (h ^ (h >> _U(33))) * p2
+        h = (h ^ (h >> _U(29))) * p3
+        return h ^ (h >> _U(32))
 
 
 def parities(sets: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -38,51 +50,43 @@ def allowance(n: np.ndarray, similar: int) -> np.ndarray:
 
 
 class LongParities:
-    """Long parities of all rows of a table of id and text, in files by range of the ids' hashes; looked up by binary search in the mapped files.
-    sets(texts) gives the set of each text."""
+    """Long parities of all rows of a table of id and text, in files by hash of the ids, as many as `entries` rows need; looked up by binary search in the
+    mapped files. sets(texts) gives the set of each text."""
 
-    def __init__(self, rows: DataFrame, sets: Callable[[pa.Array], list[np.ndarray]], similar: int):
+    def __init__(self, rows: DataFrame, sets: Callable[[pa.Array], list[np.ndarray]], similar: int, entries: int = 0):
         spark = rows.sparkSession
-        self.root, self.similar, n = fresh(spark, "parities"), similar, parts(spark)
-        root = self.root
+        self.root, self.similar, self.n = fresh(spark, "parities"), similar, ranges(spark, entries, FILE)
+        root, n = self.root, self.n
 
         def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, bits, sizes = [], [], []
             for b in batches:
-                ids.append(K.mix(b.column("id").to_numpy().view(_U)))
+                ids.append(spark_hash(b.column("id").to_numpy()))
                 p, k = parities(sets(b.column("text")), LONG)
                 bits.append(p)
                 sizes.append(k)
-            if ids:
+            if ids and sum(map(len, ids)):
                 ids = np.concatenate(ids)
                 order = np.argsort(ids)
-                bucket, size = int(B.bucket_of(ids[:1], n)[0]), np.concatenate(sizes)[order]
+                size = np.concatenate(sizes)[order]
                 twice = ids[order][1:] == ids[order][:-1]
                 size[:-1][twice] = size[1:][twice] = 1 << 40  # an id with two texts: its sketch rules nothing out
-                B.put(f"{root}/{bucket}", ids[order], size, np.concatenate(bits)[order])
-                yield pa.RecordBatch.from_pylist([{"bucket": bucket, "n": len(ids)}], pa.schema([("bucket", pa.int64()), ("n", pa.int64())]))
-
-        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                bucket = B.bucket_of(K.mix(b.column("id").to_numpy().view(_U)), n)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), b.column("id"), b.column("text")], names=["bucket", "id", "text"])
+                B.put(f"{root}/{int(ids[0].view(np.int64) % n)}", np.array([len(ids)]), ids[order], size, np.concatenate(bits)[order])
+                yield pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int64())], names=["n"])
 
-        kinds = dict(rows.dtypes)
-        placed = rows.select("id", "text").mapInArrow(place, f"bucket int, id {kinds['id']}, text {kinds['text']}")
-        self.sizes = [0] * n
-        for r in placed.repartitionById(n, F.col("bucket")).mapInArrow(write, "bucket long, n long").collect():
-            self.sizes[r["bucket"]] = r["n"]
+        bucket = F.pmod(F.xxhash64(F.col("id").cast("long")), F.lit(n).cast("long")).cast("int")
+        rows.select("id", "text").repartitionById(n, bucket).mapInArrow(write, "n long").agg(F.sum("n")).first()
 
     def rows(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Parity words and sizes of ids."""
-        ids, back = np.unique(K.mix(ids.view(_U)), return_inverse=True)
+        ids, back = np.unique(spark_hash(ids), return_inverse=True)
         bits, size = np.zeros((len(ids), LONG // 64), _U), np.zeros(len(ids), np.int64)
-        bounds = np.searchsorted(B.bucket_of(ids, len(self.sizes)), np.arange(len(self.sizes) + 1))
-        for k in np.flatnonzero(np.diff(bounds)).tolist():
-            n, raw, part = self.sizes[k], B.mapped(f"{self.root}/{k}"), slice(bounds[k], bounds[k + 1])
-            at = np.searchsorted(np.frombuffer(raw, _U, n), ids[part])
-            size[part] = np.frombuffer(raw, np.int64, n, 8 * n)[at]
-            bits[part] = np.frombuffer(raw, _U, n * LONG // 64, 16 * n).reshape(n, -1)[at]
+        for k, part in B.dealt((ids.view(np.int64) % self.n).astype(np.int64), self.n):
+            raw = B.mapped(f"{self.root}/{k}")
+            n = int(np.frombuffer(raw, np.int64, 1)[0])
+            at = np.searchsorted(np.frombuffer(raw, _U, n, 8), ids[part])
+            size[part] = np.frombuffer(raw, np.int64, n, 8 + 8 * n)[at]
+            bits[part] = np.frombuffer(raw, _U, n * LONG // 64, 8 + 16 * n).reshape(n, -1)[at]
         return bits[back], size[back]
 
     def refine(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
