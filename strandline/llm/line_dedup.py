@@ -1,17 +1,20 @@
 """Fuzzy line dedup: one line stays of each group of lines that are equal or nearly so, over all documents.
 
-Lines are compared with A-Z folded and white space runs as one space; lines shorter than SHORT bytes then are no evidence of copying and
-always stay. Each distinct line gets a one-permutation MinHash signature of its character shingles (8 bytes), densified for short
-lines; bands of the signatures make candidates, candidates are verified by the exact Jaccard similarity of their shingle sets, and the
-verified links are joined by a distributed union-find. Of each component the first occurrence stays, by (doc_id, line number).
+Lines are compared with A-Z folded and white space runs as one space; a line without anything else is no line here and always stays. Each distinct line
+gets a one-permutation MinHash signature of its shingles (8 characters; a shorter line is one shingle), densified where lines are short;
+bands of the signatures make candidates, candidates are verified by the exact Jaccard similarity of their shingle sets, and the verified
+links are joined by a distributed union-find. Of each component the first occurrence stays, by (doc_id, line number).
 
 Within a task equal lines count once and a band's bucket is reduced to a leader before the shuffle, so a line that a third of the documents
-hold costs one entry per task. After the first round over all lines, only lines that shared a band with another go on: buckets that
-still hold several components are compared in full: small ones at once, large ones block by block after rounds of leaders, as in near_dedup.
+hold costs one entry per task; its places move with the task that found them, never to the task of its hash. After the first round over all lines, only lines
+that shared a band with another go on: buckets that still hold several components are compared in full: small ones at once, large ones
+block by block after rounds of leaders, as in near_dedup. Lines are known by 64-bit hashes: among n distinct lines some n * n / 2**65 pairs would be
+taken for equal.
 
 Defined cases: null texts stay null, empty ones empty; blank lines stay. Documents whose rows are repeated word for word keep the same
-lines in each row. A null doc_id comes last in order. A document may lose all its lines: its text is then empty. Very long texts are read
-whole. An empty table gives no rows. All other columns pass through as they are.
+lines in each row. A null doc_id comes last in order; ids that aren't whole numbers are an error. A document may lose all its lines: its text is
+then empty. Very long texts are read whole. An empty table gives no rows. Columns n_lines and n_dropped are the operator's own and replace ones of
+these names; all other columns pass through as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,27 +26,30 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import blobs as B
 from . import kernel as K
 from . import near_dedup as N
 from .components import components
 from .parity import LongParities, allowance, parities
-from .shared import bounded_batches, discard, parts, staged
+from .shared import bounded_batches, discard, integer_ids, parts, ranges, staged, unused
 
 _U = np.uint64
-#: Shingle bytes; least bytes of a line; percent of similarity; bands and rows: a pair at 75 % shares a band with probability 0.9995.
-SHINGLE, SHORT, SIMILAR, BANDS, ROWS = 8, 20, 75, 20, 4
+#: Shingle characters; percent of similarity; bands and rows: a pair at 75 % shares a band with probability 0.9995.
+SHINGLE, SIMILAR, BANDS, ROWS = 8, 75, 20, 4
 BINS = BANDS * ROWS
 #: Bits of the parity sketch that travels with a candidate line; a longer one lies in a file that workers map.
 PARITY = 256
-#: Bits of the filter of candidate lines: its size is fixed, and a full filter only passes more.
-FILTER_BITS = 25
+#: Bits of the filter of candidate lines, as a power of two: they follow the candidates up to 32 MB, and a full filter only passes more.
+FILTER_BITS = 20, 28
+#: Bytes of a line, about, for the number of ranges; lines that a range holds, about.
+LINE, ENTRIES = 200, 2_000_000
 _EMPTY = np.uint32(0xFFFFFFFF)
 
 
-def normal_lines(data: np.ndarray, offs: np.ndarray, short: int = SHORT) -> tuple[np.ndarray, ...]:
-    """Normalised bytes; starts, ends, text index, number among the text's lines and hash of the lines long enough."""
+def normal_lines(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Normalised bytes; starts, ends, text index, number among the text's lines and hash of the lines that have a word."""
     none = np.zeros(0, np.int64)
     text, keep = K.lowered(data), K.not_space(data)
     starts, ends, owner = K.runs(keep, offs)
@@ -62,15 +68,46 @@ def normal_lines(data: np.ndarray, offs: np.ndarray, short: int = SHORT) -> tupl
     nth = np.arange(len(starts)) - np.repeat(at, np.diff(np.append(at, len(starts))))
     h = np.add.reduceat(K.mix(K.hashes(text, starts, ends) + nth.astype(_U) * K._STEP), at)
     ls, last = begin[at], np.append(at[1:], len(starts)) - 1
-    le = begin[last] + size[last]
-    good = le - ls >= short
     number = line[at] - np.searchsorted(breaks, offs[owner[at]])
-    return text[keep], ls[good], le[good], owner[at][good], number[good], K.mix(h[good]).view(np.int64)
-
-
-def _windows(text: np.ndarray) -> np.ndarray:
-    """The 8 bytes from each position on, as one number."""
-    return np.ndarray((len(text) + 1,), "<u8", np.concatenate([text, np.zeros(16, np.uint8)]).tobytes(), strides=(1,))
+    return text[keep], ls, begin[last] + size[last], owner[at], number, K.mix(h).view(np.int64)
+
+
+def _shingles(text: np.ndarray, ls: np.ndarray, le: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """For lines in order: a number for the 8 characters from each byte on, from the first line's begin to the last one's end; how many bytes from each
+    line's begin on may begin a shingle; and which bytes go on a character instead of beginning one (None: none does).
+
+    The number is the 8 bytes themselves where each character has one, and a hash of all their bytes else."""
+    t = text[ls[0] : le[-1]]
+    ls, le, n = ls - ls[0], le - ls[0], len(t)
+    wide = np.ndarray((n + 25,), "<u8", np.concatenate([t, np.zeros(32, np.uint8)]).tobytes(), strides=(1,))
+    got = wide[:n].astype(_U)
+    inner = (t & np.uint8(0xC0)) == 0x80
+    if not inner.any():
+        inner, size = None, np.maximum(le - ls - SHINGLE + 1, 1)
+        odd = ls[le - ls < SHINGLE]
+        end = le[le - ls < SHINGLE]
+    else:
+        before = np.concatenate([np.zeros(1, np.int64), np.cumsum(inner)])
+        begins = np.flatnonzero(~inner)
+        chars = le - ls - before[le] + before[ls]
+        size = begins[np.minimum(ls - before[ls] + np.maximum(chars - SHINGLE, 0), len(begins) - 1)] - ls + 1
+        near = before[np.minimum(np.arange(n) + SHINGLE, n)] > before[:n]
+        near |= np.arange(n) > n - SHINGLE  # at the very end
+        short = ls[chars < SHINGLE]
+        near[short] = True
+        odd = np.flatnonzero(near & ~inner)
+        owner = np.searchsorted(ls, odd, "right") - 1
+        odd, owner = odd[odd < ls[owner] + size[owner]], owner[odd < ls[owner] + size[owner]]
+        nth = odd - before[odd] + SHINGLE
+        end = np.minimum(np.append(begins, n)[np.minimum(nth, len(begins))], le[owner])
+    if len(odd):
+        left = end - odd
+        x = got[odd] & K._KEEP[np.minimum(left, 8)]
+        for step in (8, 16, 24):
+            more = np.flatnonzero(left > step)
+            x[more] = K.mix(x[more]) ^ (wide[odd[more] + step] & K._KEEP[np.minimum(left[more] - step, 8)])
+        got[odd] = x
+    return got, size, inner
 
 
 def _donors(seed: int = 29) -> np.ndarray:
@@ -84,16 +121,19 @@ def signatures(text: np.ndarray, ls: np.ndarray, le: np.ndarray) -> np.ndarray:
     n = len(ls)
     if not n:
         return np.zeros((0, BINS), np.uint32)
-    h = _windows(text)[ls[0] : le[-1]] * _U(0xD6E8FEB86659FD93)
+    h, many, inner = _shingles(text, ls, le)
+    h *= _U(0xD6E8FEB86659FD93)
     h ^= h >> _U(32)
     h *= _U(0x9E3779B97F4A7C15)
-    # each position's row; those too near a line's end, and between lines, go to a row beyond the last
+    # each position's row; those too near a line's end, between lines and within a character go to a row beyond the last
     size = np.empty((n, 2), np.int64)
-    size[:, 0] = np.maximum(le - ls - SHINGLE + 1, 1)
-    size[:, 1] = np.append(ls[1:], le[-1]) - ls - size[:, 0]
+    size[:, 0] = many
+    size[:, 1] = np.append(ls[1:], le[-1]) - ls - many
     row = np.full((n, 2), n, np.int64)
     row[:, 0] = np.arange(n)
     where = np.repeat(row.ravel() * BINS, size.ravel())
+    if inner is not None:
+        where[inner] = n * BINS
     where += (((h >> _U(32)) * _U(BINS)) >> _U(32)).view(np.int64)
     out = np.full((n + 1) * BINS, _EMPTY, np.uint32)
     np.minimum.at(out, where, h.astype(np.uint32) & np.uint32(0xFFFFFFFE))
@@ -128,66 +168,68 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, n
             yield text, ls[at], le[at], h[at]
 
 
-def signed_lines(docs: DataFrame) -> DataFrame:
-    """id (hash), label and signature of each task's distinct lines."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for text, ls, le, h in _distinct(batches):
-            for i in range(0, len(h), 8192):
-                s = signatures(text, ls[i : i + 8192], le[i : i + 8192])
-                sig = pa.Array.from_buffers(pa.binary(4 * BINS), len(s), [None, pa.py_buffer(s.tobytes())]).cast(pa.binary())
-                ids = pa.array(h[i : i + 8192])
-                yield pa.RecordBatch.from_arrays([ids, ids, sig], names=["id", "label", "sig"])
-
-    return docs.select("text").mapInArrow(run, "id long, label long, sig binary")
+def signed_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Hash (as id and as label) and signature of each task's distinct lines, as near_dedup.candidates reads them; sketches come later."""
+    none = (np.zeros((0, PARITY // 64), _U), np.zeros(0, np.int64))
+    for text, ls, le, h in _distinct(batches):
+        for i in range(0, len(h), 8192):
+            part = slice(i, i + 8192)
+            yield h[part], h[part], signatures(text, ls[part], le[part]), *none
 
 
-def _filter(ids: DataFrame) -> np.ndarray:
-    """A bit for each possible top of a hash, set where ids has one: 4 MB, whatever the input."""
+def _filter(ids: DataFrame, power: int) -> np.ndarray:
+    """2 ** power bits, one for each possible top of a hash, set where ids has one."""
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = np.zeros(1 << FILTER_BITS, bool)
+        got = np.zeros(1 << power, bool)
         for b in batches:
-            got[(b.column("id").to_numpy().view(_U) >> _U(64 - FILTER_BITS)).astype(np.int64)] = True
+            got[(b.column("id").to_numpy().view(_U) >> _U(64 - power)).astype(np.int64)] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(got).tobytes()], pa.binary())], names=["bits"])
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+        got = np.zeros(1 << (power - 3), np.uint8)
         for b in batches:
             for x in b.column("bits"):
                 got |= np.frombuffer(x.as_buffer(), np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([got.tobytes()], pa.binary())], names=["bits"])
 
-    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    out = np.zeros(1 << (power - 3), np.uint8)
     for r in ids.mapInArrow(bits, "bits binary").repartition(4).mapInArrow(both, "bits binary").collect():
         out |= np.frombuffer(r["bits"], np.uint8)
     return out
 
 
-#: A row of what the second pass finds: an occurrence (line is set) or a line's text.
-FOUND = "id long, digest long, line long, hash long, text binary"
-_NO_ID = np.int64((1 << 63) - 1)
+#: A row of what the second pass finds. n and text are null: an occurrence. n is set: a line that comes n times, first in this place. text is set: a line's text.
+#: line is twice the line's number, and 1 more where the document has no id (which then is 0).
+FOUND = "id long, digest long, line long, hash long, n long, text binary"
 
 
-def occurrences_and_texts(docs: DataFrame, pool: DataFrame) -> DataFrame:
-    """docs: id, digest, text. Rows for each occurrence of a line that occurs again or may be in the pool, and for the text of each line that may
-    be in the pool. A fixed-size filter of the pool's hashes decides; it lets a few others through.
+def occurrences_and_texts(docs: DataFrame, pool: DataFrame, entries: int) -> DataFrame:
+    """docs: id, digest, text. Rows for each line that occurs again or may be in the pool, for its occurrences, and for the text of each line that may
+    be in the pool. A filter of the pool's hashes decides, of bounded size; it lets a few others through.
 
-    Tasks send packed blobs by hash range, so an occurrence costs a few bytes and a line's text moves once for each task that has it."""
-    spark, n = docs.sparkSession, parts(docs.sparkSession)
-    bits = spark.sparkContext.broadcast(_filter(pool))
+    A task counts its own lines first and sends one entry for each, with its first place, by hash range. Further places of a line that it holds more than once
+    go to a range by the task, as they matter in any case: so no range gets all places of a line. A line's text moves once for each task
+    that has it."""
+    spark = docs.sparkSession
+    n = ranges(spark, entries, ENTRIES)
+    power = min(max(entries * 8, 1).bit_length(), FILTER_BITS[1])
+    power = max(power, FILTER_BITS[0])
+    bits = spark.sparkContext.broadcast(_filter(pool, power))
 
     def wanted(h: np.ndarray) -> np.ndarray:
-        top = (h.view(_U) >> _U(64 - FILTER_BITS)).astype(np.int64)
+        top = (h.view(_U) >> _U(64 - power)).astype(np.int64)
         return (bits.value[top >> 3] >> (7 - (top & 7)).astype(np.uint8)) & 1 == 1
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         seen, held, texts = np.zeros(0, np.int64), [], [[] for _ in range(n)]
         for b in batches:
-            ids = b.column("id").fill_null(int(_NO_ID)).to_numpy()
-            digests = b.column("digest").to_numpy()
+            flag = b.column("id").is_null().to_numpy(zero_copy_only=False).astype(np.int64)
+            ids, digests = b.column("id").fill_null(0).to_numpy(), b.column("digest").to_numpy()
             for _, text, ls, le, row, number, h in _lines(b.column("text")):
-                held.append((h, ids[row], digests[row], number))
+                held.append((h, ids[row], digests[row], 2 * number + flag[row]))
                 at = np.flatnonzero(wanted(h))
                 own, k = np.unique(h[at], return_index=True)
                 at = np.sort(at[k[~np.isin(own, seen)]])
@@ -195,12 +237,19 @@ def occurrences_and_texts(docs: DataFrame, pool: DataFrame) -> DataFrame:
                 for x, k in zip(at.tolist(), B.bucket_of(h[at].view(_U), n).tolist(), strict=True):
                     texts[k].append((int(h[x]), text[ls[x] : le[x]].tobytes()))
         if held:
-            h, *rest = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(h.view(_U))
-            bounds = np.searchsorted(B.bucket_of(h[order].view(_U), n), np.arange(n + 1))
-            for k in np.flatnonzero(np.diff(bounds)).tolist():
-                p = order[bounds[k] : bounds[k + 1]]
-                yield B.rows([(k, b"o" + B.pack(h[p].view(_U), *(x[p].view(_U) for x in rest)))])
+            h, ids, digests, number = (np.concatenate(x) for x in zip(*held, strict=True))
+            del held
+            order = np.lexsort((number, digests, ids, number & 1, h.view(_U)))  # the first place of each line first
+            s = h[order]
+            at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+            times = np.diff(np.append(at, len(s)))
+            first = order[at]
+            for k, p in B.dealt(B.bucket_of(h[first].view(_U), n), n):
+                f = first[p]
+                yield B.rows([(k, b"o" + B.pack(h[f].view(_U), *(x[f].view(_U) for x in (ids, digests, number)), times[p].astype(_U)))])
+            again = order[np.repeat(times > 1, times)]
+            if len(again):
+                yield B.rows([(TaskContext.get().partitionId() % n, b"p" + B.pack(h[again].view(_U), *(x[again].view(_U) for x in (ids, digests, number))))])
             for k, own in enumerate(texts):
                 if own:
                     sink = pa.BufferOutputStream()
@@ -209,7 +258,13 @@ def occurrences_and_texts(docs: DataFrame, pool: DataFrame) -> DataFrame:
                         w.write_table(t)
                     yield B.rows([(k, b"t" + sink.getvalue().to_pybytes())])
 
-    schema = pa.schema([("id", pa.int64()), ("digest", pa.int64()), ("line", pa.int64()), ("hash", pa.int64()), ("text", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("digest", pa.int64()), ("line", pa.int64()), ("hash", pa.int64()), ("n", pa.int64()), ("text", pa.binary())])
+
+    def places(h: np.ndarray, ids: np.ndarray, digests: np.ndarray, number: np.ndarray, times: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(h), 1 << 16):
+            p = slice(i, i + (1 << 16))
+            none = len(h[p])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[p]) for x in (ids, digests, number, h)), pa.nulls(none, pa.int64()) if times is None else pa.array(times[p]), pa.nulls(none, pa.binary())], schema=schema)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, texts = [], {}
@@ -217,28 +272,30 @@ def occurrences_and_texts(docs: DataFrame, pool: DataFrame) -> DataFrame:
             for blob in b.column("blob"):
                 raw = blob.as_py()
                 if raw[:1] == b"o":
-                    held.append(B.unpack(raw[1:], 4))
+                    held.append(B.unpack(raw[1:], 5))
+                elif raw[:1] == b"p":
+                    yield from places(*(x.view(np.int64) for x in B.unpack(raw[1:], 4)))
                 else:
                     for x in pa.ipc.open_stream(raw[1:]):
                         texts.update(zip(x.column("hash").to_pylist(), x.column("text").to_pylist(), strict=True))
-        if not held:
-            return
-        h, ids, digests, number = (np.concatenate(x).view(np.int64) for x in zip(*held, strict=True))
-        del held
-        order = np.argsort(h)
-        s = h[order]
-        new = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1], [True]]))
-        size = np.diff(new)
-        good = order[np.repeat((size > 1) | wanted(s[new[:-1]]), size)]
-        for i in range(0, len(good), 1 << 16):
-            p = good[i : i + (1 << 16)]
-            columns = [pa.array(ids[p], mask=ids[p] == _NO_ID), pa.array(digests[p]), pa.array(number[p]), pa.array(h[p]), pa.nulls(len(p), pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+        if held:
+            h, ids, digests, number, times = (np.concatenate(x).view(np.int64) for x in zip(*held, strict=True))
+            del held
+            order = np.lexsort((number, digests, ids, number & 1, h))
+            s = h[order]
+            at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+            tasks, total = np.diff(np.append(at, len(s))), np.add.reduceat(times[order], at)
+            good = (total > 1) | wanted(s[at])
+            f = order[at[good]]
+            yield from places(h[f], ids[f], digests[f], number[f], total[good])
+            alone = order[np.repeat(good, tasks)]
+            alone = alone[times[alone] == 1]  # places of lines that a task holds more often have come by the task
+            yield from places(h[alone], ids[alone], digests[alone], number[alone])
         keys = list(texts)
         for i in range(0, len(keys), 4096):
             part = keys[i : i + 4096]
             none = pa.nulls(len(part), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(part, pa.int64()), pa.array([texts[x] for x in part], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(part, pa.int64()), none, pa.array([texts[x] for x in part], pa.binary())], schema=schema)
 
     return docs.select("id", "digest", "text").mapInArrow(read, B.BLOB_ROWS).repartitionById(n, F.col("bucket")).mapInArrow(gather, FOUND)
 
@@ -267,19 +324,27 @@ def parity_sketches(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return bits, allowance(batch.column("n").to_numpy(), SIMILAR)
 
 
-def _set(windows: np.ndarray) -> np.ndarray:
+def _set(values: np.ndarray) -> np.ndarray:
     """Sorted distinct values."""
-    s = np.sort(windows)
+    s = np.sort(values)
     new = np.ones(len(s), bool)
     np.not_equal(s[1:], s[:-1], out=new[1:])
     return s[new]
 
 
 def _sets(column: pa.Array) -> list[np.ndarray]:
+    """The shingle set of each line."""
     texts = column.to_pylist()
-    end = np.cumsum([len(x) for x in texts]).tolist()
-    all_ = _windows(np.frombuffer(b"".join(texts), np.uint8))
-    return [_set(all_[e - len(x) : max(e - len(x) + 1, e - SHINGLE + 1)]) for x, e in zip(texts, end, strict=True)]
+    if not texts:
+        return []
+    le = np.cumsum([len(x) for x in texts])
+    ls = np.append(0, le[:-1])
+    all_, many, inner = _shingles(np.frombuffer(b"".join(texts), np.uint8), ls, le)
+    out = []
+    for a, n in zip(ls.tolist(), many.tolist(), strict=True):
+        own = all_[a : a + n]
+        out.append(_set(own if inner is None else own[~inner[a : a + n]]))
+    return out
 
 
 def verified(pairs: DataFrame, lines: DataFrame, similar: int = SIMILAR) -> DataFrame:
@@ -301,17 +366,20 @@ def verified(pairs: DataFrame, lines: DataFrame, similar: int = SIMILAR) -> Data
 
 
 def line_components(docs: DataFrame, rounds: int = N.ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """docs: id, digest, text. Line hashes with the component of those that have a near copy, and the occurrences of all lines that matter."""
+    """docs: id, digest, text. Line hashes with the component of those that have a near copy, and what occurrences_and_texts found."""
+    spark = docs.sparkSession
     shape = {"bands": BANDS, "rows": ROWS, "sketches": parity_sketches, "words": PARITY // 64}
-    pairs = staged(N.candidates(signed_lines(docs), 0, **shape), "line_pairs")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shape["n"] = ranges(spark, BANDS * (size // LINE), N.ENTRIES)
+    pairs = staged(N.candidates(docs.select("text"), 0, **shape, read=signed_lines), "line_pairs")
     pool = staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "line_pool")
-    found = staged(occurrences_and_texts(docs, pool), "occurrences")
+    found = staged(occurrences_and_texts(docs, pool, size // LINE), "occurrences")
     lines = staged(sketched(found, pool), "line_texts")
     links = labels = large = None
     found_links, last = 0, False
     for round_ in count():
         if round_ == 2:
-            shape["refine"] = LongParities(lines, _sets, SIMILAR).refine
+            shape["refine"] = LongParities(lines, _sets, SIMILAR, lines.count()).refine
         last = round_ > 2 and (not found_links or round_ >= rounds)
         if round_:
             discard(docs.sparkSession, pairs)
@@ -330,49 +398,43 @@ def line_components(docs: DataFrame, rounds: int = N.ROUNDS) -> tuple[DataFrame,
         if last:
             break
     discard(docs.sparkSession, pool, lines)
-    return labels, found.where("line is not null").drop("text")
+    return labels, found
 
 
 def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs with the dropped lines taken out of the text, and n_lines and n_dropped; same rows, other columns as they are."""
     bounded_batches(docs.sparkSession)
-    keyed = docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text_column).alias("digest"), F.coalesce(text_column, F.lit("")).alias("text"))
-    labels, occ = line_components(keyed)
-    place = F.struct(F.col("id").isNull().alias("none"), "id", "digest", "line")
-    by_line = staged(occ.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n")), "lines")
+    integer_ids(docs, id_column)
+    text, own = F.col(f"`{text_column}`").cast("string"), F.col(f"`{id_column}`").cast("long")
+    keyed = docs.select(own.alias("id"), F.xxhash64(text).alias("digest"), F.coalesce(text, F.lit("")).alias("text"))
+    labels, found = line_components(keyed)
+    place = F.struct(F.col("line").bitwiseAND(F.lit(1).cast("long")).alias("none"), "id", "digest", "line")
+    by_line = found.where("n is not null").select("hash", place.alias("first"), "n")
     named = labels.union(labels.select("component", "component").distinct()).select(F.col("id").alias("hash"), "component")
     by_line = staged(by_line.join(named, "hash", "left").where("n > 1 or component is not null"), "repeated_lines")
     groups = by_line.select("hash", F.coalesce("component", "hash").alias("component"), "first")
     best = staged(groups.groupBy("component").agg(F.min("first").alias("keep")), "component_lines")  # as a plain scan: the skew join can split a large component
     keep = staged(groups.join(best, "component").select("hash", "keep"), "kept_lines")
-    gone = occ.join(keep, "hash").where(~F.struct(F.col("id").isNull().alias("none"), "id", "digest", "line").eqNullSafe(F.col("keep")))
-    gone = staged(gone.groupBy("id", "digest").agg(F.collect_set("line").alias("_gone")).withColumnsRenamed({"id": "_id", "digest": "_digest"}), "dropped_lines")
-    both = docs.withColumn("_text_digest", F.xxhash64(text_column)).join(gone, F.col(id_column).cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_digest") == F.col("_digest")), "left")
-    return _without(both.drop("_id", "_digest", "_text_digest"), docs, text_column)
-
-
-def _without(both: DataFrame, docs: DataFrame, text_column: str) -> DataFrame:
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    kept = [f for f in docs.schema.fields if f.name not in ("n_lines", "n_dropped")]
-    schema = StructType([*kept, StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
-    names = [f.name for f in kept]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            column = b.column(text_column)
-            texts, n, dropped = [], [], []
-            for text, gone in zip(column.to_pylist(), b.column("_gone").to_pylist(), strict=True):
-                n.append(text.count("\n") + 1 if text else 0)
-                dropped.append(len(gone or ()))
-                if gone:
-                    lines, away = text.split("\n"), set(gone)
-                    text = "\n".join(x for i, x in enumerate(lines) if i not in away)
-                texts.append(text)
-            columns = [pa.array(texts, column.type) if c == text_column else b.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(dropped, pa.int64())], names=[*names, "n_lines", "n_dropped"])
-
-    return both.select(*names, "_gone").mapInArrow(run, schema)
+    gone = found.where("n is null and text is null").join(keep, "hash").where(place != F.col("keep"))
+    i, d, none, lines = unused(docs, "_i", "_d", "_none", "_lines")
+    gone = gone.groupBy(F.col("id").alias(i), F.col("digest").alias(d), (F.col("line").bitwiseAND(F.lit(1).cast("long")) == 1).alias(none))
+    gone = staged(gone.agg(F.collect_set(F.shiftright("line", 1)).alias(lines)), "dropped_lines")
+    both = docs.join(gone, (F.coalesce(own, F.lit(0).cast("long")) == F.col(i)) & (F.xxhash64(text) == F.col(d)) & (own.isNull() == F.col(none)), "left")
+    left = F.when(F.col(lines).isNull(), text).otherwise(F.arrow_udf(_without, T.StringType())(F.when(F.col(lines).isNotNull(), text), F.col(lines)))  # other texts stay in the JVM
+    n_lines = F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
+    kept = [(left.cast(docs.schema[c].dataType).alias(c) if c == text_column else F.col(f"`{c}`")) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return both.select(*kept, n_lines.cast("long").alias("n_lines"), F.coalesce(F.size(F.col(lines)), F.lit(0)).cast("long").alias("n_dropped"))
+
+
+def _without(texts: pa.Array, gone: pa.Array) -> pa.Array:
+    """The texts without the lines of these numbers."""
+    out = []
+    for text, numbers in zip(texts.to_pylist(), gone.to_pylist(), strict=True):
+        if text is not None:
+            away = set(numbers)
+            text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in away)
+        out.append(text)
+    return pa.array(out, pa.string())
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,9 +127,9 @@ def test_components_of_awkward_graphs(spark):
 
 
 def _line_result(rows):
-    norm = lambda x: " ".join(words(low(x))).encode()
+    norm = lambda x: " ".join(words(low(x)))
     shingles = lambda x: {x[i : i + 8] for i in range(max(1, len(x) - 7))}
-    occ = [(i, t, k, norm(x)) for i, t, *_ in rows for k, x in enumerate((t or "").split("\n")) if len(norm(x)) >= L.SHORT]
+    occ = [(i, t, k, norm(x)) for i, t, *_ in rows for k, x in enumerate((t or "").split("\n")) if norm(x)]
     u, distinct = Union(), list({x for *_, x in occ})
     sets = [shingles(x) for x in distinct]
     for a in range(len(distinct)):
