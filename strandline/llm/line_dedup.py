@@ -82,34 +82,45 @@ def _shingles(text: np.ndarray, ls: np.ndarray, le: np.ndarray) -> tuple[np.ndar
     wide = np.ndarray((n + 25,), "<u8", np.concatenate([t, np.zeros(32, np.uint8)]).tobytes(), strides=(1,))
     got = wide[:n].astype(_U)
     inner = (t & np.uint8(0xC0)) == 0x80
-    if not inner.any():
-        inner, size = None, np.maximum(le - ls - SHINGLE + 1, 1)
-        odd = ls[le - ls < SHINGLE]
-        end = le[le - ls < SHINGLE]
-    else:
-        before = np.concatenate([np.zeros(1, np.int64), np.cumsum(inner)])
-        begins = np.flatnonzero(~inner)
-        chars = le - ls - before[le] + before[ls]
-        size = begins[np.minimum(ls - before[ls] + np.maximum(chars - SHINGLE, 0), len(begins) - 1)] - ls + 1
-        near = before[np.minimum(np.arange(n) + SHINGLE, n)] > before[:n]
-        near |= np.arange(n) > n - SHINGLE  # at the very end
-        short = ls[chars < SHINGLE]
-        near[short] = True
-        odd = np.flatnonzero(near & ~inner)
-        owner = np.searchsorted(ls, odd, "right") - 1
-        odd, owner = odd[odd < ls[owner] + size[owner]], owner[odd < ls[owner] + size[owner]]
-        nth = odd - before[odd] + SHINGLE
-        end = np.minimum(np.append(begins, n)[np.minimum(nth, len(begins))], le[owner])
-    if len(odd):
-        left = end - odd
-        x = got[odd] & K._KEEP[np.minimum(left, 8)]
-        for step in (8, 16, 24):
-            more = np.flatnonzero(left > step)
-            x[more] = K.mix(x[more]) ^ (wide[odd[more] + step] & K._KEEP[np.minimum(left[more] - step, 8)])
-        got[odd] = x
+    on = np.flatnonzero(inner)
+    if not len(on):
+        size = np.maximum(le - ls - SHINGLE + 1, 1)
+        short = le - ls < SHINGLE
+        _hashed(got, wide, ls[short], le[short])
+        return got, size, None
+    before = np.cumsum(inner, dtype=np.int32)  # characters that go on up to and with a byte
+    begins = np.append(np.flatnonzero(~inner).astype(np.int32), np.int32(n))
+    rank = ls - before[ls]
+    chars = le - ls - before[le - 1] + before[ls]
+    size = begins[rank + np.maximum(chars - SHINGLE, 0)] - ls + 1
+    # windows with a character of several bytes: their 8 characters end where the line does at the latest, as the next byte begins one
+    near = np.zeros(n + SHINGLE, bool)
+    for k in range(SHINGLE):
+        near[on - k] = True  # before the first byte is beyond the last one
+    spans = np.stack([size, np.append(ls[1:], n) - ls - size], 1).ravel()
+    odd = np.flatnonzero(near[:n] & ~inner & np.repeat(np.tile([True, False], len(ls)), spans))
+    short = chars < SHINGLE
+    at = begins[np.minimum(odd - before[odd] + SHINGLE, len(begins) - 1)]
+    _hashed(got, wide, odd, at)
+    got[ls[short]] = wide[ls[short]]
+    _hashed(got, wide, ls[short], le[short])
     return got, size, inner
 
 
+def _hashed(got: np.ndarray, wide: np.ndarray, at: np.ndarray, end: np.ndarray) -> None:
+    """Puts in place what stands for the bytes from `at` to `end`, 32 at most."""
+    if not len(at):
+        return
+    left = end - at
+    x = wide[at] & K._KEEP[np.minimum(left, 8)]
+    for step in (8, 16, 24):
+        more = np.flatnonzero(left > step)
+        if not len(more):
+            break
+        x[more] = x[more] * K._STEP ^ (wide[at[more] + step] & K._KEEP[np.minimum(left[more] - step, 8)])
+    got[at] = x
+
+
 def _donors(seed: int = 29) -> np.ndarray:
     r = np.random.default_rng(seed)
     return np.stack([r.permutation(BINS) for _ in range(BINS)])
@@ -419,7 +430,7 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     i, d, none, lines = unused(docs, "_i", "_d", "_none", "_lines")
     gone = gone.groupBy(F.col("id").alias(i), F.col("digest").alias(d), (F.col("line").bitwiseAND(F.lit(1).cast("long")) == 1).alias(none))
     gone = staged(gone.agg(F.collect_set(F.shiftright("line", 1)).alias(lines)), "dropped_lines")
-    both = docs.join(gone, (F.coalesce(own, F.lit(0).cast("long")) == F.col(i)) & (F.xxhash64(text) == F.col(d)) & (own.isNull() == F.col(none)), "left")
+    both = docs.join(gone.hint("shuffle_hash"), (F.coalesce(own, F.lit(0).cast("long")) == F.col(i)) & (F.xxhash64(text) == F.col(d)) & (own.isNull() == F.col(none)), "left")
     left = F.when(F.col(lines).isNull(), text).otherwise(F.arrow_udf(_without, T.StringType())(F.when(F.col(lines).isNotNull(), text), F.col(lines)))  # other texts stay in the JVM
     n_lines = F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
     kept = [(left.cast(docs.schema[c].dataType).alias(c) if c == text_column else F.col(f"`{c}`")) for c in docs.columns if c not in ("n_lines", "n_dropped")]

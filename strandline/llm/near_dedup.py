@@ -50,6 +50,8 @@ SMALL = 4096
 ROUNDS = 12
 #: Members of a block of a large bucket, about, and of a tile of two blocks; entries of all bands that a range of buckets holds, about.
 BLOCK, TILE, ENTRIES = 4096, 512, 4_000_000
+#: Pairs that are looked up in the long parities at once.
+MANY = 1 << 17
 
 
 def _multipliers(n: int, seed: int = 71) -> tuple[np.ndarray, np.ndarray]:
@@ -188,7 +190,7 @@ class _Bucket:
             i, j = np.nonzero(np.triu(labels[rows, None] != labels[None, lo:], 1))
             keep = np.flatnonzero(2 * np.bitwise_count(bits[rows][i] ^ bits[lo:][j]).sum(1, dtype=np.int64) <= allow[rows][i] + allow[lo:][j])
             x, y = ids[rows][i[keep]], ids[lo:][j[keep]]
-            if self.refine and len(x):
+            if self.refine and len(x) > MANY:
                 keep = self.refine(x, y)
                 x, y = x[keep], y[keep]
             a.append(x)
@@ -196,6 +198,29 @@ class _Bucket:
         return np.concatenate(a), np.concatenate(b)
 
 
+class _Pairs:
+    """Distinct pairs, the lesser id first; those of round 2 that `refine` rules out are left out, many at once and each once."""
+
+    def __init__(self, refine):
+        self.refine, self.new, self.n, self.kept = refine, [], 0, np.zeros((0, 2), np.int64)
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        if len(x):
+            self.new.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+            self.n += len(x)
+            if self.n > 8 * MANY:
+                self.flush()
+
+    def flush(self) -> np.ndarray:
+        if self.new:
+            got = np.unique(np.concatenate(self.new), axis=0)
+            if self.refine:
+                got = got[self.refine(got[:, 0].copy(), got[:, 1].copy())]
+            self.kept = np.unique(np.concatenate([self.kept, got]), axis=0)
+            self.new, self.n = [], 0
+        return self.kept
+
+
 def candidates(classes: DataFrame, round_: int, bands: int = BANDS, rows: int = ROWS, small: int = SMALL, sketches=None, words: int = -(-BANDS * ROWS // 64), refine=None, only: np.ndarray | None = None, read=None, n: int | None = None) -> DataFrame:
     """classes: id, label, sig, and what `sketches` reads. Pairs (a, b) of different labels that share a band and go on in this round.
 
@@ -254,14 +279,13 @@ def candidates(classes: DataFrame, round_: int, bands: int = BANDS, rows: int =
             yield B.rows([(int(x[0]) % n, edges(x, y))])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, a, b, large = [], [], [], []
+        held, large, pairs = [], [], _Pairs(refine if round_ == 2 else None)
         for batch in batches:
             for blob in batch.column("blob"):
                 raw = blob.as_py()
                 if raw[:1] == b"e":
                     x, y = B.unpack(raw[1:], 2)
-                    a.append(x.view(np.int64))
-                    b.append(y.view(np.int64))
+                    pairs.add(x.view(np.int64), y.view(np.int64))
                 elif raw[:1] == b"l":
                     large += B.unpack(raw[1:], 1)[0].tolist()
                 else:
@@ -277,15 +301,10 @@ def candidates(classes: DataFrame, round_: int, bands: int = BANDS, rows: int =
                 for g in _groups(order, new, mixed):
                     if round_ == 2 and len(g) > small:
                         large.append(int(key[g[0]]))
-                    x, y = bucket.pairs(ids[g], labels[g], int(key[g[0]]), bits[g], allow[g])
-                    a.append(x)
-                    b.append(y)
+                    pairs.add(*bucket.pairs(ids[g], labels[g], int(key[g[0]]), bits[g], allow[g]))
             else:
-                x, y, _ = _stars(order, new, mixed, ids)
-                a.append(x)
-                b.append(y)
-        a, b = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (a, b))
-        keep = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+                pairs.add(*_stars(order, new, mixed, ids)[:2])
+        keep = pairs.flush()
         for i in range(0, len(keep), 1 << 17):
             part = keep[i : i + (1 << 17)]
             yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy()), pa.nulls(len(part), pa.int64())], names=["a", "b", "large"])

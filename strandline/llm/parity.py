@@ -36,12 +36,15 @@ def spark_hash(x: np.ndarray) -> np.ndarray:
 
 
 def parities(sets: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each set `bits` bits, each the parity of the elements that hash to it, and its size. Two sets differ in as many elements at least as
+    """For each set `bits` bits (a power of two), each the parity of the elements that hash to it, and its size. Two sets differ in as many elements at least as
     their parities differ in bits."""
-    out = np.zeros((len(sets), bits), np.uint8)
-    for i, s in enumerate(sets):
-        out[i] = np.bincount((K.mix(s) % _U(bits)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(out, axis=1), np.array([len(s) for s in sets], np.int64)
+    size, out = np.array([len(s) for s in sets], np.int64), np.zeros((len(sets), bits // 8), np.uint8)
+    step = max(1, (1 << 23) // bits)
+    for lo in range(0, len(sets), step):
+        part = sets[lo : lo + step]
+        at = (K.mix(np.concatenate(part)) & _U(bits - 1)).astype(np.int64) + np.repeat(np.arange(len(part)) * bits, size[lo : lo + step])
+        out[lo : lo + step] = np.packbits((np.bincount(at, minlength=len(part) * bits) & 1).astype(np.uint8).reshape(len(part), bits), axis=1)
+    return out, size
 
 
 def allowance(n: np.ndarray, similar: int) -> np.ndarray:
