@@ -1,15 +1,17 @@
 """Benchmark decontamination by greedy string tiling.
 
-Words are runs of letters, digits and bytes beyond ASCII, A-Z folded, so punctuation doesn't hide a passage. Documents and benchmark
-items that share a seed (5 words in a row) are tiled: the longest matches that no earlier tile touches are marked again and
-again, found by running Karp-Rabin hashes, down to TILE words. Tiles may come in any order, so reordered passages count. An item
-whose tiles cover at least COVER of its words contaminates the document.
-
-While the benchmark's checked size is below LIMIT bytes, its words travel to the workers and documents are read where they lie; beyond it
-the seeds are joined by a shuffle, and only documents that share one meet the items.
-
-Defined cases: null and empty texts are clean; an item of fewer than 5 words is no evidence and never matches; repeated documents or
-items give repeated matches; empty tables give no rows. Very long documents are read whole. Other columns are ignored.
+Words are runs of letters, digits and bytes beyond ASCII, A-Z folded, so punctuation doesn't hide a passage. The longest matches of a document and an item
+that no earlier tile touches are marked again and again, found by running Karp-Rabin hashes, down to TILE words. Tiles may come in any
+order, so reordered passages count. An item whose tiles cover at least COVER of its words contaminates the document.
+
+Every tile is made of seeds, TILE words in a row that both have. So the words of an item that lie in shared seeds bound what tiles can cover: only pairs that
+reach the threshold so are tiled, and none is lost. The benchmark is a set of queries that every document is held against where it lies: it is cut into
+blocks of about LIMIT bytes, prepared once as sorted seed arrays in files that workers map. Nothing of it passes the driver, and neither texts nor
+links are shuffled, however large it is.
+
+Defined cases: null and empty texts are clean; an item of fewer than LEAST words is no evidence, as clean text has it by chance, and never matches;
+repeated documents or items give repeated matches, whatever their ids, which may be null or of any type; items that share an id are items of their own.
+Empty tables give no rows. Very long documents are read whole. Other columns are ignored, or kept as they are by clean().
 """
 
 from __future__ import annotations
@@ -22,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import blobs as B
 from . import kernel as K
-from .shared import bounded_batches, staged, text_or_empty
+from .shared import bounded_batches, fresh, staged, text_or_empty
 
-SEED_WORDS, TILE, COVER = 5, 3, 0.6
-#: Bytes of benchmark text up to which it travels to the workers.
+LEAST, TILE, COVER = 5, 3, 0.6
+#: Bytes of benchmark text in a block, about.
 LIMIT = 16 << 20
 _PRIME, _BASE = (1 << 61) - 1, 1_000_003
 
@@ -79,26 +82,39 @@ def tiles(item: list[int], doc: list[int], least: int = TILE) -> list[tuple[int,
 
 
 class Items:
-    """The benchmark as word hashes, with its seeds as a sorted array."""
+    """A block of the benchmark: the words of its items, end to end, and its seeds in order with their places."""
 
-    def __init__(self, ids: list, texts: pa.Array, seed_words: int = SEED_WORDS, tile: int = TILE, cover: float = COVER):
-        self.ids, self.seed_words, self.tile, self.cover = ids, seed_words, tile, cover
-        self.words: list[np.ndarray] = []
-        seeds, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    def __init__(self, words: np.ndarray, bounds: np.ndarray, seeds: np.ndarray, places: np.ndarray, tile: int = TILE, cover: float = COVER):
+        self.all, self.bounds, self.seeds, self.places, self.tile, self.cover = words, bounds, seeds, places, tile, cover
+
+    @classmethod
+    def of(cls, texts: pa.Array, tile: int = TILE, cover: float = COVER) -> Items:
+        words, size = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
         for lo, hi, data, offs in K.chunks(texts):
             h, whose = doc_words(data, offs)
-            got, at = K.runs_of(h, whose, seed_words)
-            seeds.append(got)
-            owner.append(whose[at] + lo)
-            bounds = np.searchsorted(whose, np.arange(hi - lo + 1))
-            self.words += [h[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        seeds, owner = np.concatenate(seeds), np.concatenate(owner)
+            words.append(h)
+            size.append(np.bincount(whose, minlength=hi - lo))
+        words, bounds = np.concatenate(words), np.cumsum(np.concatenate(size))
+        owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        seeds, places = K.runs_of(words, owner, tile)
+        good = np.diff(bounds)[owner[places]] >= LEAST
+        seeds, places = seeds[good], places[good]
         order = np.argsort(seeds, kind="stable")
-        self.seeds, self.owner = seeds[order], owner[order]
+        return cls(words, bounds, seeds[order], places[order], tile, cover)
+
+    def write(self, uri: str) -> None:
+        B.put(uri, np.array([len(self.all), len(self.bounds), len(self.seeds)]), self.all, self.bounds.astype(np.int64), self.seeds, self.places.astype(np.int64))
+
+    @classmethod
+    def read(cls, uri: str) -> Items:
+        raw = B.mapped(uri)
+        w, b, s = np.frombuffer(raw, np.int64, 3).tolist()
+        at = np.cumsum([24, 8 * w, 8 * b, 8 * s]).tolist()
+        return cls(np.frombuffer(raw, np.uint64, w, at[0]), np.frombuffer(raw, np.int64, b, at[1]), np.frombuffer(raw, np.uint64, s, at[2]), np.frombuffer(raw, np.int64, s, at[3]))
 
     def judge(self, i: int, doc: np.ndarray) -> tuple[float, int]:
         """Share of item i's words that tiles in doc cover, and the number of tiles."""
-        item = self.words[i]
+        item = self.all[self.bounds[i] : self.bounds[i + 1]]
         vocabulary = {int(w): k for k, w in enumerate(dict.fromkeys(item.tolist()))}
         known = np.isin(doc, item)
         # words that the item lacks can't be in a tile: stretches of them shrink to one barrier
@@ -108,22 +124,31 @@ class Items:
         got = tiles([vocabulary[w] for w in item.tolist()], short, self.tile)
         return sum(n for *_, n in got) / len(item), len(got)
 
+    def near(self, h: np.ndarray, whose: np.ndarray) -> list[tuple[int, int]]:
+        """(document, item) wherever shared seeds hold as many of the item's words as tiles have to cover."""
+        got, at = K.runs_of(h, whose, self.tile)
+        if not len(got) or not len(self.seeds):
+            return []
+        first = np.searchsorted(self.seeds, got)
+        hit = self.seeds[np.minimum(first, len(self.seeds) - 1)] == got
+        once = np.unique(np.stack([whose[at[hit]], first[hit]], 1), axis=0)  # a seed that comes again covers no more
+        times = np.searchsorted(self.seeds, self.seeds[once[:, 1]], "right") - once[:, 1]
+        row = np.repeat(once[:, 0], times)
+        place = self.places[np.repeat(once[:, 1], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+        n = len(self.all)
+        held = np.unique(np.concatenate([row * n + place + k for k in range(self.tile)]))
+        item = np.searchsorted(self.bounds, held % n, "right") - 1
+        pair, words = np.unique((held // n) * len(self.bounds) + item, return_counts=True)
+        row, item = pair // len(self.bounds), pair % len(self.bounds)
+        good = words >= self.cover * np.diff(self.bounds)[item]
+        return list(zip(row[good].tolist(), item[good].tolist(), strict=True))
+
     def matches(self, texts: pa.Array) -> Iterator[tuple[int, int, float, int]]:
         """(row, item, coverage, tiles) where coverage reaches the threshold."""
         for lo, _, data, offs in K.chunks(texts):
             h, whose = doc_words(data, offs)
-            got, at = K.runs_of(h, whose, self.seed_words)
-            first = np.searchsorted(self.seeds, got)
-            hit = np.flatnonzero(self.seeds[np.minimum(first, len(self.seeds) - 1)] == got) if len(self.seeds) and len(got) else np.zeros(0, np.int64)
-            pairs = set()
-            for k in hit.tolist():
-                j = int(first[k])
-                while j < len(self.seeds) and self.seeds[j] == got[k]:
-                    pairs.add((int(whose[at[k]]), int(self.owner[j])))
-                    j += 1
-            for row, i in sorted(pairs):
-                doc = h[np.searchsorted(whose, row) : np.searchsorted(whose, row, "right")]
-                share, n = self.judge(i, doc)
+            for row, i in self.near(h, whose):
+                share, n = self.judge(i, h[np.searchsorted(whose, row) : np.searchsorted(whose, row, "right")])
                 if share >= self.cover:
                     yield lo + row, i, share, n
 
@@ -134,94 +159,57 @@ def doc_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return K.hashes(data, starts, ends), owner
 
 
-def _small(benchmark: DataFrame, limit: int) -> Items | None:
-    """The benchmark's items, if their checked size is below the limit."""
-    bounded_batches(benchmark.sparkSession)
-    size = benchmark.agg(F.sum(F.octet_length(text_or_empty()) + 64)).first()[0] or 0
-    if size > limit:
-        return None
-    got = benchmark.select("item_id", text_or_empty().alias("text")).toArrow()
-    return Items(got.column("item_id").to_pylist(), got.column("text").combine_chunks())
+def prepared(benchmark: DataFrame, limit: int = LIMIT) -> tuple[DataFrame, list[str]]:
+    """Block, number in it and item_id of each item, and the paths of the blocks."""
+    spark = benchmark.sparkSession
+    bounded_batches(spark)
+    root = fresh(spark, "benchmark")
+    rows = benchmark.select("item_id", text_or_empty().alias("text"))
+    blocks = max(1, -(-(rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0) // limit))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
+        held = [b for b in batches if b.num_rows]
+        if held:
+            block, both = TaskContext.get().partitionId(), pa.Table.from_batches(held)
+            Items.of(both.column("text").cast(pa.large_string()).combine_chunks()).write(f"{root}/{block}")
+            n = both.num_rows
+            ids = both.column("item_id").combine_chunks()
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block, np.int32)), pa.array(np.arange(n)), ids], names=["block", "i", "item_id"])
 
-def _schema(docs: DataFrame, benchmark: DataFrame) -> str:
-    return f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(benchmark.dtypes)['item_id']}, coverage double, n_tiles long"
+    dealt = rows.repartition(blocks) if blocks > 1 else rows.coalesce(1)
+    items = staged(dealt.mapInArrow(write, f"block int, i long, item_id {dict(benchmark.dtypes)['item_id']}"), "items")
+    return items, [f"{root}/{r['block']}" for r in items.select("block").distinct().collect()]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, limit: int = LIMIT) -> DataFrame:
     """doc_id, item_id, coverage, n_tiles of each contaminating pair."""
-    schema = _schema(docs, benchmark)
-    ids = pa.array([], benchmark.select("item_id").limit(0).toArrow().schema.field("item_id").type).type
-    items = _small(benchmark, limit)
-    texts = docs.select("doc_id", text_or_empty().alias("text"))
-    if items is not None:
+    items, paths = prepared(benchmark, limit)
+    kind = dict(docs.dtypes)["doc_id"]
 
-        def where_they_lie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                got = list(items.matches(b.column("text")))
-                rows = pa.array([r for r, *_ in got], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(rows), pa.array([items.ids[i] for _, i, *_ in got], ids), pa.array([c for *_, c, _ in got], pa.float64()), pa.array([n for *_, n in got], pa.int64())],
-                    names=["doc_id", "item_id", "coverage", "n_tiles"],
-                )
-
-        return texts.mapInArrow(where_they_lie, schema)
-
-    texts, benches, found = _judged_pairs(docs, benchmark)
-    again = texts.select(F.struct("doc_id", "digest").alias("row")).join(found, "row")  # repeated rows, repeated matches
-    again = benches.select("item").join(again, "item")
-    return again.select("row.doc_id", "item.item_id", "coverage", "n_tiles")
-
-
-def _judged_pairs(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Joined by seeds: the documents' rows, the items, and the contaminating pairs of a row and an item, each an id and a digest of the text."""
-
-    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo, _, data, offs in K.chunks(b.column("text")):
-                h, whose = doc_words(data, offs)
-                got, at = K.runs_of(h, whose, SEED_WORDS)
-                key, first = np.unique(np.stack([got, whose[at].astype(np.uint64)], 1), axis=0, return_index=True) if len(got) else (np.zeros((0, 2), np.uint64), np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(whose[at][first] + lo)), pa.array(key[:, 0].view(np.int64) if len(key) else [], pa.int64())], names=[b.schema.names[0], "seed"])
-
-    # ids may repeat, so rows are told apart by a digest of their text as well
-    texts = docs.select("doc_id", text_or_empty().alias("text")).withColumn("digest", F.sha2("text", 256))
-    keyed = texts.select(F.struct("doc_id", "digest").alias("row"), "text")
-    benches = staged(benchmark.select("item_id", text_or_empty().alias("text")).withColumn("item", F.struct("item_id", F.sha2("text", 256).alias("digest"))), "items")
-    of = lambda df, c: df.mapInArrow(seeds, f"{c} {dict(df.dtypes)[c]}, seed long")
-    pairs = of(keyed, "row").join(of(benches.select("item", "text"), "item").distinct(), "seed").select("row", "item").distinct()
-    near = pairs.join(keyed.distinct().withColumnRenamed("text", "doc_text"), "row").join(benches.select("item", F.col("text").alias("item_text")).distinct(), "item")
-    near = near.select("row", "item", "doc_text", "item_text")
-
-    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def held_against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            share, n = [], []
-            for d, t in zip(b.column("doc_text"), b.column("item_text"), strict=True):
-                one = Items([0], pa.array([t.as_py()]))
-                h, _ = next((doc_words(data, offs) for _, _, data, offs in K.chunks(pa.array([d.as_py()]), 1 << 62)))
-                s, k = one.judge(0, h)
-                share.append(s)
-                n.append(k)
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("item"), pa.array(share, pa.float64()), pa.array(n, pa.int64())], names=["row", "item", "coverage", "n_tiles"])
+            for path in paths:
+                got = list(Items.read(path).matches(b.column("text")))
+                if got:
+                    row, i, share, n = zip(*got, strict=True)
+                    block = np.full(len(got), int(path.rpartition("/")[2]), np.int32)
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), pa.array(block), pa.array(i, pa.int64()), pa.array(share, pa.float64()), pa.array(n, pa.int64())], names=["doc_id", "block", "i", "coverage", "n_tiles"])
 
-    kinds = dict(near.dtypes)
-    found = near.mapInArrow(judged, f"row {kinds['row']}, item {kinds['item']}, coverage double, n_tiles long").where(F.col("coverage") >= COVER)
-    return texts, benches, found
+    found = docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(held_against, f"doc_id {kind}, block int, i long, coverage double, n_tiles long")
+    return found.join(items, ["block", "i"]).select("doc_id", "item_id", "coverage", "n_tiles")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """docs without the contaminated rows, all columns as they are."""
-    items = _small(benchmark, limit)
-    if items is None:
-        *_, found = _judged_pairs(docs, benchmark)
-        found = found.select(F.col("row.doc_id").alias("_id"), F.col("row.digest").alias("_text_digest")).distinct()
-        same = docs["doc_id"].eqNullSafe(found["_id"]) & (F.sha2(text_or_empty(), 256) == found["_text_digest"])
-        return docs.join(found, same, "left_anti")
+    """docs without the contaminated rows, all columns as they are: each row is judged where it lies, by its own text."""
+    _, paths = prepared(benchmark, limit)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             good = np.ones(b.num_rows, bool)
-            good[[r for r, *_ in items.matches(b.column("text"))]] = False
+            for path in paths:
+                good[[r for r, *_ in Items.read(path).matches(b.column(b.schema.get_field_index("text")).cast(pa.large_string()))]] = False
             yield b.filter(pa.array(good))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -6,7 +6,7 @@ come first in a seeded order. Only (source, size, count) rows meet in one group;
 salted parts of their size.
 
 Defined cases: a null text has size 0; the null source is a source of its own, last in order; documents of size 0 take 0 words. Rows
-repeated are documents of their own. An empty table gives no rows. A source of size 0 has target 0. Reruns agree, as the order
+repeated, and rows without an id, are documents of their own. An empty table gives no rows. A source of size 0 has target 0. Reruns agree, as the order
 is a hash of the seed and doc_id. Other columns are ignored.
 """
 
@@ -18,12 +18,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, staged, text_or_empty
+from ..operators.ranks import global_rank
+from .shared import bounded_batches, ranges, staged, text_or_empty
 
 #: Words that whole documents leave to the dynamic programme at first, where they can; it covers more where that doesn't fit exactly.
 REACH = 32_768
-#: Parts that a size's documents are ranked in.
-SALTS = 256
+#: Documents of a part in which those of a size are ranked, about, if they were all of one size.
+EACH = 200_000
 
 
 def quotas(sizes: np.ndarray, counts: np.ndarray, budget: int, reach: int = REACH) -> np.ndarray:
@@ -104,26 +105,24 @@ def fitted(sizes: np.ndarray, spare: np.ndarray, left: int, off: int) -> np.ndar
 
 def targets(totals: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame:
     """rank, source, source_size, target, for one row per source. All sizes are shared by weight; a target stops at `most` times its
-    source's size and the excess goes to the others by weight, which is the level at which the capped shares use up everything."""
-    order = W.orderBy(F.col("source").isNull(), "source")
+    source's size and the excess goes to the others by weight.
+
+    Sources are numbered by a distributed rank. What a weight of 1 gets, the level, rises as sources turn out to be below it: each round sums
+    those that are not, until nothing changes; the driver sees two sums a round."""
+    named = global_rank(totals, ["source"], "row_number", "rank", nulls_last=True)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))
-    named = totals.withColumn("rank", F.row_number().over(order)).withColumn("weight", weight)
-    ratio = F.col("source_size") * F.lit(float(most)) / F.col("weight")
-    full = named.withColumn("ratio", ratio)
-    before = W.orderBy("ratio", "rank").rowsBetween(W.unboundedPreceding, -1)
-    everything = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing).orderBy("ratio", "rank")
-    full = full.select(
-        "*",
-        F.sum("source_size").over(everything).alias("all_sizes"),
-        (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))).alias("open_weight"),
-        F.coalesce(F.sum("source_size").over(before), F.lit(0)).alias("size_before"),
-    )
-    # the level if exactly the sources before this one are capped; the first of those that stays within its own cap is the level
-    level = (F.col("all_sizes") - F.col("size_before") * F.lit(float(most))) / F.col("open_weight")
-    full = full.withColumn("level", F.max(F.when(level <= F.col("ratio"), level)).over(everything))
     cap = F.col("source_size") * F.lit(float(most))
-    target = F.when(F.col("level").isNull() | (F.col("ratio") < F.col("level")), cap).otherwise(F.least(cap, F.col("level") * F.col("weight")))
-    return full.select("rank", "source", "source_size", target.alias("target"))
+    named = staged(named.select(F.col("rank").cast("int").alias("rank"), "source", "source_size", weight.alias("weight")), "sources")
+    everything, level = float(named.agg(F.sum("source_size")).first()[0] or 0), 0.0
+    while True:
+        full = cap < F.lit(level) * F.col("weight")
+        held, open_ = named.agg(F.coalesce(F.sum(F.when(full, cap)), F.lit(0.0)), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0.0))).first()
+        risen = (everything - held) / open_ if open_ else float("inf")
+        if risen <= level:
+            break
+        level = risen
+    target = cap if level == float("inf") else F.least(cap, F.lit(level) * F.col("weight"))
+    return named.select("rank", "source", "source_size", target.alias("target"))
 
 
 def sizes(column: str) -> Column:
@@ -131,11 +130,15 @@ def sizes(column: str) -> Column:
     return F.regexp_count(text_or_empty(column), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: int = 3, seed: int = 17, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target and taken of every row of docs. A document is used taken / size times."""
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: int = 3, seed: int = 17, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", key: Column | None = None) -> DataFrame:
+    """doc_id, size, source_size, target and taken of every row of docs, and its `key`, if one is given that tells rows apart. A document is used
+    taken / size times."""
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), sizes(text_column).alias("size"))
-    rows = staged(rows.withColumn("order", F.xxhash64(F.lit(seed), "doc_id")).withColumn("salt", F.pmod("order", F.lit(SALTS)).cast("int")), "sizes")
+    keys = [] if key is None else ["key"]
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), sizes(text_column).alias("size"), *([] if key is None else [key.alias("key")]))
+    rows = staged(rows.withColumn("order", F.xxhash64(F.lit(seed), "doc_id")), "sizes")
+    salts = ranges(docs.sparkSession, rows.count(), EACH)
+    rows = rows.withColumn("salt", F.pmod("order", F.lit(salts).cast("long")).cast("int"))
     cells = staged(rows.groupBy("source", "size", "salt").agg(F.count("*").alias("n")), "size_counts")
     per_source = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     goal = staged(targets(per_source, weights, most), "targets")
@@ -154,11 +157,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: int
     parts = cells.join(goal, same(cells, goal)).select("rank", "size", "salt", "n").join(quota, ["rank", "size"])
     before = F.sum("n").over(W.partitionBy("rank", "size").orderBy("salt").rowsBetween(W.unboundedPreceding, -1))
     parts = parts.select("rank", "size", "salt", (F.col("quota") - F.coalesce(before, F.lit(0))).alias("quota"))
-    ranked = rows.join(goal, same(rows, goal)).select("doc_id", "order", "salt", "size", "rank", "source_size", "target", "repeats")
+    ranked = rows.join(goal, same(rows, goal)).select(*keys, "doc_id", "order", "salt", "size", "rank", "source_size", "target", "repeats")
     place = F.row_number().over(W.partitionBy("rank", "size", "salt").orderBy("order", "doc_id"))
     ranked = ranked.withColumn("place", place).join(parts, ["rank", "size", "salt"])
     times = F.col("repeats") + (F.col("place") <= F.col("quota")).cast("long")
-    return ranked.select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"))
+    return ranked.select(*keys, "doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,6 @@ table none. Spans count code points, end exclusive. Only the id and the text are
 
 from __future__ import annotations
 
-import hashlib
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -155,14 +154,3 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["kind"] != "novel")
     return found.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
-
-
-def brute_base(text: str | None) -> tuple[list[str], str]:
-    """The contract word for word, for tests: span strings and their digest."""
-    t = text or ""
-    found = []
-    rules = ((r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A, 6, 2), (r"AKIA[A-Z0-9]+", 0, 20, 0), (r"[0-9a-f]+", 0, 24, 0))
-    for k, (pattern, flags, least, group) in enumerate(rules):
-        found += [(m.start(), k, m.end()) for m in re.finditer(pattern, t, flags) if len(m[group]) >= least]
-    spans = [f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(found)]
-    return spans, hashlib.sha256(",".join(spans).encode()).hexdigest()

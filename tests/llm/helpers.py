@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 import zlib
@@ -68,3 +69,13 @@ class Union(dict):
     def join(self, x, y):
         x, y = self.find(x), self.find(y)
         self[max(x, y)] = min(x, y)
+
+
+def brute_base(text: str | None) -> tuple[list[str], str]:
+    """The contract of the secret scan word for word: span strings and their digest."""
+    kinds, t, found = ("assign", "access", "hex"), text or "", []
+    rules = ((r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A, 6, 2), (r"AKIA[A-Z0-9]+", 0, 20, 0), (r"[0-9a-f]+", 0, 24, 0))
+    for k, (pattern, flags, least, group) in enumerate(rules):
+        found += [(m.start(), k, m.end()) for m in re.finditer(pattern, t, flags) if len(m[group]) >= least]
+    spans = [f"{kinds[k]}:{a}:{b}" for a, k, b in sorted(found)]
+    return spans, hashlib.sha256(",".join(spans).encode()).hexdigest()

@@ -1,6 +1,7 @@
 """Classifiers by held-out accuracy; secrets and decontamination against plain versions."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from strandline.llm import secrets as S
 from strandline.llm import toxicity as X
 from strandline.llm.features import NAMES, statistics
 
-from .helpers import corpus, fold, frame, with_clashes
+from .helpers import brute_base, corpus, fold, frame, low, with_clashes
 
 
 def _labelled(n=500, seed=12):
@@ -98,14 +99,14 @@ SECRETS = [
 ]
 
 
-def test_secrets_base(spark):
+def test_secrets_base(spark, tmp_path):
     rows = [(i, t, None, None, 0) for i, t in enumerate(SECRETS)] + [(100 + i, t, None, None, 0) for i, (_, t, *_) in enumerate(corpus(30))] + [(0, SECRETS[0], None, None, 0)]
     docs = with_clashes(frame(spark, rows))
-    docs.write.mode("overwrite").parquet("/tmp/strandline-tests/secrets/documents.parquet")
-    got = S.op8_secret_scan(spark, "/tmp/strandline-tests/secrets").collect()
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = S.op8_secret_scan(spark, str(tmp_path)).collect()
     assert len(got) == len(rows)
     for r in got:
-        spans, digest = S.brute_base(dict((i, t) for i, t, *_ in rows)[r["doc_id"]])
+        spans, digest = brute_base(dict((i, t) for i, t, *_ in rows)[r["doc_id"]])
         assert r["base_sha256"] == digest and [x for x in r["spans"].split(",") if x and not x.startswith("novel")] == spans
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(x.startswith(k) for x in spans) for k in ("assign", "access", "hex")]
     assert S.scan(docs.limit(0)).count() == 0
@@ -187,7 +188,7 @@ def test_decontamination(spark):
     ]
     docs, bench = with_clashes(frame(spark, rows)), spark.createDataFrame(items, "item_id long, text string")
     want = sorted([(1, 0), (2, 1), (4, 0), (5, 0), (5, 0), (5, 2), (5, 2)])
-    for limit in (D.LIMIT, 0):
+    for limit in (D.LIMIT, 600):
         got = D.matches(docs, bench, limit)
         assert sorted((x["doc_id"], x["item_id"]) for x in got.collect()) == want
         left = D.clean(docs, bench, limit)
@@ -202,5 +203,114 @@ def test_clean_tells_rows_of_one_id_apart(spark):
     good = [(None, w(40), None, None, 0), (7, w(40), None, None, 0), (None, None, None, None, 0)]
     docs = with_clashes(frame(spark, [*good, (None, w(20) + " " + item, None, None, 0), (7, item, None, None, 0)]))
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
-    for limit in (D.LIMIT, 0):
+    for limit in (D.LIMIT, 600):
         assert sorted((str(x["doc_id"]), str(x["text"])) for x in D.clean(docs, bench, limit).collect()) == sorted((str(i), str(t)) for i, t, *_ in good)
+
+
+def _tiling(items, rows):
+    """The definition, step by step: (document, item, words covered, tiles) of all pairs that reach the threshold."""
+    split = lambda t: re.findall(r"[0-9a-z\u0080-\U0010ffff]+", low(t or ""))
+    out = []
+    for i, t, *_ in rows:
+        doc = split(t)
+        for j, u in items:
+            item = split(u)
+            if len(item) < D.LEAST:
+                continue
+            mine, theirs, n = [False] * len(item), [False] * len(doc), 0
+            while True:
+                runs = []
+                for a in range(len(item)):
+                    for b in range(len(doc)):
+                        k = 0
+                        while a + k < len(item) and b + k < len(doc) and item[a + k] == doc[b + k] and not mine[a + k] and not theirs[b + k]:
+                            k += 1
+                        if k >= D.TILE:
+                            runs.append((-k, a, b))
+                if not runs:
+                    break
+                longest = min(runs)[0]
+                for k, a, b in sorted(r for r in runs if r[0] == longest):
+                    if not any(mine[a : a - k]) and not any(theirs[b : b - k]):
+                        mine[a : a - k] = theirs[b : b - k] = [True] * -k
+                        n += 1
+            if sum(mine) >= D.COVER * len(item):
+                out.append((i, j, round(sum(mine) / len(item), 9), n))
+    return sorted(out, key=str)
+
+
+def test_decontamination_query_against_the_definition(spark, tmp_path):
+    r = random.Random(17)
+    w = lambda k, v=40: [f"t{r.randrange(v)}" for _ in range(k)]
+    items = [(i, " ".join(w(r.randint(5, 22)))) for i in range(14)] + [(3, " ".join(w(12))), (None, " ".join(w(9))), (60, "two words"), (61, None)]
+    rows = []
+    for i in range(60):
+        base = r.choice(items[:16])[1].split()
+        cut = sorted(r.sample(range(len(base)), min(3, len(base))))
+        pieces = [base[a:b] for a, b in zip([0, *cut], [*cut, len(base)], strict=True)]
+        r.shuffle(pieces)
+        rows.append((i // 2 if i % 7 else None, " ".join(sum((p + w(r.randint(0, 4)) for p in pieces), w(5))), None, None, 0))
+    rows += [(99, None, None, None, 0), (98, "", None, None, 0), rows[0]]
+    with_clashes(frame(spark, rows)).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = D.op4_decontamination(spark, str(tmp_path)).collect()
+    want = _tiling(items, rows)
+    assert sorted(((x["doc_id"], x["item_id"], round(x["coverage"], 9), x["n_tiles"]) for x in got), key=str) == want and len(want) > 20 and all(x["contaminated"] for x in got)
+    named = D.matches(frame(spark, rows), spark.createDataFrame([(str(i), t) for i, t in items], "item_id string, text string"), 200)
+    assert sorted(x["item_id"] for x in named.collect()) == sorted(str(j) for _, j, *_ in want)
+
+
+def test_pu_risk_and_gradient():
+    """One step of the fit against numeric differences of the risk as defined."""
+    r = np.random.default_rng(8)
+    n, d, prior = 500, 12, 0.2
+    bags = [np.unique(r.integers(0, d if i >= n else 8, 4)) for i in range(2 * n)]
+    pair = lambda b: (np.repeat(np.arange(len(b)), [len(x) for x in b]), np.concatenate(b).astype(np.int64), len(b))
+    pos, unl = pair(bags[:n]), pair(bags[n:])
+
+    def risk(v):
+        z = lambda s: np.bincount(s[0], v[s[1]], s[2]) + v[-1]
+        loss = lambda x: np.logaddexp(0, -x)
+        rest = loss(-z(unl)).mean() - prior * loss(-z(pos)).mean()
+        return prior * loss(z(pos)).mean() + max(0.0, rest) + 1e-4 * (v[:-1] ** 2).sum()
+
+    fitted = X.nn_pu(pos, unl, np.arange(d), prior, rounds=3000, rate=0.02)
+    v = np.append(fitted.weights, fitted.bias)
+    grad = np.array([(risk(v + e) - risk(v - e)) / 2e-5 for e in np.eye(d + 1) * 1e-5])
+    assert risk(v) < risk(np.zeros(d + 1)) and np.abs(grad).max() < 0.02
+    assert all(risk(v) <= risk(v + r.normal(size=d + 1) * 0.3) + 1e-6 for _ in range(200))
+
+
+def test_ridge_and_calibration_against_plain_solutions(spark):
+    rows, labels = _labelled(240, seed=3)
+    x = statistics(pa.array([t for _, t, *_ in rows]))
+    y = np.array([q for _, q, _ in labels], float)
+    df = spark.createDataFrame([(v.tolist(), float(q)) for v, q in zip(x, y, strict=True)], "x array<double>, y double").repartition(5)
+    m = Q.fit(df)
+    assert np.allclose(m.mean, x.mean(0)) and np.allclose(m.scale, x.std(0), atol=2e-6)
+    z = m.lift(x)
+    beta = np.linalg.lstsq(np.vstack([z, np.sqrt(Q.RIDGE * len(x) + 1.0) * np.eye(z.shape[1])]), np.append(y, np.zeros(z.shape[1])), rcond=None)[0]
+    assert np.allclose(m.beta, beta, atol=1e-6)
+    at, best = m.bins(x), None
+    order = np.argsort(at, kind="stable")
+    # isotonic regression by its min-max formula over the bins that have rows
+    bins = np.unique(at)
+    s, n = np.array([y[at == b].sum() for b in bins]), np.array([(at == b).sum() for b in bins])
+    best = [max(min(s[i : j + 1].sum() / n[i : j + 1].sum() for j in range(k, len(bins))) for i in range(k + 1)) for k in range(len(bins))]
+    assert len(order) == len(y) and np.allclose(m.steps[bins], best)
+
+
+def test_novelty_against_plain_compression():
+    import zstandard as z
+
+    r = random.Random(2)
+    words = z.ZstdCompressionDict(S.IDENTIFIERS.encode(), dict_type=z.DICT_TYPE_RAWCONTENT)
+    pack = lambda b: len(z.ZstdCompressor(level=9, dict_data=words, write_checksum=False, write_content_size=False, write_dict_id=False).compress(b))
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for k in range(40):
+        key = "".join(r.choices(chars, k=r.randint(16, 60))) + "a1" if k % 2 else "_".join(r.choices(["get", "user", "name", "config", "v2"], k=7)) + "1"
+        text = f"# the auth of the service\n{key}\nend of it, {r.random()}"
+        a = text.index(key)
+        around = (text[max(0, a - S.CONTEXT) : a] + text[a + len(key) : a + len(key) + S.CONTEXT]).encode()
+        novel = 8 * (pack(around + key.encode()) - pack(around)) / len(key) >= S.NOVEL_BITS
+        assert _novel(text) == ([key] if novel else []) and (novel or k % 2 == 0)
