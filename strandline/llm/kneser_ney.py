@@ -1,21 +1,23 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and memory-mapped by the workers.
+"""Interpolated modified Kneser-Ney model of any order, counted in Spark and memory-mapped by the workers.
 
-    P(w | c) = (max(n(c,w) - D(n(c,w)), 0) + (D1 N1(c) + D2 N2(c) + D3 N3+(c)) Q(w)) / n(c)
+    P(w | c) = (max(a(c,w) - D(a(c,w)), 0) + (D1 N1(c) + D2 N2(c) + D3 N3+(c)) P(w | c')) / a(c)
     Q(w)     = (max(t(w) - E(t(w)), 0) + (E1 m1 + E2 m2 + E3 m3+) / (V + 1)) / T
 
-n counts in the training tokens; Ni(c) is how many words follow c i times; t(w) is how many contexts w follows; T is the
-sum of t; mi is how many words have t = i; D and E are the discounts that the counts of counts give. Q leaves a share for words never
-seen, so the probabilities over the V known words and one unknown add up to 1. A context never seen gives Q.
+c' is the context c without its first word; Q stands for P without a context. In the highest order a(c,w) is how often c,w comes in the training tokens, in
+lower ones how many words it follows there; a context of text begins has nothing before it, so there it is the count again. a(c) is the
+sum over w; Ni(c) is how many words follow c with a = i; t(w) is how many words w follows; T is the sum of t; mi is how many words have
+t = i; D (for each order) and E are the discounts that the counts of counts give. Q leaves a share for words never seen, so the
+probabilities over the V known words and one unknown add up to 1. A context never seen gives what the shorter one gives.
 
-Three passes. (1) Words: each task sums its word hashes and sends one packed blob to each range of hashes; each range becomes a file of
-sorted hashes and counts, whose positions number the words. (2) Bigrams: the same with pairs of word numbers, dealt by a
-bijective hash of the pair, so a frequent word's pairs spread over all ranges; what each range knows of contexts and continuations
-is summed again by word range. (3) Scoring: workers map the files and look sorted keys up by binary search.
-What is shuffled and stored follows the distinct words and bigrams of the input; nothing of it passes the driver but a few sums
-per range.
+(1) Words: each task sums its word hashes and sends one packed blob to each range of hashes; each range becomes a file of sorted hashes and counts,
+whose positions number the words. (2) Sequences of the highest order: the same with word numbers, dealt by a hash of the whole sequence, so those of a
+frequent word or pair spread over all ranges; each range writes its file and sends on what it knows of contexts and continuations, which are the
+sequences of the next lower order, down to the words. (3) Scoring: workers map the files that they need and look sorted keys up by
+binary search. What is shuffled and stored follows the distinct sequences of the input; their ranges follow its size. Files begin with their own sums,
+and the driver sees the sums of those, and the sizes of the word files, of which there are as many as shuffle partitions.
 
 Defined cases: a null text is empty; an empty text is its end token alone. Without any training text N, V and n_known are 0 and both
-scores are 0 for every token. Repeated rows count again and are scored again. Very long texts are read whole. Up to 2**32 - 3
+scores are 0 for every token. Repeated rows count again and are scored again; ids may be null. Very long texts are read whole. Up to 2**32 - 3
 distinct words; beyond that the fit raises an error.
 """
 
@@ -36,8 +38,10 @@ _U = np.uint64
 #: Hash of the end token; numbers of the begin context and of words never seen.
 END = _U(0x5E2D58D8B3BCDF1A)
 BEGIN, UNKNOWN = (1 << 32) - 1, (1 << 32) - 2
-#: Entries that a task gathers before it sends them on.
-HELD = 2_000_000
+#: Entries that a task gathers before it sends them on; training tokens for each range of sequences, about.
+HELD, TOKENS = 2_000_000, 3_000_000
+#: Words of the longest sequences.
+ORDER = 2
 
 
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,40 +61,132 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
             yield tokens(data, offs)
 
 
+def _summed(columns: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Distinct rows of the columns in order, and each value summed by row."""
+    if not len(columns[0]):
+        return columns, values
+    order = np.lexsort(columns[::-1]) if len(columns) > 1 else np.argsort(columns[0])
+    columns = [c[order] for c in columns]
+    new = np.ones(len(order), bool)
+    new[1:] = columns[0][1:] != columns[0][:-1]
+    for c in columns[1:]:
+        new[1:] |= c[1:] != c[:-1]
+    at = np.flatnonzero(new)
+    return [c[at] for c in columns], [np.add.reduceat(v[order], at) for v in values]
+
+
 class _Gather:
-    """Sums of keys within a task, packed by bucket when they get many."""
+    """Counts of rows within a task, packed by bucket when they get many."""
 
     def __init__(self, bucket, buckets: int):
         self.bucket, self.buckets, self.held, self.n = bucket, buckets, [], 0
 
-    def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.held.append(B.counted(keys))
-        self.n += len(self.held[-1][0])
+    def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        columns, count = _summed(list(columns), [np.ones(len(columns[0]), _U)])
+        self.held.append([*columns, *count])
+        self.n += len(columns[0])
         if self.n >= HELD:
             yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.held:
-            keys, count = B.summed(*(np.concatenate(x) for x in zip(*self.held, strict=True)))
+            *columns, count = (np.concatenate(x) for x in zip(*self.held, strict=True))
+            columns, (count,) = _summed(columns, [count])
             self.held, self.n = [], 0
-            for b, at in B.dealt(self.bucket(keys), self.buckets):
-                yield B.rows([(b, B.pack(keys[at], count[at]))])
+            for b, at in B.dealt(self.bucket(*columns), self.buckets):
+                yield B.rows([(b, B.pack(*(c[at] for c in columns), count[at]))])
 
 
-def _merged(batches: Iterator[pa.RecordBatch], columns: int) -> tuple[int | None, list[np.ndarray]]:
+def _merged(batches: Iterator[pa.RecordBatch], keys: int, values: int) -> tuple[int | None, list[np.ndarray], list[np.ndarray]]:
     """The one bucket of a partition and the sums of all its blobs; summed whenever they have doubled."""
     bucket, held, n, last = None, [], 0, 0
+
+    def both() -> tuple[list[np.ndarray], list[np.ndarray]]:
+        every = [np.concatenate(x) for x in zip(*held, strict=True)]
+        return _summed(every[:keys], every[keys:])
+
     for b in batches:
         for k, blob in zip(b.column("bucket").to_pylist(), b.column("blob"), strict=True):
             bucket = k
-            held.append(B.unpack(blob.as_py(), columns))
+            held.append(B.unpack(blob.as_py(), keys + values))
             n += len(held[-1][0])
             if n > max(HELD, 2 * last):
-                held = [list(B.summed(*(np.concatenate(x) for x in zip(*held, strict=True))))]
-                n = last = len(held[0][0])
+                columns, sums = both()
+                held = [[*columns, *sums]]
+                n = last = len(columns[0])
     if not held:
-        return bucket, [np.zeros(0, _U)] * columns
-    return bucket, list(B.summed(*(np.concatenate(x) for x in zip(*held, strict=True))))
+        return bucket, [np.zeros(0, _U)] * keys, [np.zeros(0, _U)] * values
+    return bucket, *both()
+
+
+def _packed(words: list[np.ndarray]) -> list[np.ndarray]:
+    """Word numbers of sequences, two in a column."""
+    return [words[i] << _U(32) | words[i + 1] if i + 1 < len(words) else words[i] for i in range(0, len(words), 2)]
+
+
+def _unpacked(columns: list[np.ndarray], length: int) -> list[np.ndarray]:
+    out = []
+    for i, c in enumerate(columns):
+        out += [c >> _U(32), c & _U(0xFFFFFFFF)] if 2 * i + 1 < length else [c]
+    return out
+
+
+def _hash(columns: list[np.ndarray]) -> np.ndarray:
+    h = K.mix(columns[0])
+    for c in columns[1:]:
+        h = K.mix(h * K._STEP + c)
+    return h
+
+
+#: Numbers at the head of a file of sequences: how many; those with own counts 1, 2, 3 and 4; sums for the context of text begins; large values of each column.
+HEAD = 16
+
+
+def _write(uri: str, h: np.ndarray, values: list[np.ndarray], head: list[int]) -> None:
+    """Sorted hashes and a byte for each value; values of 255 and more follow."""
+    order = np.argsort(h)
+    small, rest, many = [], [], []
+    for v in values:
+        v = v[order].astype(np.int64)
+        large = np.flatnonzero(v >= 255)
+        small.append(np.minimum(v, 255).astype(np.uint8))
+        rest += [large, v[large]]
+        many.append(len(large))
+    numbers = np.zeros(HEAD, np.int64)
+    numbers[: 1 + len(head)] = [len(h), *head]
+    numbers[HEAD - len(many) :] = many
+    pad = np.zeros(-len(values) * len(h) % 8, np.uint8)
+    B.put(uri, numbers, h[order], *small, pad, *rest)
+
+
+def _head(uri: str) -> np.ndarray:
+    try:
+        return np.frombuffer(B.mapped(uri), np.int64, HEAD)
+    except FileNotFoundError:  # a range without sequences has no file
+        return np.zeros(HEAD, np.int64)
+
+
+def _found(uri: str, h: np.ndarray, columns: int) -> np.ndarray:
+    """(columns, keys) values of sorted hashes; 0 where there is none."""
+    out, head = np.zeros((columns, len(h)), np.int64), _head(uri)
+    n = int(head[0])
+    if not n:
+        return out
+    raw = B.mapped(uri)
+    known = np.frombuffer(raw, _U, n, 8 * HEAD)
+    at = np.searchsorted(known, h)
+    hit = np.flatnonzero(known[np.minimum(at, n - 1)] == h)
+    at = at[hit]
+    begin = 8 * HEAD + 8 * n
+    rest = begin + columns * n + (-columns * n % 8)
+    for c, many in enumerate(head[HEAD - columns :].tolist()):
+        v = np.frombuffer(raw, np.uint8, n, begin + c * n)[at].astype(np.int64)
+        if (large := np.flatnonzero(v == 255)).size:
+            where, values = np.frombuffer(raw, np.int64, many, rest), np.frombuffer(raw, np.int64, many, rest + 8 * many)
+            v[large] = values[np.searchsorted(where, at[large])]
+        out[c, hit] = v
+        rest += 16 * many
+    return out
 
 
 class Words:
@@ -139,34 +235,26 @@ def discounts(n: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """A fitted model: paths of its files and a few numbers."""
+    """A fitted model: paths of its files and a few numbers. counts: of counts 1 to 4, by order; continued: of t, and of t beyond 2."""
 
-    def __init__(self, words: Words, bigrams: np.ndarray, begin: np.ndarray, pairs: np.ndarray, continued: np.ndarray):
-        self.words, self.bigrams, self.begin = words, bigrams, begin
+    def __init__(self, words: Words, order: int, ranges: int, begin: np.ndarray, counts: dict[int, np.ndarray], continued: np.ndarray, types: float):
+        self.words, self.order, self.ranges, self.begin = words, order, ranges, begin
         self.n_words, self.n_tokens = int(words.first[-1]), 0
-        self.d, self.e = discounts(pairs), discounts(continued[:4])
-        self.types = float(bigrams.sum())
+        self.d, self.e = {k: discounts(c) for k, c in counts.items()}, discounts(continued[:4])
+        self.types = types
         rest = continued[[0, 1]].tolist() + [continued[4]]
         self.spread = float(np.dot(self.e, rest)) / (self.n_words + 1)
 
-    def pair_counts(self, key: np.ndarray) -> np.ndarray:
-        """Training counts of sorted hashed pairs."""
-        out = np.zeros(len(key), np.int64)
-        where = B.bucket_of(key, len(self.bigrams))
-        bounds = np.searchsorted(where, np.arange(len(self.bigrams) + 1))
+    def values(self, length: int, words: list[np.ndarray], columns: int) -> np.ndarray:
+        """(columns, keys) values of sequences of a length."""
+        h, back = np.unique(_hash(_packed(words)), return_inverse=True)
+        out = np.zeros((columns, len(h)), np.int64)
+        where = B.bucket_of(h, self.ranges)
+        bounds = np.searchsorted(where, np.arange(self.ranges + 1))
         for k in np.flatnonzero(np.diff(bounds)).tolist():
-            if n := int(self.bigrams[k]):
-                raw = B.mapped(f"{self.words.root}/pairs-{k}")
-                known, part = np.frombuffer(raw, _U, n), key[bounds[k] : bounds[k + 1]]
-                at = np.searchsorted(known, part)
-                hit = np.flatnonzero(known[np.minimum(at, n - 1)] == part)
-                count = np.frombuffer(raw, np.uint8, n, 8 * n)[at[hit]].astype(np.int64)
-                if (large := np.flatnonzero(count == 255)).size:
-                    many = (len(raw) - 9 * n) // 16
-                    rest = np.frombuffer(raw[9 * n :].tobytes(), np.int64)
-                    count[large] = rest[many:][np.searchsorted(rest[:many], at[hit[large]])]
-                out[bounds[k] + hit] = count
-        return out
+            part = slice(bounds[k], bounds[k + 1])
+            out[:, part] = _found(f"{self.words.root}/grams-{length}-{k}", h[part], columns)
+        return out[:, back]
 
     def score(self, h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
         """n_known, base score and log10 probability of each text."""
@@ -180,26 +268,40 @@ class Model:
         count, t = stats[0], stats[5]
         base = np.log10((count + 0.5) / (self.n_tokens + 0.5 * (self.n_words + 1)))
         lower = (np.maximum(t - self.e[np.clip(t, 1, 3) - 1], 0) * (t > 0) + self.spread) / max(1.0, self.types)
-        ids = word[back]
-        before = np.roll(ids, 1)
-        before[bounds[:-1]] = BEGIN
-        key, pair = np.unique(K.mix((before << _U(32)) | ids), return_inverse=True)
-        n = self.pair_counts(key)[pair]
+        p = lower[back]
+        before = _before(word[back], bounds, self.order)
         context = np.roll(back, 1)
         c = stats[1:5][:, context]
         c[:, bounds[:-1]] = self.begin[:, None]
-        taken = np.maximum(n - self.d[np.clip(n, 1, 3) - 1], 0) * (n > 0)
-        q = lower[back]
-        p = np.where(c[0] > 0, (taken + (self.d @ c[1:]) * q) / np.maximum(c[0], 1), q)
+        for k in range(2, self.order + 1):
+            own = self.values(k, before[-k:], 1 if k == self.order else 5)[0]
+            if k > 2:
+                c = self.values(k - 1, before[-k:-1], 5)[1:]
+            d = self.d[k]
+            taken = np.maximum(own - d[np.clip(own, 1, 3) - 1], 0) * (own > 0)
+            p = np.where(c[0] > 0, (taken + (d @ c[1:]) * p) / np.maximum(c[0], 1), p)
         return (np.bincount(owner, count[back] > 0, n_texts).astype(np.int64), np.bincount(owner, base[back], n_texts), np.bincount(owner, np.log10(p), n_texts))
 
 
-def fit(texts: DataFrame) -> Model:
-    """texts: the column `text`, without nulls."""
+def _before(ids: np.ndarray, bounds: np.ndarray, order: int) -> list[np.ndarray]:
+    """Of each token the numbers of the order - 1 before it, farthest first, and its own; BEGIN where the text hasn't begun."""
+    place = np.arange(len(ids)) - np.repeat(bounds[:-1], np.diff(bounds))
+    out = []
+    for k in range(order - 1, 0, -1):
+        moved = np.roll(ids, k)
+        moved[place < k] = BEGIN
+        out.append(moved)
+    return [*out, ids]
+
+
+def fit(texts: DataFrame, order: int = ORDER) -> Model:
+    """texts: the column `text`, without nulls. order: words of the longest sequences, 2 or more."""
+    if order < 2:
+        raise ValueError("the order is 2 or more")
     spark = texts.sparkSession
     root = fresh(spark, "kneser_ney")
     bounded_batches(spark)
-    n = max(parts(spark), texts.rdd.getNumPartitions())
+    n = parts(spark)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = _Gather(lambda h: B.bucket_of(h, n), n)
@@ -208,7 +310,7 @@ def fit(texts: DataFrame) -> Model:
         yield from g.flush()
 
     def word_file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, (h, count) = _merged(batches, 2)
+        bucket, (h,), (count,) = _merged(batches, 1, 1)
         if bucket is not None:
             B.put(f"{root}/words-{bucket}", h, count)
             yield pa.RecordBatch.from_pylist([{"bucket": bucket, "n": len(h), "total": int(count.sum())}], pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("total", pa.int64())]))
@@ -221,76 +323,69 @@ def fit(texts: DataFrame) -> Model:
     if known.first[-1] >= UNKNOWN:
         raise ValueError("more distinct words than word numbers")
     total = sum(r["total"] for r in found)
-    m = max(n, -(-total // 3_000_000))
+    m = max(n, -(-total // TOKENS))
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = _Gather(lambda k: B.bucket_of(K.mix(k), m), m)
+    def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = _Gather(lambda *c: B.bucket_of(_hash(list(c)), m), m)
         for h, bounds in _texts(batches):
             distinct, back = np.unique(h, return_inverse=True)
-            ids = known.numbers(distinct)[back]
-            before = np.roll(ids, 1)
-            before[bounds[:-1]] = BEGIN
-            yield from g.add((before << _U(32)) | ids)
+            yield from g.add(*_packed(_before(known.numbers(distinct)[back], bounds, order)))
         yield from g.flush()
 
-    def pair_file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Writes a range of bigrams and passes on what it knows of each word: as a context, and as a continuation."""
-        bucket, (key, count) = _merged(batches, 2)
-        if bucket is None:
-            return
-        h = K.mix(key)
-        order = np.argsort(h)
-        c = count[order]
-        large = np.flatnonzero(c >= 255)
-        B.put(f"{root}/pairs-{bucket}", h[order], np.minimum(c, 255).astype(np.uint8), large.astype(np.int64), c[large].astype(np.int64))
-        first, second = (key >> _U(32)).astype(np.int64), key & _U(0xFFFFFFFF)
-        by = [count, (count == 1).astype(_U), (count == 2).astype(_U), (count > 2).astype(_U)]
-        none = np.zeros(len(key), _U)
-        head = np.array([0, len(key), *(int((count == i).sum()) for i in (1, 2, 3, 4)), *(int(v[first == BEGIN].sum()) for v in by)], _U)
-        inner = first != BEGIN
-        both = B.summed(*(np.concatenate([a[inner], b]) for a, b in zip((first.astype(_U), *by, none), (second, none, none, none, none, none + _U(1)), strict=True)))
-        where = np.searchsorted(known.first, both[0].astype(np.int64), "right") - 1
-        yield B.rows([(0, b"h" + int(bucket).to_bytes(8, "little") + head.tobytes())])
-        for b, at in B.dealt(where, n):
-            yield B.rows([(b, b"s" + B.pack(*(x[at] for x in both)))])
+    def level(length: int):
+        """Writes a range of sequences of a length and passes on what it knows of shorter ones: as contexts, and as continuations."""
+        columns, top = -(-length // 2), length == order
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bucket, keys, values = _merged(batches, columns, 1 if top else 5)
+            if bucket is None:
+                return
+            own = values[0]
+            seen = np.flatnonzero(own > 0)  # others are contexts only
+            grams, c = [w[seen] for w in _unpacked(keys, length)], own[seen]
+            by = [c, (c == 1).astype(_U), (c == 2).astype(_U), (c > 2).astype(_U)]
+            start = grams[0] == BEGIN
+            begin = [int(v[start].sum()) for v in by] if length == 2 else [0] * 4
+            _write(f"{root}/grams-{length}-{bucket}", _hash(keys), values, [*(int((c == i).sum()) for i in (1, 2, 3, 4)), *begin, len(c)])
+            del keys, values
+            none = np.zeros(len(c), _U)
+            follows = np.where(grams[1] == BEGIN, c, _U(1)) if length > 2 else none + _U(1)
+            inner = np.flatnonzero(~start) if length == 2 else np.arange(len(c))
+            heads, tails = _packed([g[inner] for g in grams[:-1]]), _packed(grams[1:])
+            both, sums = _summed([np.concatenate(x) for x in zip(heads, tails, strict=True)], [np.concatenate([a, b]) for a, b in zip((none[inner], *(v[inner] for v in by)), (follows, none, none, none, none), strict=True)])
+            where = np.searchsorted(known.first, both[0].astype(np.int64), "right") - 1 if length == 2 else B.bucket_of(_hash(both), m)
+            for b, at in B.dealt(where, n if length == 2 else m):
+                yield B.rows([(b, B.pack(*(x[at] for x in both), *(x[at] for x in sums)))])
+
+        return run
 
     def stats_file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, held, heads = None, [], []
-        for b in batches:
-            for k, blob in zip(b.column("bucket").to_pylist(), b.column("blob"), strict=True):
-                bucket, raw = k, blob.as_py()
-                if raw[:1] == b"h":
-                    heads.append((int.from_bytes(raw[1:9], "little"), raw[9:]))
-                else:
-                    held.append(B.unpack(raw[1:], 6))
-                    if len(held) > 64:
-                        held = [list(B.summed(*(np.concatenate(x) for x in zip(*held, strict=True))))]
+        bucket, (ids,), values = _merged(batches, 1, 5)
         if bucket is None:
             return
-        size = int(known.sizes[bucket])
-        dense = np.zeros((5, size), np.int64)
-        for ids, *values in held:
-            at = ids.astype(np.int64) - known.first[bucket]
-            for row, v in zip(dense, values, strict=True):
-                row[at] += v.astype(np.int64)
-        B.put(f"{root}/stats-{bucket}", dense[0], *(x.astype(np.uint32) for x in dense[1:]))
-        t = dense[4]
-        seen = [int((t == i).sum()) for i in (1, 2, 3, 4)] + [int((t > 2).sum())]
-        yield B.rows([(bucket, np.array(seen, np.int64).tobytes())])
-        yield from (B.rows([(-1 - k, x)]) for k, x in heads)
-
-    dealt = texts.mapInArrow(pairs, B.BLOB_ROWS).repartitionById(m, F.col("bucket")).mapInArrow(pair_file, B.BLOB_ROWS)
-    sums = dealt.repartitionById(n, F.col("bucket")).mapInArrow(stats_file, B.BLOB_ROWS).collect()
-    continued, bigrams, counts, begin = np.zeros(5), np.zeros(m, np.int64), np.zeros(4), np.zeros(4, np.int64)
-    for r in sums:
-        if r["bucket"] >= 0:
-            continued += np.frombuffer(r["blob"], np.int64)
-        else:
-            head = np.frombuffer(r["blob"], np.int64)
-            bigrams[-1 - r["bucket"]] = head[1]
-            counts += head[2:6]
-            begin += head[6:]
-    model = Model(known, bigrams, begin, counts, continued)
+        dense = np.zeros((5, int(known.sizes[bucket])), np.int64)
+        for row, v in zip(dense, values, strict=True):
+            row[ids.astype(np.int64) - known.first[bucket]] = v.astype(np.int64)
+        t = dense[0]
+        B.put(f"{root}/stats-{bucket}", dense[1], *(x.astype(np.uint32) for x in (*dense[2:], t)))
+        yield B.rows([(bucket, np.array([*(int((t == i).sum()) for i in (1, 2, 3, 4)), int((t > 2).sum())], np.int64).tobytes())])
+
+    dealt = texts.mapInArrow(sequences, B.BLOB_ROWS)
+    for length in range(order, 1, -1):
+        dealt = dealt.repartitionById(m, F.col("bucket")).mapInArrow(level(length), B.BLOB_ROWS)
+    continued = np.zeros(5)
+    for r in dealt.repartitionById(n, F.col("bucket")).mapInArrow(stats_file, B.BLOB_ROWS).collect():
+        continued += np.frombuffer(r["blob"], np.int64)
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for length in range(2, order + 1):
+                total = sum((_head(f"{root}/grams-{length}-{k}") for k in b.column("id").to_pylist()), np.zeros(HEAD, np.int64))
+                yield pa.RecordBatch.from_pylist([{"length": length, **{f"v{i}": int(v) for i, v in enumerate(total[1:10])}}], pa.schema([("length", pa.int32()), *((f"v{i}", pa.int64()) for i in range(9))]))
+
+    sums = spark.range(0, m, 1, min(n, m)).mapInArrow(heads, "length int, " + ", ".join(f"v{i} long" for i in range(9))).groupBy("length").agg(*[F.sum(f"v{i}") for i in range(9)]).collect()
+    by_length = {r[0]: np.array(r[1:], float) for r in sums}
+    model = Model(known, order, m, by_length[2][4:8].astype(np.int64), {k: v[:4] for k, v in by_length.items()}, continued, float(by_length[2][8]))
     model.n_tokens = total
     return model
 

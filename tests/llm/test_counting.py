@@ -16,51 +16,59 @@ from strandline.llm.token_counts import TokenCache
 from .helpers import corpus, fold, frame, low, with_clashes, words
 
 
-def _brute(rows):
+def _brute(rows, order=2):
     toks = [words(low(t or "")) + ["</>"] for _, t, *_ in rows]
     train = [w for (i, *_), w in zip(rows, toks, strict=True) if fold(i) != 1]
     c = collections.Counter(x for w in train for x in w)
-    pairs = collections.Counter(p for w in train for p in zip(["<>", *w], w, strict=False))
-    ctx, cont = collections.defaultdict(lambda: [0, 0, 0, 0]), collections.Counter()
-    for (a, b), n in pairs.items():
-        ctx[a][0] += n
-        ctx[a][min(n, 3)] += 1
-        cont[b] += 1
+    pad = ["<>"] * (order - 1)
+    grams = lambda w: [tuple([*pad, *w][i : i + order]) for i in range(len(w))]
+    own = {order: collections.Counter(g for w in train for g in grams(w))}
+    for k in range(order - 1, 0, -1):  # how many words a sequence follows; what begins a text has its count
+        own[k] = collections.Counter()
+        for g, n in own[k + 1].items():
+            own[k][g[1:]] += n if k > 1 and g[1] == "<>" else 1
+    ctx = {k: collections.defaultdict(lambda: [0, 0, 0, 0]) for k in own}
+    for k in range(2, order + 1):
+        for g, n in own[k].items():
+            ctx[k][g[:-1]][0] += n
+            ctx[k][g[:-1]][min(n, 3)] += 1
     counts = lambda v: np.array([sum(1 for n in v if n == i) for i in (1, 2, 3, 4)], float)
-    d, e = N.discounts(counts(pairs.values())), N.discounts(counts(cont.values()))
+    d = {k: N.discounts(counts(own[k].values())) for k in own}
     n, v = sum(c.values()), len(c)
-    spread = sum(e[k] * sum(1 for x in cont.values() if min(x, 3) == k + 1) for k in range(3)) / (v + 1)
-    q = lambda w: ((cont[w] - e[min(cont[w], 3) - 1] if cont[w] else 0) + spread) / len(pairs)
-
-    def p(a, w):
-        if a not in ctx:
-            return q(w)
-        x, k = ctx[a], pairs.get((a, w), 0)
-        return ((k - d[min(k, 3) - 1] if k else 0) + (d[0] * x[1] + d[1] * x[2] + d[2] * x[3]) * q(w)) / x[0]
-
-    assert sum(p("</>", w) for w in [*c, "??"]) == pytest.approx(1) and sum(p(next(iter(c)), w) for w in [*c, "??"]) == pytest.approx(1)
+    spread = sum(d[1][k] * sum(1 for x in own[1].values() if min(x, 3) == k + 1) for k in range(3)) / (v + 1)
+
+    def p(g):
+        if len(g) == 1:
+            return ((own[1][g] - d[1][min(own[1][g], 3) - 1] if own[1][g] else 0) + spread) / sum(own[1].values())
+        if g[:-1] not in ctx[len(g)]:
+            return p(g[1:])
+        x, a, e = ctx[len(g)][g[:-1]], own[len(g)].get(g, 0), d[len(g)]
+        return ((a - e[min(a, 3) - 1] if a else 0) + (e[0] * x[1] + e[1] * x[2] + e[2] * x[3]) * p(g[1:])) / x[0]
+
+    for before in (pad, [*pad, next(iter(c))][1:], ["??"] * (order - 1), [*pad, *toks[0]][-order + 1 :]):
+        assert sum(p((*before, w)) for w in [*c, "??"]) == pytest.approx(1)
     out = []
     for (i, *_), w in zip(rows, toks, strict=True):
         base = sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)
-        out.append((i, len(w), sum(x in c for x in w), round(base, 6), round(sum(math.log10(p(a, x)) for a, x in zip(["<>", *w], w, strict=False)), 6)))
+        out.append((i, len(w), sum(x in c for x in w), round(base, 6), round(sum(math.log10(p(g)) for g in grams(w)), 6)))
     return sorted(out), n
 
 
-def _scores(spark, df):
+def _scores(spark, df, order=2):
     from pyspark.sql import functions as F
 
     texts = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    model = N.fit(texts.where(fold_column() != 1).select("text"))
+    model = N.fit(texts.where(fold_column() != 1).select("text"), order)
     return sorted((r[0], r[1], r[2], round(r[3], 6), round(r[4], 6)) for r in N.scored(texts, model).collect()), model
 
 
-@pytest.mark.parametrize("parts", [1, 5])
-def test_kneser_ney(spark, parts, monkeypatch):
+@pytest.mark.parametrize(("parts", "order"), [(1, 2), (5, 2), (1, 3), (5, 3), (3, 4)])
+def test_kneser_ney(spark, parts, order, monkeypatch):
     rows = corpus()
     if parts == 5:
         monkeypatch.setattr(N, "HELD", 300)
-    got, model = _scores(spark, with_clashes(frame(spark, rows, parts)))
-    want, n = _brute(rows)
+    got, model = _scores(spark, with_clashes(frame(spark, rows, parts)), order)
+    want, n = _brute(rows, order)
     assert model.n_tokens == n and got == want
 
 
@@ -72,7 +80,8 @@ def test_kneser_ney_without_training_text(spark):
 
 def test_large_counts(spark):
     rows = [(i, "a b " * 400, None, None, 0) for i in range(20)] + [(50, "a c b", None, None, 0)]
-    assert _scores(spark, frame(spark, rows))[0] == _brute(rows)[0]
+    for order in (2, 3):
+        assert _scores(spark, frame(spark, rows), order)[0] == _brute(rows, order)[0]
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"])
