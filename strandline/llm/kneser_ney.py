@@ -13,7 +13,7 @@ probabilities over the V known words and one unknown add up to 1. A context neve
 whose positions number the words. (2) Sequences of the highest order: the same with word numbers, dealt by a hash of the whole sequence, so those of a
 frequent word or pair spread over all ranges; each range writes its file and sends on what it knows of contexts and continuations, which are the
 sequences of the next lower order, down to the words. (3) Scoring: workers map the files that they need and look sorted keys up by
-binary search. What is shuffled and stored follows the distinct sequences of the input; their ranges follow its size. Files begin with their own sums,
+binary search; of sequences half a hash is kept, the other half is their place. What is shuffled and stored follows the distinct sequences of the input; their ranges follow its size. Files begin with their own sums,
 and the driver sees the sums of those, and the sizes of the word files, of which there are as many as shuffle partitions.
 
 Defined cases: a null text is empty; an empty text is its end token alone. Without any training text N, V and n_known are 0 and both
@@ -41,7 +41,7 @@ BEGIN, UNKNOWN = (1 << 32) - 1, (1 << 32) - 2
 #: Entries that a task gathers before it sends them on; training tokens for each range of sequences, about.
 HELD, TOKENS = 2_000_000, 3_000_000
 #: Words of the longest sequences.
-ORDER = 2
+ORDER = 3
 
 
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,13 +138,24 @@ def _hash(columns: list[np.ndarray]) -> np.ndarray:
     return h
 
 
-#: Numbers at the head of a file of sequences: how many; those with own counts 1, 2, 3 and 4; sums for the context of text begins; large values of each column.
-HEAD = 16
+#: Numbers at the head of a file of sequences: how many; those with own counts 1, 2, 3 and 4; sums for the context of text begins; all with own counts;
+#: then slots, the first top half of a hash and their width; and last how many large values each column has.
+HEAD, SLOT = 20, 16
+
+
+def _slots(h: np.ndarray, slots: int, low: int, width: int) -> np.ndarray:
+    """Slots of hashes by their top halves, rising with them."""
+    return (((h >> _U(32)) - _U(low)) * _U(slots) // _U(width)).astype(np.int64)
 
 
 def _write(uri: str, h: np.ndarray, values: list[np.ndarray], head: list[int]) -> None:
-    """Sorted hashes and a byte for each value; values of 255 and more follow."""
-    order = np.argsort(h)
+    """Hash array and a byte for each value; values of 255 and more follow. Hashes lie in slots of about SLOT each by their top halves, and only their other
+    halves are kept, sorted within a slot: a sequence that isn't there is taken for one that is once in SLOT / 2**32."""
+    n = len(h)
+    slots, low = max(1, n // SLOT), int(h.min() >> _U(32))
+    width = int(h.max() >> _U(32)) - low + 1
+    slot = _slots(h, slots, low, width)
+    order = np.lexsort((h.astype(np.uint32), slot))
     small, rest, many = [], [], []
     for v in values:
         v = v[order].astype(np.int64)
@@ -153,10 +164,12 @@ def _write(uri: str, h: np.ndarray, values: list[np.ndarray], head: list[int]) -
         rest += [large, v[large]]
         many.append(len(large))
     numbers = np.zeros(HEAD, np.int64)
-    numbers[: 1 + len(head)] = [len(h), *head]
+    numbers[: 1 + len(head)] = [n, *head]
+    numbers[10:13] = slots, low, width
     numbers[HEAD - len(many) :] = many
-    pad = np.zeros(-len(values) * len(h) % 8, np.uint8)
-    B.put(uri, numbers, h[order], *small, pad, *rest)
+    starts = np.searchsorted(slot[order], np.arange(slots + 1)).astype(np.uint32)
+    pad = np.zeros(-(4 * (slots + 1 + n) + len(values) * n) % 8, np.uint8)
+    B.put(uri, numbers, starts, h[order].astype(np.uint32), *small, pad, *rest)
 
 
 def _head(uri: str) -> np.ndarray:
@@ -167,18 +180,27 @@ def _head(uri: str) -> np.ndarray:
 
 
 def _found(uri: str, h: np.ndarray, columns: int) -> np.ndarray:
-    """(columns, keys) values of sorted hashes; 0 where there is none."""
+    """(columns, keys) values of hashes; 0 where there is none."""
     out, head = np.zeros((columns, len(h)), np.int64), _head(uri)
-    n = int(head[0])
+    n, slots, low, width = (int(head[i]) for i in (0, 10, 11, 12))
     if not n:
         return out
     raw = B.mapped(uri)
-    known = np.frombuffer(raw, _U, n, 8 * HEAD)
-    at = np.searchsorted(known, h)
-    hit = np.flatnonzero(known[np.minimum(at, n - 1)] == h)
-    at = at[hit]
-    begin = 8 * HEAD + 8 * n
-    rest = begin + columns * n + (-columns * n % 8)
+    starts, known = np.frombuffer(raw, np.uint32, slots + 1, 8 * HEAD), np.frombuffer(raw, np.uint32, n, 8 * HEAD + 4 * (slots + 1))
+    asked = np.flatnonzero(((h >> _U(32)) >= _U(low)) & ((h >> _U(32)) < _U(low + width)))
+    slot, half = _slots(h[asked], slots, low, width), h[asked].astype(np.uint32)
+    lo, hi = starts[slot].astype(np.int64), starts[slot + 1].astype(np.int64)
+    end = hi.copy()
+    while (open_ := np.flatnonzero(lo < hi)).size:  # a binary search in each slot
+        middle = (lo[open_] + hi[open_]) >> 1
+        less = known[middle] < half[open_]
+        lo[open_[less]] = middle[less] + 1
+        hi[open_[~less]] = middle[~less]
+    hit = np.flatnonzero((lo < end) & (known[np.minimum(lo, n - 1)] == half))
+    at, hit = lo[hit], asked[hit]
+    begin = 8 * HEAD + 4 * (slots + 1 + n)
+    rest = begin + columns * n
+    rest += -rest % 8
     for c, many in enumerate(head[HEAD - columns :].tolist()):
         v = np.frombuffer(raw, np.uint8, n, begin + c * n)[at].astype(np.int64)
         if (large := np.flatnonzero(v == 255)).size:
@@ -274,12 +296,13 @@ class Model:
         c = stats[1:5][:, context]
         c[:, bounds[:-1]] = self.begin[:, None]
         for k in range(2, self.order + 1):
-            own = self.values(k, before[-k:], 1 if k == self.order else 5)[0]
-            if k > 2:
-                c = self.values(k - 1, before[-k:-1], 5)[1:]
-            d = self.d[k]
+            found = self.values(k, before[-k:], 1 if k == self.order else 5)
+            own, d = found[0], self.d[k]
             taken = np.maximum(own - d[np.clip(own, 1, 3) - 1], 0) * (own > 0)
             p = np.where(c[0] > 0, (taken + (d @ c[1:]) * p) / np.maximum(c[0], 1), p)
+            if k < self.order:  # the context of a token is the sequence that ends before it
+                c = np.roll(found[1:], 1, axis=1)
+                c[:, bounds[:-1]] = self.values(k, [np.array([BEGIN], _U)] * k, 5)[1:]
         return (np.bincount(owner, count[back] > 0, n_texts).astype(np.int64), np.bincount(owner, base[back], n_texts), np.bincount(owner, np.log10(p), n_texts))
 
 
