@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import blobs as B
 from . import kernel as K
-from .shared import bounded_batches, fold, fresh, parts, text_or_empty
+from .shared import bounded_batches, fold, fresh, parts, release, text_or_empty
 
 _U = np.uint64
 #: Hash of the end token; numbers of the begin context and of words never seen.
@@ -346,6 +346,7 @@ def fit(texts: DataFrame, order: int = ORDER) -> Model:
     if known.first[-1] >= UNKNOWN:
         raise ValueError("more distinct words than word numbers")
     total = sum(r["total"] for r in found)
+    release(spark)
     m = max(n, -(-total // TOKENS))
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

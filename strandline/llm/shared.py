@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 from ..scratch import discard, fresh, shared_root, staged
 from ..spec import unused
 
-__all__ = ["SPACE", "bounded_batches", "discard", "fold", "fresh", "integer_ids", "parts", "ranges", "shared_root", "staged", "text_or_empty", "unused"]
+__all__ = ["SPACE", "bounded_batches", "discard", "fold", "fresh", "integer_ids", "parts", "ranges", "release", "shared_root", "staged", "text_or_empty", "unused"]
 
 
 def parts(spark: SparkSession) -> int:
@@ -41,6 +42,12 @@ def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
         spark.conf.set(key, str(size))
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more; it does so when the driver's garbage is collected, which may be late."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
