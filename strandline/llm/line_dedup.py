@@ -240,6 +240,8 @@ def occurrences_and_texts(docs: DataFrame, pool: DataFrame, entries: int) -> Dat
             flag = b.column("id").is_null().to_numpy(zero_copy_only=False).astype(np.int64)
             ids, digests = b.column("id").fill_null(0).to_numpy(), b.column("digest").to_numpy()
             for _, text, ls, le, row, number, h in _lines(b.column("text")):
+                if not len(h):
+                    continue
                 held.append((h, ids[row], digests[row], 2 * number + flag[row]))
                 at = np.flatnonzero(wanted(h))
                 own, k = np.unique(h[at], return_index=True)
