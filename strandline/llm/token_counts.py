@@ -126,7 +126,8 @@ class TokenCache(DigestStore):
                 yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], names=["digest", "tokenizer", "n_tokens"])
 
         rows = staged(texts.mapInArrow(digests, f"doc_id {kind}, n_bytes long, digest binary"), "digests")
-        missing = staged(self.lacking(rows.select("digest").distinct()), "missing")
+        once = staged(rows.select("digest").distinct(), "distinct_digests")  # staged, as Spark drops a distinct inside a semi join, and a hot digest would stay whole
+        missing = staged(self.lacking(once), "missing")
         n = missing.count()
         if n:
             own = texts.select("text").mapInArrow(distinct, "digest binary, text string")
@@ -134,7 +135,7 @@ class TokenCache(DigestStore):
             self.append(staged(own.mapInArrow(encode, "digest binary, tokenizer string, n_tokens long"), "encoded"))
         discard(self.spark, missing)
         known = self.table().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # two writers may have stored the same text
-        known = staged(known.join(rows.select("digest").distinct(), "digest", "left_semi"), "token_counts")  # as a plain scan, so that a text with very many copies is split by the skew join
+        known = staged(known.join(once, "digest", "left_semi"), "token_counts")  # as a plain scan, so that a text with very many copies is split by the skew join
         return rows.join(known, "digest").select("doc_id", "n_bytes", "n_tokens")
 
 
