@@ -30,20 +30,29 @@ def _joined(raw: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).reshape(-1).view("<u8")
 
 
+def squeezed(*columns: np.ndarray) -> bytes:
+    """Columns of equal length, of any non-negative numbers below 2**64, as they are."""
+    n = len(columns[0])
+    return n.to_bytes(8, "little") + _pack.compress(b"".join(map(_planes, columns))) if n else bytes(8)
+
+
+def restored(blob: bytes, columns: int) -> list[np.ndarray]:
+    n = int.from_bytes(blob[:8], "little")
+    if not n:
+        return [np.zeros(0, _U)] * columns
+    raw = _unpack.decompress(blob[8:], max_output_size=8 * n * columns)
+    return [_joined(raw[8 * n * i : 8 * n * (i + 1)], n) for i in range(columns)]
+
+
 def pack(keys: np.ndarray, *others: np.ndarray) -> bytes:
     """keys: sorted uint64; others: as long, of any non-negative numbers below 2**64."""
-    n = len(keys)
     step = keys.copy()
     step[1:] -= keys[:-1]
-    return n.to_bytes(8, "little") + _pack.compress(b"".join(map(_planes, (step, *others)))) if n else bytes(8)
+    return squeezed(step, *others)
 
 
 def unpack(blob: bytes, columns: int) -> list[np.ndarray]:
-    n = int.from_bytes(blob[:8], "little")
-    if not n:
-        return [np.zeros(0, _U)] * columns
-    raw = _unpack.decompress(blob[8:], max_output_size=8 * n * columns)
-    out = [_joined(raw[8 * n * i : 8 * n * (i + 1)], n) for i in range(columns)]
+    out = restored(blob, columns)
     out[0] = np.cumsum(out[0], dtype=_U)
     return out
 

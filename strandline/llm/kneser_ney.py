@@ -9,12 +9,12 @@ sum over w; Ni(c) is how many words follow c with a = i; t(w) is how many words
 t = i; D (for each order) and E are the discounts that the counts of counts give. Q leaves a share for words never seen, so the
 probabilities over the V known words and one unknown add up to 1. A context never seen gives what the shorter one gives.
 
-(1) Words: each task sums its word hashes and sends one packed blob to each range of hashes; each range becomes a file of sorted hashes and counts,
-whose positions number the words. (2) Sequences of the highest order: the same with word numbers, dealt by a hash of the whole sequence, so those of a
+(1) Words: each task sums its word hashes and sends one packed blob to each range of hashes; each range becomes a file of sorted hashes and counts.
+Words are numbered by classes of counts, frequent ones first, so that most numbers are small and cost few bytes. (2) Sequences of the highest order: the same with word numbers, dealt by a hash of the whole sequence, so those of a
 frequent word or pair spread over all ranges; each range writes its file and sends on what it knows of contexts and continuations, which are the
 sequences of the next lower order, down to the words. (3) Scoring: workers map the files that they need and look sorted keys up by
 binary search; of sequences half a hash is kept, the other half is their place. What is shuffled and stored follows the distinct sequences of the input; their ranges follow its size. Files begin with their own sums,
-and the driver sees the sums of those, and the sizes of the word files, of which there are as many as shuffle partitions.
+and the driver sees the sums of those, and the sizes of the word files by class, of which there are as many as shuffle partitions.
 
 Defined cases: a null text is empty; an empty text is its end token alone. Without any training text N, V and n_known are 0 and both
 scores are 0 for every token. Repeated rows count again and are scored again; ids may be null. Very long texts are read whole. Up to 2**32 - 3
@@ -42,6 +42,8 @@ BEGIN, UNKNOWN = (1 << 32) - 1, (1 << 32) - 2
 HELD, TOKENS = 2_000_000, 3_000_000
 #: Words of the longest sequences.
 ORDER = 3
+#: Classes of counts by which words are numbered; each but the last spans a factor of four.
+CLASSES = 16
 
 
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,6 +77,30 @@ def _summed(columns: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[n
     return [c[at] for c in columns], [np.add.reduceat(v[order], at) for v in values]
 
 
+def _sent(columns: list[np.ndarray], values: list[np.ndarray]) -> bytes:
+    """Sorted rows in few bytes: of the first column the steps of the upper halves, and those of the lower halves within an upper one."""
+    first = columns[0]
+    up, down = first >> _U(32), first & _U(0xFFFFFFFF)
+    step, inner = up.copy(), down.copy()
+    step[1:] -= up[:-1]
+    same = np.flatnonzero(step[1:] == 0) + 1
+    inner[same] -= down[same - 1]
+    return B.squeezed(step << _U(32) | inner, *columns[1:], *values)
+
+
+def _received(blob: bytes, columns: int) -> list[np.ndarray]:
+    """The columns and values of _sent."""
+    out = B.restored(blob, columns)
+    if n := len(out[0]):
+        step, inner = out[0] >> _U(32), out[0] & _U(0xFFFFFFFF)
+        new = step > 0
+        new[0] = True
+        at, sums = np.flatnonzero(new), np.cumsum(inner, dtype=_U)
+        before = np.repeat(sums[at] - inner[at], np.diff(np.append(at, n)))
+        out[0] = np.cumsum(step, dtype=_U) << _U(32) | (sums - before)
+    return out
+
+
 class _Gather:
     """Counts of rows within a task, packed by bucket when they get many."""
 
@@ -94,7 +120,7 @@ class _Gather:
             columns, (count,) = _summed(columns, [count])
             self.held, self.n = [], 0
             for b, at in B.dealt(self.bucket(*columns), self.buckets):
-                yield B.rows([(b, B.pack(*(c[at] for c in columns), count[at]))])
+                yield B.rows([(b, _sent([c[at] for c in columns], [count[at]]))])
 
 
 def _merged(batches: Iterator[pa.RecordBatch], keys: int, values: int) -> tuple[int | None, list[np.ndarray], list[np.ndarray]]:
@@ -108,7 +134,7 @@ def _merged(batches: Iterator[pa.RecordBatch], keys: int, values: int) -> tuple[
     for b in batches:
         for k, blob in zip(b.column("bucket").to_pylist(), b.column("blob"), strict=True):
             bucket = k
-            held.append(B.unpack(blob.as_py(), keys + values))
+            held.append(_received(blob.as_py(), keys + values))
             n += len(held[-1][0])
             if n > max(HELD, 2 * last):
                 columns, sums = both()
@@ -140,7 +166,7 @@ def _hash(columns: list[np.ndarray]) -> np.ndarray:
 
 #: Numbers at the head of a file of sequences: how many; those with own counts 1, 2, 3 and 4; sums for the context of text begins; all with own counts;
 #: then slots, the first top half of a hash and their width; and last how many large values each column has.
-HEAD, SLOT = 20, 16
+HEAD, SLOT, LARGE = 20, 16, 15
 
 
 def _slots(h: np.ndarray, slots: int, low: int, width: int) -> np.ndarray:
@@ -149,7 +175,7 @@ def _slots(h: np.ndarray, slots: int, low: int, width: int) -> np.ndarray:
 
 
 def _write(uri: str, h: np.ndarray, values: list[np.ndarray], head: list[int]) -> None:
-    """Hash array and a byte for each value; values of 255 and more follow. Hashes lie in slots of about SLOT each by their top halves, and only their other
+    """Hash array and half a byte for each value; values of LARGE and more follow. Hashes lie in slots of about SLOT each by their top halves, and only their other
     halves are kept, sorted within a slot: a sequence that isn't there is taken for one that is once in SLOT / 2**32."""
     n = len(h)
     slots, low = max(1, n // SLOT), int(h.min() >> _U(32))
@@ -159,8 +185,10 @@ def _write(uri: str, h: np.ndarray, values: list[np.ndarray], head: list[int]) -
     small, rest, many = [], [], []
     for v in values:
         v = v[order].astype(np.int64)
-        large = np.flatnonzero(v >= 255)
-        small.append(np.minimum(v, 255).astype(np.uint8))
+        large = np.flatnonzero(v >= LARGE)
+        halves = np.zeros(n + n % 2, np.uint8)
+        halves[:n] = np.minimum(v, LARGE)
+        small.append(halves[::2] | halves[1::2] << 4)
         rest += [large, v[large]]
         many.append(len(large))
     numbers = np.zeros(HEAD, np.int64)
@@ -168,7 +196,7 @@ def _write(uri: str, h: np.ndarray, values: list[np.ndarray], head: list[int]) -
     numbers[10:13] = slots, low, width
     numbers[HEAD - len(many) :] = many
     starts = np.searchsorted(slot[order], np.arange(slots + 1)).astype(np.uint32)
-    pad = np.zeros(-(4 * (slots + 1 + n) + len(values) * n) % 8, np.uint8)
+    pad = np.zeros(-(4 * (slots + 1 + n) + len(values) * len(small[0])) % 8, np.uint8)
     B.put(uri, numbers, starts, h[order].astype(np.uint32), *small, pad, *rest)
 
 
@@ -199,11 +227,12 @@ def _found(uri: str, h: np.ndarray, columns: int) -> np.ndarray:
     hit = np.flatnonzero((lo < end) & (known[np.minimum(lo, n - 1)] == half))
     at, hit = lo[hit], asked[hit]
     begin = 8 * HEAD + 4 * (slots + 1 + n)
-    rest = begin + columns * n
+    half_n = (n + 1) // 2
+    rest = begin + columns * half_n
     rest += -rest % 8
     for c, many in enumerate(head[HEAD - columns :].tolist()):
-        v = np.frombuffer(raw, np.uint8, n, begin + c * n)[at].astype(np.int64)
-        if (large := np.flatnonzero(v == 255)).size:
+        v = (np.frombuffer(raw, np.uint8, half_n, begin + c * half_n)[at >> 1] >> ((at & 1) << 2).astype(np.uint8) & LARGE).astype(np.int64)
+        if (large := np.flatnonzero(v == LARGE)).size:
             where, values = np.frombuffer(raw, np.int64, many, rest), np.frombuffer(raw, np.int64, many, rest + 8 * many)
             v[large] = values[np.searchsorted(where, at[large])]
         out[c, hit] = v
@@ -211,34 +240,50 @@ def _found(uri: str, h: np.ndarray, columns: int) -> np.ndarray:
     return out
 
 
+def _classes(count: np.ndarray) -> np.ndarray:
+    """Classes of counts, those of the most frequent words first."""
+    return CLASSES - 1 - np.minimum(np.frexp(count.astype(float))[1] // 2, CLASSES - 1)
+
+
 class Words:
-    """The word files: number, count and statistics by hash."""
+    """The word files: number, count and statistics by hash. sizes: words of each range (rows) and class (columns). Numbers go by class, then by range, then by
+    hash; within its range a word's place goes by class and hash, and a file holds places by hash, and counts and statistics by place."""
 
-    def __init__(self, root: str, sizes: list[int]):
-        self.root, self.sizes = root, np.array(sizes, np.int64)
-        self.first = np.concatenate([[0], np.cumsum(self.sizes)])
+    def __init__(self, root: str, sizes: np.ndarray):
+        self.root, self.sizes = root, sizes.sum(axis=1)
+        self.first = np.concatenate([[0], np.cumsum(sizes.T.ravel())])
+        self.start = np.cumsum(sizes, axis=1) - sizes  # place of the first word of each range and class
 
     def numbers(self, h: np.ndarray) -> np.ndarray:
         """Numbers of sorted hashes; UNKNOWN where there is none."""
-        out = np.full(len(h), UNKNOWN, _U)
-        where = B.bucket_of(h, len(self.sizes))
-        bounds = np.searchsorted(where, np.arange(len(self.sizes) + 1))
+        out, ranges = np.full(len(h), UNKNOWN, _U), len(self.sizes)
+        where = B.bucket_of(h, ranges)
+        bounds = np.searchsorted(where, np.arange(ranges + 1))
         for k in np.flatnonzero(np.diff(bounds)).tolist():
             if n := int(self.sizes[k]):
-                known = np.frombuffer(B.mapped(f"{self.root}/words-{k}"), _U, n)
+                raw = B.mapped(f"{self.root}/words-{k}")
+                known, places = np.frombuffer(raw, _U, n), np.frombuffer(raw, np.uint32, n, 16 * n)
                 part = h[bounds[k] : bounds[k + 1]]
                 at = np.searchsorted(known, part)
                 hit = known[np.minimum(at, n - 1)] == part
-                out[bounds[k] : bounds[k + 1]][hit] = (at[hit] + self.first[k]).astype(_U)
+                place = places[at[hit]].astype(np.int64)
+                kind = np.searchsorted(self.start[k], place, "right") - 1
+                out[bounds[k] : bounds[k + 1]][hit] = (self.first[kind * ranges + k] + place - self.start[k][kind]).astype(_U)
         return out
 
+    def places(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranges of known numbers, and places in them."""
+        ids = ids.astype(np.int64)
+        run = np.searchsorted(self.first, ids, "right") - 1
+        kind, k = np.divmod(run, len(self.sizes))
+        return k, ids - self.first[run] + self.start[k, kind]
+
     def columns(self, ids: np.ndarray) -> np.ndarray:
-        """Rows count, n(c), N1, N2, N3+, t of sorted known numbers."""
+        """Rows count, n(c), N1, N2, N3+, t of known numbers."""
         out = np.zeros((6, len(ids)), np.int64)
-        bounds = np.searchsorted(ids, self.first)
-        for k in np.flatnonzero(np.diff(bounds)).tolist():
-            n, part = int(self.sizes[k]), slice(bounds[k], bounds[k + 1])
-            at = ids[part] - self.first[k]
+        where, place = self.places(ids)
+        for k, part in B.dealt(where, len(self.sizes)):
+            n, at = int(self.sizes[k]), place[part]
             out[0, part] = np.frombuffer(B.mapped(f"{self.root}/words-{k}"), np.int64, n, 8 * n)[at]
             stats = B.mapped(f"{self.root}/stats-{k}")
             out[1, part] = np.frombuffer(stats, np.int64, n)[at]
@@ -286,7 +331,7 @@ class Model:
         word = self.words.numbers(distinct)
         known = word != UNKNOWN
         stats = np.zeros((6, len(distinct)), np.int64)
-        stats[:, known] = self.words.columns(word[known].astype(np.int64))
+        stats[:, known] = self.words.columns(word[known])
         count, t = stats[0], stats[5]
         base = np.log10((count + 0.5) / (self.n_tokens + 0.5 * (self.n_words + 1)))
         lower = (np.maximum(t - self.e[np.clip(t, 1, 3) - 1], 0) * (t > 0) + self.spread) / max(1.0, self.types)
@@ -335,13 +380,18 @@ def fit(texts: DataFrame, order: int = ORDER) -> Model:
     def word_file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, (h,), (count,) = _merged(batches, 1, 1)
         if bucket is not None:
-            B.put(f"{root}/words-{bucket}", h, count)
-            yield pa.RecordBatch.from_pylist([{"bucket": bucket, "n": len(h), "total": int(count.sum())}], pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("total", pa.int64())]))
-
-    found = texts.mapInArrow(words, B.BLOB_ROWS).repartitionById(n, F.col("bucket")).mapInArrow(word_file, "bucket int, n long, total long").collect()
-    sizes = [0] * n
+            kind = _classes(count)
+            order = np.argsort(kind, kind="stable")
+            place = np.empty(len(h), np.uint32)
+            place[order] = np.arange(len(h), dtype=np.uint32)
+            B.put(f"{root}/words-{bucket}", h, count[order], place)
+            sizes = np.bincount(kind, minlength=CLASSES).tolist()
+            yield pa.RecordBatch.from_pylist([{"bucket": bucket, "sizes": sizes, "total": int(count.sum())}], pa.schema([("bucket", pa.int32()), ("sizes", pa.list_(pa.int64())), ("total", pa.int64())]))
+
+    found = texts.mapInArrow(words, B.BLOB_ROWS).repartitionById(n, F.col("bucket")).mapInArrow(word_file, "bucket int, sizes array<long>, total long").collect()
+    sizes = np.zeros((n, CLASSES), np.int64)
     for r in found:
-        sizes[r["bucket"]] = r["n"]
+        sizes[r["bucket"]] = r["sizes"]
     known = Words(root, sizes)
     if known.first[-1] >= UNKNOWN:
         raise ValueError("more distinct words than word numbers")
@@ -376,9 +426,9 @@ def fit(texts: DataFrame, order: int = ORDER) -> Model:
             inner = np.flatnonzero(~start) if length == 2 else np.arange(len(c))
             heads, tails = _packed([g[inner] for g in grams[:-1]]), _packed(grams[1:])
             both, sums = _summed([np.concatenate(x) for x in zip(heads, tails, strict=True)], [np.concatenate([a, b]) for a, b in zip((none[inner], *(v[inner] for v in by)), (follows, none, none, none, none), strict=True)])
-            where = np.searchsorted(known.first, both[0].astype(np.int64), "right") - 1 if length == 2 else B.bucket_of(_hash(both), m)
+            where = known.places(both[0])[0] if length == 2 else B.bucket_of(_hash(both), m)
             for b, at in B.dealt(where, n if length == 2 else m):
-                yield B.rows([(b, B.pack(*(x[at] for x in both), *(x[at] for x in sums)))])
+                yield B.rows([(b, _sent([x[at] for x in both], [x[at] for x in sums]))])
 
         return run
 
@@ -386,9 +436,10 @@ def fit(texts: DataFrame, order: int = ORDER) -> Model:
         bucket, (ids,), values = _merged(batches, 1, 5)
         if bucket is None:
             return
+        place = known.places(ids)[1]
         dense = np.zeros((5, int(known.sizes[bucket])), np.int64)
         for row, v in zip(dense, values, strict=True):
-            row[ids.astype(np.int64) - known.first[bucket]] = v.astype(np.int64)
+            row[place] = v.astype(np.int64)
         t = dense[0]
         B.put(f"{root}/stats-{bucket}", dense[1], *(x.astype(np.uint32) for x in (*dense[2:], t)))
         yield B.rows([(bucket, np.array([*(int((t == i).sum()) for i in (1, 2, 3, 4)), int((t > 2).sum())], np.int64).tobytes())])

@@ -192,3 +192,30 @@ def test_targets_that_stop(spark):
     got = {r["source_size"]: r["target"] for r in M.mix(frame(spark, rows)).collect()}
     want = _targets({"a": 10, "b": 1000, "c": 500, "d": 20, None: 1, "e": 0})
     assert got == pytest.approx({10: want["a"], 1000: want["b"], 500: want["c"], 20: want["d"], 1: want[None], 0: want["e"]})
+
+
+def test_sequences_are_sent_and_received(spark):
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 1000):
+        keys = np.sort(rng.integers(0, 5, n, np.uint64) << np.uint64(32) | rng.integers(0, 2**32, n, np.uint64, endpoint=True) % np.uint64(2**32))
+        other, count = rng.integers(0, 2**64 - 1, n, np.uint64), rng.integers(0, 9, n).astype(np.uint64)
+        for got, want in zip(N._received(N._sent([keys, other], [count]), 3), (keys, other, count), strict=True):
+            assert np.array_equal(got, want)
+
+
+def test_words_are_numbered_by_classes_of_counts(spark):
+    rows = [(i, "often " * 300 + f"rare{i} now then", None, None, 0) for i in range(30)]
+    texts = frame(spark, rows, 3).select("text")
+    model = N.fit(texts)
+    h = np.unique(N.tokens(*_bytes("often now then rare7 rare8 never"))[0])
+    ids = model.words.numbers(h)
+    count = dict(zip(h.tolist(), ids.tolist(), strict=True))
+    often, now, rare, never = (count[int(N.tokens(*_bytes(w))[0][0])] for w in ("often", "now", "rare7", "never"))
+    assert often == 0 and often < now < rare < model.n_words == 34 and never == N.UNKNOWN
+    known = ids[ids != N.UNKNOWN]
+    assert sorted(model.words.columns(known)[0].tolist()) == [1, 1, 30, 30, 30, 9000]
+
+
+def _bytes(text):
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return raw, np.array([0, len(raw)])
