@@ -39,7 +39,7 @@ _U = np.uint64
 END = _U(0x5E2D58D8B3BCDF1A)
 BEGIN, UNKNOWN = (1 << 32) - 1, (1 << 32) - 2
 #: Entries that a task gathers before it sends them on; training tokens for each range of sequences, about.
-HELD, TOKENS = 2_000_000, 3_000_000
+HELD, TOKENS = 1_000_000, 3_000_000
 #: Words of the longest sequences.
 ORDER = 3
 #: Classes of counts by which words are numbered; each but the last spans a factor of four.
