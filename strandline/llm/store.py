@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .shared import parts
 
@@ -21,7 +22,7 @@ class DigestStore:
         about = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/about")
         files = about.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         if not files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/about/_SUCCESS")):
-            spark.createDataFrame([(buckets or parts(spark), columns)], "buckets int, columns string").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+            spark.range(0, 1, 1, 1).select(F.lit(buckets or parts(spark)).cast("int").alias("buckets"), F.lit(columns).alias("columns")).write.mode("overwrite").parquet(f"{path}/about")
         there = spark.read.parquet(f"{path}/about").first()
         if buckets not in (None, there["buckets"]) or columns != there["columns"]:
             raise ValueError(f"{path} has {there['buckets']} buckets of {there['columns']}, not {buckets} of {columns}")
