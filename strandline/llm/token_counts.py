@@ -27,8 +27,8 @@ from .store import DigestStore
 
 #: Words that a worker remembers at most.
 MEMO = 400_000
-#: Missing digests of 32 bytes that travel to the texts at most.
-FEW = 250_000
+#: Missing digests that travel to the texts at most, some 150 bytes each in a broadcast: 15 MB.
+FEW = 100_000
 
 
 def _drops_space(path: str) -> bool:
